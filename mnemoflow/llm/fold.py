@@ -99,7 +99,7 @@ _LINES = {0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029}
 def _compatible(name: str, tag: str, parts: list[int]) -> bool:
     if tag in _ALIKE:
         return True
-    return tag == "<compat>" and parts[0] != 0x20 and any(w in name for w in ("RADICAL", "LIGATURE", "DIGRAPH", "ROMAN NUMERAL", "SARA AM", "VOWEL SIGN AM", " WITH CARON", "LETTER DZ", "LETTER LJ", "LETTER NJ"))
+    return tag == "<compat>" and parts[0] != 0x20 and any(w in name for w in ("RADICAL", "ELLIPSIS", "DOT LEADER", "LIGATURE", "DIGRAPH", "ROMAN NUMERAL", "SARA AM", "VOWEL SIGN AM", " WITH CARON", "LETTER DZ", "LETTER LJ", "LETTER NJ"))
 
 
 def _replacements() -> dict[int, tuple[int, ...]]:

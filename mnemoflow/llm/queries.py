@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm import alike
+from mnemoflow.llm import alike, nearest
 from mnemoflow.llm.tables import fragment_texts, message_texts
+from mnemoflow.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,4 +26,12 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike.alike_report(_alike_values(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_report)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.similar_pairs(nearest.usable_vectors(read_table(spark, sf_dir, "fragments")))
+
+
+def p5_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.most_similar(nearest.usable_vectors(read_table(spark, sf_dir, "fragments")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_top10)}

@@ -5,12 +5,13 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from mnemoflow.llm.fold import fold_array
 
 
-@arrow_udf("string")
+@arrow_udf(T.StringType())
 def _folded(text: pa.Array) -> pa.Array:
     return fold_array(text)
 

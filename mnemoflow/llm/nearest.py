@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from mnemoflow.llm.codepoints import mix
@@ -136,7 +137,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch], p: ProbeParams) -> Iterator
                     yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(part)), lists, pa.array(sketch.astype(np.int64))], ["cid", "keys", "sketch"])
 
 
-@arrow_udf("double")
+@arrow_udf(T.DoubleType())
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     """Cosine of the int8 values of two binary columns whose rows are equally long."""
     out = np.zeros(len(a))
@@ -187,12 +188,12 @@ def candidate_pairs(classes: DataFrame, p: ProbeParams = ProbeParams()) -> DataF
     light = light.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= p.sketch_most))
     light = light.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    blocks = sizes.select("bucket", F.ceil(F.col("size") / p.block).cast("int").alias("nb"))
+    blocks = sizes.select("bucket", F.ceil(F.col("size") / p.block).alias("nb"))
     vectors = classes.select("cid", "vec")
     stored = home.join(blocks, "bucket").select("bucket", F.col("b").alias("cid"), "nb").withColumn("xb", F.pmod(F.xxhash64("cid"), F.col("nb")))
-    stored = stored.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("bucket", "xb", "qb", "cid", F.lit(0).alias("side"))
-    guests = asked.join(blocks, "bucket").select("bucket", F.col("a").alias("cid"), "nb").withColumn("qb", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    guests = guests.withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).cast("long")).select("bucket", "xb", "qb", "cid", F.lit(1).alias("side"))
+    stored = stored.withColumn("qb", F.explode(F.expr("sequence(0L, nb - 1L)"))).select("bucket", "xb", "qb", "cid", F.lit(0).alias("side"))
+    guests = asked.join(blocks, "bucket").select("bucket", F.col("a").alias("cid"), "nb").withColumn("qb", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb")))
+    guests = guests.withColumn("xb", F.explode(F.expr("sequence(0L, nb - 1L)"))).select("bucket", "xb", "qb", "cid", F.lit(1).alias("side"))
     k = p.k
     heavy = stored.unionByName(guests).join(vectors, "cid").groupBy("bucket", "xb", "qb").applyInArrow(lambda t: _dense_group(t, k), "a long, b long")
     return light.unionByName(heavy).distinct()

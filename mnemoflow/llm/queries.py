@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm import alike, nearest
-from mnemoflow.llm.tables import fragment_texts, message_texts
+from mnemoflow.llm import alike, leaks, mixing, nearest, pieces
+from mnemoflow.llm.tables import fragment_texts, message_texts, once
 from mnemoflow.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,4 +34,43 @@ def p5_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.most_similar(nearest.usable_vectors(read_table(spark, sf_dir, "fragments")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_top10)}
+def _limited_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = once(read_table(spark, sf_dir, "fragments"), "frag_id", "paragraph", "source_text", "embedding_model")
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("paragraph", "source_text")])).alias("_v")
+    return rows.select(F.col("frag_id").alias("id"), "embedding_model", pairs).select("_v.field", "id", "embedding_model", "_v.text")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(_limited_values(spark, sf_dir), read_table(spark, sf_dir, "models"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).where("piece = 1").select("field", F.col("id").alias("frag_id"))
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "evalset"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = leaks.without_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "evalset"))
+    return kept.select("doc_id", "lang", "source", "n_chars")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_report(spark, sf_dir).where("short").select("source")
+
+
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_top10, p6_found, p6_leaks, p6_clean, p7_found, p7_report, p7_sample)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm import alike, leaks, mixing, nearest, pieces
+from mnemoflow.llm import alike, leaks, mixing, nearest, pieces, prose
 from mnemoflow.llm.tables import fragment_texts, message_texts, once
 from mnemoflow.session import read_table
 
@@ -73,4 +73,12 @@ def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_top10, p6_found, p6_leaks, p6_clean, p7_found, p7_report, p7_sample)}
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.text_statistics(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_statistics(spark, sf_dir).where("not is_prose").select("doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_top10, p6_found, p6_leaks, p6_clean, p7_found, p7_report, p7_sample, p8_found, p8_statistics)}

@@ -35,8 +35,7 @@ class ProbeParams:
     cell: float = 3.5  # in units of the projections' deviation; a third of a projection's range
     offset: float = 0.15  # cell borders are shifted at random by up to this much about the centre
     probes: int = 10  # buckets visited besides the own one
-    sketch_bits: int = 64
-    sketch_most: int = 21  # differing bits; at cosine 0.8 13.1 +- 3.2 are expected, between unrelated vectors 32 +- 4
+    sketch_most: int = 43  # differing bits of 128; at cosine 0.8 26.2 +- 4.6 are expected, between unrelated vectors 64 +- 5.7
     dense: int = 4096  # vectors from which a bucket is compared in blocks
     block: int = 16384
     seed: int = 20240501
@@ -51,11 +50,10 @@ def usable_vectors(fragments: DataFrame) -> DataFrame:
     """frag_id, kind, vec of the records that take part.
 
     Out are records without model, with a vector that can't be decoded, is empty or all zero, or whose length isn't embedding_dims
-    where that is given. The kind is the model and the number of bytes. Extra columns are ignored.
+    where that is given. The kind is the model and the number of bytes. Extra columns are ignored. A frag_id may come more than once.
     """
-    first = F.min(F.struct("embedding_model", "embedding_dims", "embedding_q")).alias("_first")
     rows = fragments.where("frag_id is not null and embedding_model is not null and embedding_q is not null")
-    rows = rows.groupBy("frag_id").agg(first).select("frag_id", "_first.*")
+    rows = rows.select("frag_id", "embedding_model", "embedding_dims", "embedding_q")
     rows = rows.withColumn("vec", decoded(F.col("embedding_q")))
     fits = F.col("embedding_dims").isNull() | (F.col("embedding_dims") == F.length("vec"))
     rows = rows.where((F.length("vec") > 0) & fits & (F.regexp_replace(F.hex("vec"), "0", "") != ""))
@@ -87,12 +85,12 @@ def _directions(dims: int, p: ProbeParams) -> tuple[np.ndarray, np.ndarray, np.n
     rng = np.random.default_rng([p.seed, dims])
     a = rng.standard_normal((dims, p.n_tables * p.width_m)).astype(np.float32)
     b = rng.uniform(-p.offset, p.offset, p.n_tables * p.width_m).astype(np.float32)
-    s = rng.standard_normal((dims, p.sketch_bits)).astype(np.float32)
+    s = rng.standard_normal((dims, 128)).astype(np.float32)
     return a, b, s
 
 
 def _buckets(x: np.ndarray, kind: np.uint64, p: ProbeParams) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (n, tables, 1 + probes), the own bucket first, and the sketches (n,)."""
+    """Bucket keys (n, tables, 1 + probes), the own bucket first, and the sketches (n, 2)."""
     a, b, s = _directions(x.shape[1], p)
     m = p.width_m
     order = _probe_order(m, p.probes)
@@ -112,7 +110,7 @@ def _buckets(x: np.ndarray, kind: np.uint64, p: ProbeParams) -> tuple[np.ndarray
             for i, moves in enumerate(order):
                 keys[:, t, 1 + i] = mix(own + step[:, list(moves)].sum(1, dtype=np.uint64) + start)
     bits = np.packbits((x @ s) > 0, axis=1, bitorder="little")
-    return keys, np.ascontiguousarray(bits).view(np.uint64).reshape(len(x), -1)[:, 0]
+    return keys, np.ascontiguousarray(bits).view(np.uint64).reshape(len(x), 2)
 
 
 def _matrix(vec: pa.Array, rows: np.ndarray) -> np.ndarray:
@@ -134,7 +132,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch], p: ProbeParams) -> Iterator
                     flat = pa.array(keys.reshape(n, per).astype(np.int64).ravel())
                     offs = pa.array(np.arange(0, n * per + 1, per, dtype=np.int32))
                     lists = pa.ListArray.from_arrays(offs, flat)
-                    yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(part)), lists, pa.array(sketch.astype(np.int64))], ["cid", "keys", "sketch"])
+                    yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(part)), lists, *(pa.array(np.ascontiguousarray(h).view(np.int64)) for h in sketch.T)], ["cid", "keys", "s", "t"])
 
 
 @arrow_udf(T.DoubleType())
@@ -178,38 +176,49 @@ def candidate_pairs(classes: DataFrame, p: ProbeParams = ProbeParams()) -> DataF
     Buckets of more than ``dense`` vectors aren't joined: their members and visitors are compared in blocks of vectors, each
     visitor keeping its best k of every block, so that a bucket that holds a large part of all vectors stays spread and exact.
     """
-    hashed = classes.select("cid", "kind_key", "n", "vec").mapInArrow(lambda it: _hash_batches(it, p), "cid long, keys array<long>, sketch long")
-    visits = hashed.select("cid", "sketch", F.posexplode("keys").alias("at", "bucket"))
-    own = F.col("at") % (1 + p.probes) == 0
-    home = visits.where(own).select("bucket", F.col("cid").alias("b"), F.col("sketch").alias("sketch_b"))
+    hashed = classes.select("cid", "kind_key", "n", "vec").mapInArrow(lambda it: _hash_batches(it, p), "cid long, keys array<long>, s long, t long")
+    visits = hashed.select("cid", "s", "t", F.posexplode("keys").alias("at", "bucket"))
+    home = visits.where(F.col("at") % (1 + p.probes) == 0)
+    stored = home.select("bucket", F.col("cid").alias("b"), F.col("s").alias("s_b"), F.col("t").alias("t_b"))
+    asked = visits.select("bucket", F.col("cid").alias("a"), "s", "t")
     sizes = home.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > p.dense)
-    asked = visits.select("bucket", F.col("cid").alias("a"), F.col("sketch").alias("sketch_a"))
-    light = asked.join(sizes, "bucket", "left_anti").join(home.hint("shuffle_hash"), "bucket")
-    light = light.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= p.sketch_most))
-    light = light.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowded = not sizes.isEmpty()
+    light = (asked.join(sizes, "bucket", "left_anti") if crowded else asked).join(stored.hint("shuffle_hash"), "bucket")
+    differ = F.bit_count(F.col("s").bitwiseXOR(F.col("s_b"))) + F.bit_count(F.col("t").bitwiseXOR(F.col("t_b")))
+    light = light.where((F.col("a") != F.col("b")) & (differ <= p.sketch_most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not crowded:
+        return light.distinct()
 
     blocks = sizes.select("bucket", F.ceil(F.col("size") / p.block).alias("nb"))
     vectors = classes.select("cid", "vec")
-    stored = home.join(blocks, "bucket").select("bucket", F.col("b").alias("cid"), "nb").withColumn("xb", F.pmod(F.xxhash64("cid"), F.col("nb")))
-    stored = stored.withColumn("qb", F.explode(F.expr("sequence(0L, nb - 1L)"))).select("bucket", "xb", "qb", "cid", F.lit(0).alias("side"))
-    guests = asked.join(blocks, "bucket").select("bucket", F.col("a").alias("cid"), "nb").withColumn("qb", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb")))
-    guests = guests.withColumn("xb", F.explode(F.expr("sequence(0L, nb - 1L)"))).select("bucket", "xb", "qb", "cid", F.lit(1).alias("side"))
+    every = F.explode(F.expr("sequence(0L, nb - 1L)"))
+    stored = home.join(blocks, "bucket").select("bucket", "cid", "nb").withColumn("xb", F.pmod(F.xxhash64("cid"), F.col("nb")))
+    stored = stored.withColumn("qb", every).select("bucket", "xb", "qb", "cid", F.lit(0).alias("side"))
+    guests = visits.join(blocks, "bucket").select("bucket", "cid", "nb").withColumn("qb", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb")))
+    guests = guests.withColumn("xb", every).select("bucket", "xb", "qb", "cid", F.lit(1).alias("side"))
     k = p.k
     heavy = stored.unionByName(guests).join(vectors, "cid").groupBy("bucket", "xb", "qb").applyInArrow(lambda t: _dense_group(t, k), "a long, b long")
     return light.unionByName(heavy).distinct()
 
 
-def similar_classes(vectors: DataFrame, p: ProbeParams = ProbeParams()) -> tuple[DataFrame, DataFrame]:
-    """(members, near): frag_id, cid of every vector, and per class its nearest other classes (cid, other, cosine), at most k."""
-    key = F.md5(F.concat(F.to_json("kind").cast("binary"), F.col("vec"))).alias("vec_key")
+def similar_classes(vectors: DataFrame, p: ProbeParams = ProbeParams(), least: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, near): frag_id, cid of every vector, and per class its nearest other classes (cid, other, cosine), at most k.
+
+    With ``least``, only those of at least that cosine.
+    """
+    key = F.unhex(F.md5(F.concat(F.to_json("kind").cast("binary"), F.col("vec")))).alias("vec_key")
     keyed = vectors.select("frag_id", "kind", "vec", key)
-    classes = keyed.groupBy("vec_key").agg(F.min("frag_id").alias("cid"), F.first("kind").alias("kind"), F.first("vec").alias("vec"))
-    classes = classes.select("vec_key", "cid", F.xxhash64("kind").alias("kind_key"), F.col("kind.n").alias("n"), "vec")
-    members = keyed.select("frag_id", "vec_key").join(classes.select("vec_key", "cid"), "vec_key").select("frag_id", "cid")
+    chosen = keyed.groupBy("frag_id").agg(F.min("vec_key").alias("vec_key"))
+    heads = chosen.groupBy("vec_key").agg(F.min("frag_id").alias("cid"))
+    members = chosen.join(heads, "vec_key").select("frag_id", "cid")
+    shapes = keyed.groupBy("vec_key").agg(F.first("kind").alias("kind"), F.first("vec").alias("vec"))
+    classes = shapes.join(heads, "vec_key").select("cid", F.xxhash64("kind").alias("kind_key"), F.col("kind.n").alias("n"), "vec")
     pairs = candidate_pairs(classes, p)
     left = classes.select(F.col("cid").alias("a"), F.col("vec").alias("vec_a"))
     right = classes.select(F.col("cid").alias("b"), F.col("vec").alias("vec_b"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", _cosine("vec_a", "vec_b").alias("cosine"))
+    if least is not None:
+        scored = scored.where(F.col("cosine") >= least)
     both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("other")), F.struct(F.col("b").alias("cid"), F.col("a").alias("other")))).alias("_p"), "cosine")
     both = both.select("_p.*", "cosine")
     best = Window.partitionBy("cid").orderBy(F.col("cosine").desc(), "other")
@@ -217,14 +226,14 @@ def similar_classes(vectors: DataFrame, p: ProbeParams = ProbeParams()) -> tuple
     return members, near
 
 
-def most_similar(vectors: DataFrame, p: ProbeParams = ProbeParams()) -> DataFrame:
-    """The k most similar vectors of every vector: frag_id, rank, other_id, cosine.
+def most_similar(vectors: DataFrame, p: ProbeParams = ProbeParams(), least: float | None = None) -> DataFrame:
+    """The k most similar vectors of every vector, with ``least`` those of at least that cosine: frag_id, rank, other_id, cosine.
 
     ``vectors``: frag_id, kind, vec (see :func:`usable_vectors`). Only vectors of one kind are compared. Among equal
     cosines the smaller frag_id comes first; copies of a vector have cosine 1 to each other. Vectors that have no
     candidate have no rows, so do empty tables.
     """
-    members, near = similar_classes(vectors, p)
+    members, near = similar_classes(vectors, p, least)
     by_id = Window.partitionBy("cid").orderBy("frag_id")
     # a class gives at most k + 1 of its members, the smallest, to any list
     few = members.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= p.k + 1).drop("_r")
@@ -239,5 +248,5 @@ def most_similar(vectors: DataFrame, p: ProbeParams = ProbeParams()) -> DataFram
 
 def similar_pairs(vectors: DataFrame, least: float = 0.8, p: ProbeParams = ProbeParams()) -> DataFrame:
     """Pairs of which one is among the k most similar of the other, with at least the given cosine: frag_lo, frag_hi."""
-    top = most_similar(vectors, p).where(F.col("cosine") >= least)
+    top = most_similar(vectors, p, least)
     return top.select(F.least("frag_id", "other_id").alias("frag_lo"), F.greatest("frag_id", "other_id").alias("frag_hi")).distinct()

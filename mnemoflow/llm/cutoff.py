@@ -66,63 +66,71 @@ def text_key(text: str) -> int:
     return int(segment_hash(flat, np.array([0]), np.array([len(flat)])).astype(np.int64)[0]) if len(flat) else 0
 
 
-def ending(text: str, p: CutParams) -> tuple[int, str, str, str]:
-    """(kind, word, reply, first word) of a folded text; the strings are what statistics are asked for."""
+def _first(line: str) -> str:
+    """How a line begins: its first word, or two letters of a script without blanks."""
+    return line[:2] if _WIDE.search(line[:2]) else (line.split() or [""])[0].strip(",\"'“‘„«([*")
+
+
+def ending(text: str, p: CutParams) -> tuple[int, str, str]:
+    """(kind, word, reply) of a folded text; the strings are what statistics are asked for."""
     tail = text.rstrip()
     if not tail:
-        return COMPLETE, "", "", ""
+        return COMPLETE, "", ""
     if _MARK.search(tail):
-        return CUT, "", "", ""
+        return CUT, "", ""
     line = tail[tail.rfind("\n") + 1 :]
     bare = _LABEL.sub("", line)
     if _RUN.search(tail[-64:]):
-        return COMPLETE, "", "", ""
+        return COMPLETE, "", ""
     word = _LAST_WORD.search(_TRAIL.sub("", bare).rstrip(CLOSERS))
     last = word.group() if word else ""
     if _WIDE.search(bare[-4:]):
         last = bare.rstrip(CLOSERS)[-2:]
     if _LIST.search(bare):
-        return (COMPLETE if not last else LISTED), last, "", ""
+        return (COMPLETE if not last else LISTED), last, ""
     trail = _TRAIL.search(bare)
     if trail:
         before = bare[: trail.start()]
         final = _LAST_WORD.search(before)
-        return TRAILING, (before[-2:] if _WIDE.search(before[-2:]) else final.group() if final else ""), "", ""
+        return TRAILING, (final.group() if final and not _WIDE.search(before[-2:]) and not _THAI.search(before[-2:]) else ""), ""
     body = bare.rstrip(CLOSERS)
     closed = len(body) < len(bare)
     if _unbalanced(bare):
-        return OPEN, last, "", ""
+        return OPEN, last, ""
     if body and body[-1] in ENDS:
         if body[-1] == "." and not closed and word is None:
             final = re.search(r"(\S+)\.$", body)
-            return DOTTED, (final.group(1).lstrip("\"'“‘„«([*") if final else ""), "", ""
-        return COMPLETE, "", "", ""
+            return DOTTED, (final.group(1).lstrip("\"'“‘„«([*") if final else ""), ""
+        return COMPLETE, "", ""
     if closed or not (body and (body[-1].isalnum() or body[-1] in ",，、;；-—–" or _THAI.search(body[-1]))):
-        return (COMPLETE, "", "", "") if not (body and body[-1] in ",，、;；—–") else (OPEN, "", "", "")
+        return (COMPLETE, "", "") if not (body and body[-1] in ",，、;；—–") else (OPEN, "", "")
     wide, thai = bool(_WIDE.search(bare)), bool(_THAI.search(bare))
     words = len(bare.split())
     brief = (len(bare) <= p.short_letters if wide else words <= p.short_words) and not _SENTENCE.search(bare)
     if thai:
-        return UNMARKED, body[-p.suffix :], bare, ""
+        return UNMARKED, body[-p.suffix :], bare if len(bare) <= p.short_letters else ""
     if brief:
-        first = bare[:2] if wide else bare.split()[0].rstrip(",")
-        return SHORT, last, bare, first
-    return OPEN, last, "", ""
+        return SHORT, last, bare
+    return OPEN, last, ""
 
 
 def _endings(batches: Iterator[pa.RecordBatch], p: CutParams) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         folded = fold_array(batch.column("text"))
-        kinds, words, replies, firsts = [], [], [], []
+        kinds, words, replies, firsts, wholes = [], [], [], [], []
         for text in folded.to_pylist():
-            kind, word, reply, first = ending(text or "", p)
+            text = (text or "").strip()
+            kind, word, reply = ending(text, p)
+            bare = _LABEL.sub("", text[text.rfind("\n") + 1 :])
+            first = _first(bare)
             kinds.append(kind)
+            wholes.append("\n" not in text)
             words.append(text_key(word.lower()) if word else 0)
             replies.append(text_key(reply) if reply else 0)
             firsts.append(text_key(first.lower()) if first else 0)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("field", "id", "source", "cp", "u16", "bytes")), pa.array(kinds, pa.int32()), *(pa.array(v, pa.int64()) for v in (words, replies, firsts))],
-            ["field", "id", "source", "cp", "u16", "bytes", "kind", "word", "reply", "first"],
+            [*(batch.column(c) for c in ("field", "id", "source", "cp", "u16", "bytes")), pa.array(kinds, pa.int32()), *(pa.array(v, pa.int64()) for v in (words, replies, firsts)), pa.array(wholes, pa.bool_())],
+            ["field", "id", "source", "cp", "u16", "bytes", "kind", "word", "reply", "first", "whole"],
         )
 
 
@@ -196,7 +204,7 @@ def measured(values: DataFrame, p: CutParams = CutParams()) -> DataFrame:
     rows = values.where("text is not null and id is not null").select(
         "field", "id", "source", "text", F.char_length("text").cast("long").alias("cp"), (F.octet_length(F.encode("text", "UTF-16BE")) / 2).cast("long").alias("u16"), F.octet_length("text").cast("long").alias("bytes")
     )
-    return rows.mapInArrow(lambda it: _endings(it, p), "field string, id long, source string, cp long, u16 long, bytes long, kind int, word long, reply long, first long")
+    return rows.mapInArrow(lambda it: _endings(it, p), "field string, id long, source string, cp long, u16 long, bytes long, kind int, word long, reply long, first long, whole boolean")
 
 
 def significant_lengths(rows: DataFrame, p: CutParams = CutParams()) -> DataFrame:
@@ -206,7 +214,7 @@ def significant_lengths(rows: DataFrame, p: CutParams = CutParams()) -> DataFram
     mean m serves as p value; Benjamini and Hochberg's step-up controls the false-discovery rate within field and source.
     """
     units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("cp", "u16", "bytes")])).alias("_u")
-    doubt = F.when(F.col("kind") == CUT, "cut").when(F.col("kind") == TRAILING, "trailing").when(F.col("kind").isin(OPEN, SHORT, DOTTED, LISTED, UNMARKED), "open")
+    doubt = F.when(F.col("kind") == CUT, "cut").when(F.col("kind") == TRAILING, "trailing").when(F.col("kind") == OPEN, "open")
     counts = rows.select("field", "source", doubt.alias("doubt"), units).select("field", "source", "doubt", "_u.unit", "_u.length").groupBy("field", "source", "unit", "length", "doubt").agg(F.count("*").alias("n"))
     at = counts.groupBy("field", "source", "unit", "length").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("doubt") == d, F.col("n")).otherwise(0)).alias(d) for d in ("open", "trailing", "cut")])
     group = Window.partitionBy("field", "source", "unit").orderBy("length")
@@ -240,25 +248,26 @@ def verdicts(values: DataFrame, p: CutParams = CutParams()) -> DataFrame:
     at_limit = spread.join(limits, same, "left_semi").select("field", "id").distinct().withColumn("at_limit", F.lit(True))
 
     known = {w: usage.where(F.col("what") == w).select(F.col("key").alias("word"), F.col("n").alias(f"n_{w}"), F.col("m").alias(f"m_{w}")) for w in "wdlt"}
-    short = rows.where(F.col("kind") == SHORT)
-    replies = short.groupBy("reply").agg(F.count("*").alias("n_r"))
-    starts = rows.where("first <> 0").groupBy("first").agg(F.count("*").alias("n_s"), F.sum(F.when(F.col("kind") == SHORT, 1).otherwise(0)).alias("m_s"))
-    finals = rows.where(F.col("kind").isin(SHORT, OPEN) & (F.col("word") != 0)).groupBy("word").agg(F.count_if(F.col("kind") == SHORT).alias("f_s"), F.count_if(F.col("kind") == OPEN).alias("f_o"))
-
-    def judged(kind: int, table: DataFrame, on: str, cut: str) -> DataFrame:
-        part = doubtful.where(F.col("kind") == kind).join(table, on, "left")
+    # a reply is known when it makes up other values, or when what begins or ends like it usually is one
+    replies = rows.where("whole and reply <> 0").groupBy("reply").agg(F.count("*").alias("n_r"))
+    starts = rows.groupBy("first").agg(F.count("*").alias("n_s"), F.count_if((F.col("kind") == SHORT) & F.col("whole")).alias("m_s"))
+    finals = rows.where(F.col("kind").isin(SHORT, OPEN) & (F.col("word") != 0)).groupBy("word").agg(F.count_if((F.col("kind") == SHORT) & F.col("whole")).alias("f_s"), F.count_if(F.col("kind") == OPEN).alias("f_o"))
+    same_reply = f"coalesce(n_r, 0) >= {p.seen}"
+
+    def judged(kind: int, tables: list[tuple[DataFrame, str]], cut: str) -> DataFrame:
+        part = doubtful.where(F.col("kind") == kind)
+        for table, on in tables:
+            part = part.join(table, on, "left")
         return part.join(at_limit, ["field", "id"], "left").select("field", "id", "source", "kind", F.coalesce("at_limit", F.lit(False)).alias("at_limit"), F.expr(cut).alias("cut"))
 
     limit = "coalesce(at_limit, false)"
     parts = [
-        judged(TRAILING, known["w"], "word", f"{limit} or (word <> 0 and coalesce(n_w, 0) < 0)"),
-        judged(DOTTED, known["d"], "word", f"coalesce(n_d, 0) >= 20 and m_d < 0.02 * n_d"),
-        judged(LISTED, known["l"], "word", f"coalesce(n_l, 0) < {p.seen} and {limit}"),
-        judged(UNMARKED, known["t"], "word", f"coalesce(n_t, 0) < {p.seen}"),
+        judged(TRAILING, [(known["w"], "word")], f"{limit} or (word <> 0 and n_w is null)"),
+        judged(DOTTED, [(known["d"], "word")], f"{limit} and coalesce(n_d, 0) >= 20 and m_d < 0.02 * n_d"),
+        judged(LISTED, [(known["l"], "word")], f"coalesce(n_l, 0) < {p.seen} and {limit}"),
+        judged(UNMARKED, [(known["t"], "word"), (replies, "reply")], f"coalesce(n_t, 0) < {p.seen} and not {same_reply}"),
+        judged(SHORT, [(replies, "reply"), (finals, "word"), (starts, "first")], f"not ({same_reply} or coalesce(n_s >= 2 and m_s >= 0.6 * n_s, false) or coalesce(f_s >= 5 and f_s >= 4 * f_o, false))"),
     ]
-    brief = doubtful.where(F.col("kind") == SHORT).join(replies, "reply", "left").join(finals, "word", "left").join(at_limit, ["field", "id"], "left")
-    complete = f"n_r >= {p.seen} or (f_s >= 5 and f_s >= 4 * f_o)"
-    parts.append(brief.select("field", "id", "source", "kind", F.coalesce("at_limit", F.lit(False)).alias("at_limit"), F.expr(f"not coalesce({complete}, false)").alias("cut")))
     opened = doubtful.where(F.col("kind") == OPEN).join(at_limit, ["field", "id"], "left")
     parts.append(opened.select("field", "id", "source", "kind", F.coalesce("at_limit", F.lit(False)).alias("at_limit"), F.lit(True).alias("cut")))
     sure = rows.where(F.col("kind").isin(COMPLETE, CUT)).select("field", "id", "source", "kind", F.lit(False).alias("at_limit"), (F.col("kind") == CUT).alias("cut"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm import alike, leaks, mixing, nearest, pieces, prose
+from mnemoflow.llm import alike, cutoff, leaks, mixing, nearest, pieces, prose, sentences
 from mnemoflow.llm.tables import fragment_texts, message_texts, once
 from mnemoflow.session import read_table
 
@@ -34,6 +34,35 @@ def p5_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.most_similar(nearest.usable_vectors(read_table(spark, sf_dir, "fragments")))
 
 
+def _sentence_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return message_texts(spark, sf_dir).unionByName(fragment_texts(spark, sf_dir, "paragraph"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = sentences.sentence_ends(_sentence_values(spark, sf_dir))
+    return ends.select("field", F.col("id").alias("rec_id"), F.explode("ends").alias("char_end"))
+
+
+def p1_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(_sentence_values(spark, sf_dir))
+
+
+def _cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return message_texts(spark, sf_dir).unionByName(fragment_texts(spark, sf_dir, "summary"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_values(_cut_values(spark, sf_dir)).select("field", F.col("id").alias("rec_id"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_rates(_cut_values(spark, sf_dir))
+
+
+def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.significant_lengths(cutoff.measured(_cut_values(spark, sf_dir)))
+
+
 def _limited_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(read_table(spark, sf_dir, "fragments"), "frag_id", "paragraph", "source_text", "embedding_model")
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("paragraph", "source_text")])).alias("_v")
@@ -81,4 +110,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_statistics(spark, sf_dir).where("not is_prose").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_top10, p6_found, p6_leaks, p6_clean, p7_found, p7_report, p7_sample, p8_found, p8_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_rates, p2_limits, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_top10, p6_found, p6_leaks, p6_clean, p7_found, p7_report, p7_sample, p8_found, p8_statistics)}

@@ -28,6 +28,7 @@ from mnemoflow.llm.fold import tables
 
 @dataclass(frozen=True)
 class SentenceParams:
+    slice_bytes: int = 1 << 20  # text taken at a time; it needs some hundred times as much memory
     slots: int = 1 << 18  # places of each table of the model; words share them by hash
     abbreviation_rate: float = 0.004  # how often a word that isn't final stands at a line's end all the same
     abbreviation_prior: float = 0.05
@@ -355,7 +356,7 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model | None, p: SentencePa
     sums = [np.zeros((s, 2)) for s in (p.slots, p.slots, N_SHAPE, N_GAP)]
     for batch in batches:
         column = batch.column("text")
-        for i, j in slices(column):
+        for i, j in slices(column, p.slice_bytes):
             x = places(*to_codepoints(column.slice(i, j - i)), p)
             yes = posteriors(x, model, p) if model is not None else np.zeros(len(x.at))
             no = 1 - yes
@@ -419,7 +420,7 @@ def learn(values: DataFrame, p: SentenceParams = SentenceParams()) -> Model:
 def unit_ends(column: pa.Array, model: Model, p: SentenceParams) -> pa.Array:
     """For each text the code-point counts at which its units end."""
     parts = []
-    for i, j in slices(column):
+    for i, j in slices(column, p.slice_bytes):
         piece = column.slice(i, j - i)
         flat, starts = to_codepoints(piece)
         x = places(flat, starts, p)

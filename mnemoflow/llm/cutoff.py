@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.codepoints import mix, row_of, segment_hash, slices, to_codepoints
+from mnemoflow.llm.codepoints import row_of, segment_hash, slices, to_codepoints
 from mnemoflow.llm.fold import fold, fold_array
+from mnemoflow.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,10 @@ def _unbalanced(line: str) -> bool:
     return any(line.count(a) > line.count(b) for a, b in _PAIRS) or line.count('"') % 2 == 1 or (line.count("*") % 2 == 1 and not line.lstrip().startswith("* "))
 
 
-def text_key(text: str) -> int:
-    """The 64-bit key that a word, an ending or a reply has in all statistics."""
-    flat = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return int(segment_hash(flat, np.array([0]), np.array([len(flat)])).astype(np.int64)[0]) if len(flat) else 0
+def text_keys(texts: list[str]) -> pa.Array:
+    """The 64-bit keys that words, endings and replies have in all statistics; 0 for ''."""
+    flat, starts = to_codepoints(pa.array(texts, pa.string()))
+    return pa.array(segment_hash(flat, starts[:-1], starts[1:]).astype(np.int64) * (np.diff(starts) > 0))
 
 
 def _first(line: str) -> str:
@@ -82,7 +83,7 @@ def ending(text: str, p: CutParams) -> tuple[int, str, str]:
     bare = _LABEL.sub("", line)
     if _RUN.search(tail[-64:]):
         return COMPLETE, "", ""
-    word = _LAST_WORD.search(_TRAIL.sub("", bare).rstrip(CLOSERS))
+    word = _LAST_WORD.search(_TRAIL.sub("", bare[-256:]).rstrip(CLOSERS))
     last = word.group() if word else ""
     if _WIDE.search(bare[-4:]):
         last = bare.rstrip(CLOSERS)[-2:]
@@ -91,7 +92,7 @@ def ending(text: str, p: CutParams) -> tuple[int, str, str]:
     trail = _TRAIL.search(bare)
     if trail:
         before = bare[: trail.start()]
-        final = _LAST_WORD.search(before)
+        final = _LAST_WORD.search(before[-256:])
         return TRAILING, (final.group() if final and not _WIDE.search(before[-2:]) and not _THAI.search(before[-2:]) else ""), ""
     body = bare.rstrip(CLOSERS)
     closed = len(body) < len(bare)
@@ -125,11 +126,11 @@ def _endings(batches: Iterator[pa.RecordBatch], p: CutParams) -> Iterator[pa.Rec
             first = _first(bare)
             kinds.append(kind)
             wholes.append("\n" not in text)
-            words.append(text_key(word.lower()) if word else 0)
-            replies.append(text_key(reply) if reply else 0)
-            firsts.append(text_key(first.lower()) if first else 0)
+            words.append(word.lower())
+            replies.append(reply)
+            firsts.append(first.lower())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("field", "id", "source", "cp", "u16", "bytes")), pa.array(kinds, pa.int32()), *(pa.array(v, pa.int64()) for v in (words, replies, firsts)), pa.array(wholes, pa.bool_())],
+            [*(batch.column(c) for c in ("field", "id", "source", "cp", "u16", "bytes")), pa.array(kinds, pa.int32()), *(text_keys(v) for v in (words, replies, firsts)), pa.array(wholes, pa.bool_())],
             ["field", "id", "source", "cp", "u16", "bytes", "kind", "word", "reply", "first", "whole"],
         )
 
@@ -237,8 +238,9 @@ def verdicts(values: DataFrame, p: CutParams = CutParams()) -> DataFrame:
 
     ``values``: field, id, source, text; other columns are ignored. Nulls have no row, blank texts are complete. A null source is a source.
     """
-    rows = measured(values, p)
-    usage = values.where("text is not null").select("text").mapInArrow(lambda it: _usage(it, p), "what string, key long, n long, m long").groupBy("what", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    checkpoint_dir(values.sparkSession)  # both are read several times below, and are small beside the texts
+    rows = measured(values, p).checkpoint()
+    usage = values.where("text is not null").select("text").mapInArrow(lambda it: _usage(it, p), "what string, key long, n long, m long").groupBy("what", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).checkpoint()
     limits = significant_lengths(rows, p).select("field", "source", "doubt", "unit", "length").distinct()
     doubtful = rows.where(~F.col("kind").isin(COMPLETE, CUT))
     doubt = F.when(F.col("kind") == TRAILING, "trailing").otherwise("open")

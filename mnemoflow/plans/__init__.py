@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from mnemoflow.plans.oracle import ORACLE
+from mnemoflow.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

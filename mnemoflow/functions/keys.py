@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from mnemoflow.functions.text import FINGERPRINT_PUNCTUATION, WHITE, js_trim, utf16_length, utf16_prefix
+from mnemoflow.functions.text import FINGERPRINT_PUNCTUATION, WHITE, js_trim, let, utf16_length, utf16_prefix
 
 LEAST_UNITS, PREFIX_UNITS = 80, 1000
 
@@ -22,7 +22,7 @@ def fingerprint_text(text: Column) -> Column:
 
 def prefix_key(normal: Column) -> Column:
     """The first 1000 code units of a normalised text of at least 80, else ''."""
-    return F.when(utf16_length(normal) >= LEAST_UNITS, utf16_prefix(normal, PREFIX_UNITS)).otherwise("")
+    return let(normal, lambda x: F.when(utf16_length(x) >= LEAST_UNITS, utf16_prefix(x, PREFIX_UNITS)).otherwise(""))
 
 
 def content_fingerprint(text: Column) -> Column:
@@ -32,9 +32,9 @@ def content_fingerprint(text: Column) -> Column:
 def recall_fingerprint(paragraph: Column, summary: Column, source_text: Column, turn: Column, sequence: Column) -> Column:
     """Key of a record among recalled ones: its content, or for short content turn, sequence and content."""
     text = F.coalesce(F.nullif(paragraph, F.lit("")), F.nullif(summary, F.lit("")), F.nullif(source_text, F.lit("")), F.lit(""))
-    normal = fingerprint_text(js_trim(text))
     number = lambda c: F.coalesce(F.nullif(c, F.lit(0)).cast("string"), F.lit(""))
-    return F.when(utf16_length(normal) >= LEAST_UNITS, utf16_prefix(normal, PREFIX_UNITS)).otherwise(F.concat_ws(":", number(turn), number(sequence), normal))
+    short = lambda x: F.concat_ws(":", number(turn), number(sequence), x)
+    return let(fingerprint_text(js_trim(text)), lambda x: F.when(utf16_length(x) >= LEAST_UNITS, utf16_prefix(x, PREFIX_UNITS)).otherwise(short(x)))
 
 
 def fnv1a_array(column: pa.Array) -> np.ndarray:

@@ -6,7 +6,7 @@ White space is the set that the trimming and the ``\\s`` of a browser take, wide
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ _ANY = "[\\s\\S]"
 _WORD_END = "(?![A-Za-z0-9_])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(text: Column) -> Column:
     """The text without white space around it."""
     return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+\\z", "")
@@ -56,38 +61,52 @@ def strip_tag_patterns(tags: str | None) -> list[tuple[str, str, str]]:
 def strip_tag_blocks(text: Column, tags: str | None = None) -> Column:
     """Drop configured blocks: first pairs, then per entry what precedes a lone closing tag and what follows a lone opening one."""
     patterns = strip_tag_patterns(tags)
-    out = text
-    for pair, _, _ in patterns:
-        out = F.regexp_replace(out, pair, "")
-    for _, closing, opening in patterns:
-        out = F.regexp_replace(F.regexp_replace(out, closing, ""), opening, "")
-    return F.when(F.contains(text, F.lit("<")), out).otherwise(text)
+
+    def stripped(out: Column) -> Column:
+        for pair, _, _ in patterns:
+            out = F.regexp_replace(out, pair, "")
+        for _, closing, opening in patterns:
+            out = F.regexp_replace(F.regexp_replace(out, closing, ""), opening, "")
+        return out
+
+    return _where(text, "<", stripped)
+
+
+def _where(text: Column, char: str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the texts that hold a character without which it changes nothing."""
+    return let(text, lambda x: F.when(F.contains(x, F.lit(char)), body(x)).otherwise(x))
+
+
+def _without(patterns: Sequence[str]) -> Callable[[Column], Column]:
+    def body(out: Column) -> Column:
+        for pattern in patterns:
+            out = F.regexp_replace(out, pattern, "")
+        return out
+
+    return body
 
 
 def strip_markup_blocks(text: Column) -> Column:
     """Drop image prompts, thoughts, fences, documents, elements, comments and short inline code, in this order."""
     out = F.regexp_replace(text, f"(?i)image###{_ANY}*?###", "")
-    tagged = out
-    for pattern in (f"(?i)<think(?:ing)?{_WORD_END}[^>]*>{_ANY}*?</think(?:ing)?>", f"(?i)<image>{_ANY}*?</image>"):
-        tagged = F.regexp_replace(tagged, pattern, "")
-    out = F.when(F.contains(out, F.lit("<")), tagged).otherwise(out)
+    out = _where(out, "<", _without((f"(?i)<think(?:ing)?{_WORD_END}[^>]*>{_ANY}*?</think(?:ing)?>", f"(?i)<image>{_ANY}*?</image>")))
     out = F.regexp_replace(F.regexp_replace(out, f"```{_ANY}*?```", ""), f"~~~{_ANY}*?~~~", "")
-    tagged = out
-    for pattern in (
+    elements = (
         f"(?i)<!DOCTYPE{_ANY}*?>",
         f"(?i)<html{_ANY}*?</html>",
         f"(?i)<({CONTENT_ELEMENTS}){_ANY}*?</\\1>",
         f"(?i)<({VOID_ELEMENTS}){_WORD_END}[^>]*/?[{WHITE}]*>",
         f"<!--{_ANY}*?-->",
-    ):
-        tagged = F.regexp_replace(tagged, pattern, "")
-    out = F.when(F.contains(out, F.lit("<")), tagged).otherwise(out)
-    return F.regexp_replace(out, "`[^`\n]{1,200}`", "")
+    )
+    return F.regexp_replace(_where(out, "<", _without(elements)), "`[^`\n]{1,200}`", "")
 
 
 def is_code_line(line: Column) -> Column:
     """Whether a line looks like code or markup; blank lines don't."""
-    t = js_trim(line)
+    return let(js_trim(line), _looks_like_code)
+
+
+def _looks_like_code(t: Column) -> Column:
     tests = (
         t.rlike(f"\\A</?[^{WHITE}<>]{{1,30}}/?>\\z")
         | t.rlike(f"(?i)\\A</?[a-z][A-Za-z0-9_:-]*([{WHITE}]|>|/>)")
@@ -110,13 +129,14 @@ def strip_code(text: Column, tags: str | None = None) -> Column:
     out = strip_markup_blocks(strip_tag_blocks(F.coalesce(text, F.lit("")), tags))
     lines = F.filter(F.split(out, "\r?\n", -1), lambda line: ~is_code_line(line))
     out = F.array_join(lines, "\n")
-    bare = F.regexp_replace(out, "(?i)</?[a-z][A-Za-z0-9_:-]*(?<=[A-Za-z0-9_])" + _WORD_END + "[^>]*>", "")
-    bare = F.regexp_replace(bare, f"</?[^{WHITE}<>]{{1,30}}/?>", "")
-    out = F.when(F.contains(out, F.lit("<")), bare).otherwise(out)
-    plain = out
-    for entity, char in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#039", "'")):
-        plain = F.regexp_replace(plain, f"(?i)&{entity};", char)
-    out = F.when(F.contains(out, F.lit("&")), plain).otherwise(out)
+    out = _where(out, "<", _without(("(?i)</?[a-z][A-Za-z0-9_:-]*(?<=[A-Za-z0-9_])" + _WORD_END + "[^>]*>", f"</?[^{WHITE}<>]{{1,30}}/?>")))
+
+    def decoded(plain: Column) -> Column:
+        for entity, char in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#039", "'")):
+            plain = F.regexp_replace(plain, f"(?i)&{entity};", char)
+        return plain
+
+    out = _where(out, "&", decoded)
     out = F.regexp_replace(F.regexp_replace(out, "[ \t]{2,}", " "), "\n{3,}", "\n\n")
     return js_trim(out)
 
@@ -124,15 +144,17 @@ def strip_code(text: Column, tags: str | None = None) -> Column:
 def trim_text(text: Column, most: int) -> Column:
     """The trimmed text with at most one blank line in a row, cut to ``most`` code units and marked with ... where it was longer."""
     clean = js_trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\n{3,}", "\n\n"))
-    return F.when(utf16_length(clean) <= most, clean).otherwise(F.concat(utf16_prefix(clean, most), F.lit("...")))
+    return let(clean, lambda c: F.when(utf16_length(c) <= most, c).otherwise(F.concat(utf16_prefix(c, most), F.lit("..."))))
 
 
 def utf16_prefix(text: Column, units: int) -> Column:
     """The first code units; a pair that the cut would split is left out."""
-    plain = F.substring(text, 1, units)
-    wide = F.length(text) != utf16_length(text)
-    cut = F.decode(F.substring(F.encode(text, "UTF-16BE"), 1, 2 * units), "UTF-16BE")
-    return F.when(wide, F.regexp_replace(cut, "\\ufffd\\z", "")).otherwise(plain)
+
+    def cut(x: Column) -> Column:
+        wide = F.regexp_replace(F.decode(F.substring(F.encode(x, "UTF-16BE"), 1, 2 * units), "UTF-16BE"), "\\ufffd\\z", "")
+        return F.when(F.length(x) != utf16_length(x), wide).otherwise(F.substring(x, 1, units))
+
+    return let(text, cut)
 
 
 def _escaped(value: Column, apostrophe: str) -> Column:

@@ -76,9 +76,9 @@ def _cosine_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
     for n in np.unique(size[size > 0]):
         rows = np.flatnonzero(size == n)
         x, y = (np.stack([np.frombuffer(c[int(i)].as_py(), np.int8, n) for i in rows]).astype(np.int64) for c in (a, b))
-        norm = (x * x).sum(1) * (y * y).sum(1)
+        norm = np.sqrt((x * x).sum(1).astype(float)) * np.sqrt((y * y).sum(1).astype(float))
         ok = norm > 0
-        out[rows[ok]] = (x * y).sum(1)[ok] / np.sqrt(norm[ok].astype(float))
+        out[rows[ok]] = (x * y).sum(1)[ok] / norm[ok]
     return pa.array(out)
 
 

@@ -140,10 +140,14 @@ def recall_prompts(merged: DataFrame, order: str = "score") -> DataFrame:
     return lists.select("query_id", F.concat(F.lit(PROMPT_HEAD), F.array_join(F.transform("_l", lambda p: p["x"]), "\n"), F.lit(PROMPT_TAIL)).alias("prompt"))
 
 
+def _two_places(x: Column) -> Column:
+    return F.floor(x * 100 + 0.5) / 100
+
+
 def recall_statistics(merged: DataFrame) -> DataFrame:
     """Per query: rows, turns in order, least and greatest score to two places."""
     score = F.coalesce("rerank_score", "score") if "rerank_score" in merged.columns else F.col("score")
-    stats = merged.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", F.coalesce("turn", F.lit(0)).alias("t")))).alias("_t"), F.round(F.min(score), 2).alias("least"), F.round(F.max(score), 2).alias("most"))
+    stats = merged.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", F.coalesce("turn", F.lit(0)).alias("t")))).alias("_t"), _two_places(F.min(score)).alias("least"), _two_places(F.max(score)).alias("most"))
     return stats.select("query_id", "n", F.array_join(F.transform("_t", lambda x: x["t"].cast("string")), ",").alias("turns"), "least", "most")
 
 

@@ -81,12 +81,6 @@ _OLD = f"""{_M}, {_FR}, {_turns('t', False)}, {_turns('h', True)}, {_raw('t', 'r
     old as (select spans.conv_id, spans.turn, n_messages, held.marker is not null as covered from spans join r using (conv_id, turn)
         left join (select * from held where marker <> '') held on held.conv_id = spans.conv_id and held.marker = r.marker where n > {KEEP} and last < n - {KEEP})"""
 
-_SPLIT_STEP = """
-    select {id}, n + 1, substr(rest, 1, cut), {trim_rest}, {most_of}
-    from (select *, case when at > floor(0.55 * {most}) then at + 1 else {most} end as cut from (
-        select *, {most} - length(regexp_extract(reverse(substr(rest, 1, {most})), '^[^。！？.!?\\n]*')) - 1 as at from w))"""
-
-
 def _split(source: str, most: int) -> str:
     """Parts of (id, text) by a loop over what remains. Of texts without letters beyond the basic plane."""
     at = f"({most} - length(regexp_extract(reverse(substr(rest, 1, {most})), '^[^。！？.!?\\n]*')) - 1)"
@@ -99,8 +93,8 @@ def _split(source: str, most: int) -> str:
         from w where rest <> '')"""
 
 
-_PARAGRAPHS = f"""p as (select id, x, generate_subscripts(l, 1) as n from (select id, l, unnest(l) as x, l from (
-    select doc_id as id, list_filter(list_transform(string_split_regex({_trim(r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")}, '\\n[{_WS}]*\\n'), lambda y: {_trim('y')}), lambda y: y <> '') as l from documents where text is not null)))"""
+_PARAGRAPHS = f"""p as (select id, unnest(l) as x, generate_subscripts(l, 1) as n from (
+    select doc_id as id, list_filter(list_transform(string_split_regex({_trim(r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")}, '\\n[{_WS}]*\\n'), lambda y: {_trim('y')}), lambda y: y <> '') as l from documents where text is not null))"""
 
 _TERMS = f"""terms as (select conv_id, coalesce(list(t order by -length(t), pos) filter (where rn <= 20), []) as terms from (
     select conv_id, t, pos, row_number() over (partition by conv_id order by -length(t), pos) as rn from (
@@ -153,10 +147,10 @@ _RERANKED = f"""{_RANKED}, ranked50 as (select * from ranked where rank <= 50),
 _BEST = _trim("coalesce(nullif(paragraph, ''), nullif(summary, ''), nullif(source_text, ''), '')")
 _MARK = "(chr(10) || '角色卡：')"
 _MERGED = f"""{_RERANKED}, one as (select *, {_BEST} as x, case when turn > 0 then count(*) over (partition by query_id, turn) else 1 end as k from re),
-    cutup as (select *, instr(x, {_MARK}) as at from one),
+    cutup as (select *, instr(x, {_MARK}) as pos from one),
     grp as (select query_id, turn, max(score) as score, min(rank) as rank, arg_max(coalesce(sequence, 0), (score, -rank)) as sequence, true as merged,
-        arg_min(case when at > 0 then {_trim("substr(x, 1, at - 1)")} end, (coalesce(sequence, 0), rank)) filter (where at > 0) as usr,
-        string_agg(nullif(case when at > 0 then {_trim("substr(x, at + 5)")} else x end, ''), chr(10) || chr(10) order by coalesce(sequence, 0), rank) as rep from cutup where k > 1 group by query_id, turn),
+        arg_min(case when pos > 0 then {_trim("substr(x, 1, pos - 1)")} end, (coalesce(sequence, 0), rank)) filter (where pos > 0) as usr,
+        string_agg(nullif(case when pos > 0 then {_trim("substr(x, pos + 5)")} else x end, ''), chr(10) || chr(10) order by coalesce(sequence, 0), rank) as rep from cutup where k > 1 group by query_id, turn),
     mg as (select query_id, turn, sequence, score, rank, merged, concat_ws(chr(10) || chr(10), nullif(usr, ''), case when rep is not null then '角色卡：' || rep end) as text from grp
         union all select query_id, turn, coalesce(sequence, 0), score, rank, false, x from cutup where k = 1)"""
 
@@ -203,7 +197,7 @@ ORACLE: dict[str, str] = {
     "hybrid_rank": f"with {_RANKED} select query_id, rank::int as rank, frag_id, round(raw_score, 6) as raw_score, round(score, 6)::double as score, hits::int as hits from ranked where rank <= 10",
     "rerank_apply": f"with {_RERANKED} select query_id, rank::int as rank, frag_id, round(score, 6)::double as score, used_fallback from re",
     "merge_same_turn": f"with {_MERGED} select query_id, turn, rank::int as rank, row_number() over (partition by query_id order by coalesce(nullif(turn, 0), 9007199254740991), sequence, rank)::int as time_rank, round(score, 6)::double as score, merged, md5(text) as text from mg",
-    "recall_statistics": f"with {_MERGED} select query_id, count(*) as n, string_agg(coalesce(turn, 0)::varchar, ',' order by rank) as turns, round(min(score), 2)::double as least, round(max(score), 2)::double as most from mg group by query_id",
+    "recall_statistics": f"with {_MERGED} select query_id, count(*) as n, string_agg(coalesce(turn, 0)::varchar, ',' order by rank) as turns, (floor(min(score)::double * 100 + 0.5) / 100)::double as least, (floor(max(score)::double * 100 + 0.5) / 100)::double as most from mg group by query_id",
     "retained_exclusion": f"""with {_M}, {_FR}, {_turns('t', False)}, {_turns('h', True)}, {_raw('t', 'r')}, {_raw('h', 'rh')}, {_spans('t')},
         kept as (select distinct conv_id, marker from spans join r using (conv_id, turn) where last >= greatest(0, n - {KEEP})),
         x as (select f.frag_id, f.conv_id, coalesce(nullif(f.raw_turn_fingerprint, ''), nullif(rh.raw, ''), nullif(f.turn_fingerprint, '')) as tok from fr f left join rh on rh.conv_id = f.conv_id and rh.turn = f.turn)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Transport = Callable[[str, str, dict, dict | None], tuple[int, object]]
 DEFAULT_TIMEOUT_S = 60
@@ -178,7 +179,7 @@ def embed_adaptive(texts: Sequence[str], service, batch_size: int = 8, sleep: Ca
 def embed_rows(rows: DataFrame, text: str, service, out: str = "embedding", batch_size: int = 8) -> DataFrame:
     """The rows with ``out``, the vector of ``text``; null for blank texts. A column of that name is replaced."""
     names = [c for c in rows.columns if c != out]
-    schema = rows.select(*names).schema.add(out, "array<double>")
+    schema = rows.select(*names).schema.add(out, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -151,7 +151,9 @@ def utf16_prefix(text: Column, units: int) -> Column:
     """The first code units; a pair that the cut would split is left out."""
 
     def cut(x: Column) -> Column:
-        wide = F.regexp_replace(F.decode(F.substring(F.encode(x, "UTF-16BE"), 1, 2 * units), "UTF-16BE"), "\\ufffd\\z", "")
+        data = F.encode(x, "UTF-16BE")
+        split = F.hex(F.substring(data, 2 * units - 1, 1)).between("D8", "DB")  # the last unit is the first of a pair
+        wide = F.decode(F.substring(data, F.lit(1), F.when(split, 2 * units - 2).otherwise(2 * units)), "UTF-16BE")
         return F.when(F.length(x) != utf16_length(x), wide).otherwise(F.substring(x, 1, units))
 
     return let(text, cut)

@@ -62,7 +62,8 @@ class IndexStore:
         if not known:
             return self.spark.createDataFrame([], INDEX_SCHEMA), self.spark.createDataFrame([], "conv_id long, marker string")
         at = f"{self.root}/v{known[-1] if version is None else version}"
-        return self.spark.read.parquet(f"{at}/records").drop("bucket"), self.spark.read.parquet(f"{at}/empty")
+        records = self.spark.read.schema(INDEX_SCHEMA + ", bucket int").parquet(f"{at}/records").drop("bucket")
+        return records, self.spark.read.schema("conv_id long, marker string").parquet(f"{at}/empty")
 
     def write(self, records: DataFrame, empty: DataFrame) -> int:
         """Write a new version: records without decoded vectors, and distinct markers that aren't blank. Returns its number."""

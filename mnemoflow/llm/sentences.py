@@ -46,7 +46,9 @@ DOT, ELLIPSIS, EXCLAIM, QUESTION, IDEOGRAPHIC, DANDA = range(1, 7)
 S_LOWER, S_UPPER, S_DIGIT, S_OPEN, S_DASH_LOWER, S_DASH, S_WIDE, S_REPEAT, S_OTHER, S_CASELESS = range(10)
 N_SHAPE = 10
 #: Log odds that the first pass starts from, by shape.
-FIRST_SHAPE = np.array([-3.0, 0.7, -0.5, 0.7, -3.0, 0.7, 0.0, -3.0, 0.0, 0.0])
+FIRST_SHAPE = np.array([-3.0, 0.7, -0.5, 0.7, -9.0, 0.7, 0.0, -9.0, 0.0, 0.0])
+#: Shapes that go on with what stands before, whatever the word: a remark after a dash, a word that is said again.
+GOES_ON = (S_DASH_LOWER, S_REPEAT)
 K_ENDS, K_NEXT, K_SHAPE, K_GAP = range(4)
 N_GAP = 5
 
@@ -59,7 +61,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     base = np.where(t.length == 1, t.single, np.arange(n)).astype(np.uint32)
     cls = np.full(n, OTHER, np.uint8)
     lower = base.copy()
-    for cp in (*range(0x3000), *range(0xA000, 0xAC00), *range(0xF900, 0x17000), *range(0x1E000, 0x20000)):
+    for cp in (*range(0x3040), *range(0xA000, 0xAC00), *range(0xF900, 0x17000), *range(0x1E000, 0x20000)):
         ch = chr(base[cp])
         cat = ud.category(ch)
         cls[cp] = BLANK if cat[0] == "Z" or ch == "\t" else UPPER if cat == "Lu" else WORD if cat[0] in "LM" else DIGIT if cat == "Nd" else DASH if cat == "Pd" else OTHER
@@ -320,6 +322,7 @@ def posteriors(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
     if not n:
         return np.zeros(0)
     follow = m.word_weight[x.word] * m.word[x.word] + (1 - m.word_weight[x.word]) * m.shape[x.shape]
+    follow = np.where(np.isin(x.shape, GOES_ON), m.shape[x.shape], follow)
     odds = m.ends[x.key] + np.where(x.plain, p.plain_mark, 0.0) + follow
     begins = np.ones(n, bool)
     begins[1:] = x.line[1:] != x.line[:-1]
@@ -410,7 +413,7 @@ def learn(values: DataFrame, p: SentenceParams = SentenceParams()) -> Model:
     again = _sums(values, first, p)
     seen = again[K_NEXT].sum(1)
     shape = _ratio(again[K_SHAPE], 4.0)
-    shape[S_REPEAT] = min(shape[S_REPEAT], FIRST_SHAPE[S_REPEAT])
+    shape[list(GOES_ON)] = FIRST_SHAPE[list(GOES_ON)]
     # add-one smoothing over the words that occur
     share = (again[K_NEXT] + 0.5) / (again[K_NEXT].sum(0) + 0.5 * max(1, int((seen > 0).sum())))
     word = np.clip(np.log(share[:, 0]) - np.log(share[:, 1]), -p.word_strongest, p.word_strongest)

@@ -211,5 +211,5 @@ ORACLE: dict[str, str] = {
         count(distinct case when turn > 0 then turn end) as covered_turns, count(*) > 5000 as large from fr where conv_id is not null group by conv_id""",
     "model_mismatch": f"with {_FR} select conv_id, count(*) filter (where embedding_model is distinct from 'bramble-embed-m') as other_model, count(*) filter (where embedding_model = 'bramble-embed-m' and embedding_dims is not null and embedding_dims <> 0 and embedding_dims <> 128) as other_dims from fr where conv_id is not null group by conv_id",
     "index_models": "select distinct embedding_model as model, regexp_matches(embedding_model, '(?i)embed|bge|gte|(^|[^A-Za-z0-9_])e5([^A-Za-z0-9_]|$)|e5-') as embeds, regexp_matches(embedding_model, '(?i)rerank') as reranks from fragments where embedding_model is not null and embedding_model <> ''",
-    "arrival_windows": f"with {_M} select date_trunc('hour', recv_ts) as window_start, origin, count(*) as n, count(*) filter (where recv_ts > send_ts + interval 1 day) as n_late from m where recv_ts is not null group by all",
+    "arrival_windows": f"with {_M} select epoch(date_trunc('hour', recv_ts))::bigint as window_start, origin, count(*) as n, count(*) filter (where recv_ts > send_ts + interval 1 day) as n_late from m where recv_ts is not null group by all",
 }

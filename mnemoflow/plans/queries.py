@@ -405,4 +405,5 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def arrival_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.arrival_windows(tables.messages(spark, sf_dir).select("recv_ts", "send_ts", "origin"))
+    rows = ingest.arrival_windows(tables.messages(spark, sf_dir).select("recv_ts", "send_ts", "origin"))
+    return rows.withColumn("window_start", F.unix_timestamp("window_start"))

@@ -15,7 +15,7 @@ def test_every_text_has_its_query():
     assert set(plans.ORACLE) <= set(plans.QUERIES) and len(plans.QUERIES) > 45
 
 
-@pytest.mark.parametrize("name", sorted(n for n in plans.ORACLE if n not in ("arrival_windows",)))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE))
 def test_query_equals_its_sql(spark, small, name):
     con = duckdb.connect()
     con.execute("set temp_directory=''")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from mnemoflow.llm.fold import fold_array
+from mnemoflow.session import checkpoint_dir
 
 
 @arrow_udf(T.StringType())
@@ -38,8 +39,10 @@ def alike_variants(values: DataFrame, salt_rows: int = 20_000) -> DataFrame:
     keyed = (
         values.select("field", "id", "text")
         .where(F.col("text").isNotNull() & F.col("id").isNotNull())
-        .select("field", "id", F.md5(one_form(F.col("text"))).alias("form"), F.md5("text").alias("spelling"))
+        .select("field", "id", F.unhex(F.md5(one_form(F.col("text")))).alias("form"), F.unhex(F.md5("text")).alias("spelling"))
     )
+    checkpoint_dir(values.sparkSession)
+    keyed = keyed.checkpoint()  # read twice below; 40 bytes a value, against folding every text again
     spellings = keyed.groupBy("field", "form", "spelling").agg(F.count("*").alias("n"))
     several = (
         spellings.groupBy("field", "form")
@@ -58,6 +61,7 @@ def alike_pairs(values: DataFrame, salt_rows: int = 20_000) -> DataFrame:
     their records; a spelling of many records is cut into parts, each joined by itself.
     """
     members = alike_variants(values, salt_rows)
+    # few of all values are left: those that have another spelling
     parts = members.select("field", "form", "spelling", "salt").distinct()
     other = parts.select("field", "form", F.col("spelling").alias("spelling_b"), F.col("salt").alias("salt_b"))
     pairs = parts.join(other, ["field", "form"]).where(F.col("spelling") < F.col("spelling_b"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of UTF-8 that one vectorised step takes at most, beyond a single row.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _offsets_and_bytes(column: pa.Array) -> tuple[np.ndarray, memoryview]:

@@ -28,6 +28,8 @@ class CutParams:
     gap: int = 4  # of them, so many next to it are left out: a limit blurs into its neighbours
     rate: float = 0.01  # false-discovery rate
     least_events: int = 5
+    below: int = 24  # lengths below a significant one at which a limit still shows, as cuts move back to a letter's or word's end
+    final_share: float = 0.01  # of a word's occurrences, those before a final mark, from which texts may trail off on it
     short_words: int = 7
     short_letters: int = 16
     seen: int = 2  # times that a reply or a final word must be met elsewhere to count as known
@@ -82,7 +84,7 @@ def ending(text: str, p: CutParams) -> tuple[int, str, str]:
     line = tail[tail.rfind("\n") + 1 :]
     bare = _LABEL.sub("", line)
     if _RUN.search(tail[-64:]):
-        return COMPLETE, "", ""
+        return LISTED, "", ""
     word = _LAST_WORD.search(_TRAIL.sub("", bare[-256:]).rstrip(CLOSERS))
     last = word.group() if word else ""
     if _WIDE.search(bare[-4:]):
@@ -93,7 +95,7 @@ def ending(text: str, p: CutParams) -> tuple[int, str, str]:
     if trail:
         before = bare[: trail.start()]
         final = _LAST_WORD.search(before[-256:])
-        return TRAILING, (final.group() if final and not _WIDE.search(before[-2:]) and not _THAI.search(before[-2:]) else ""), ""
+        return TRAILING, (before[-2:] if _WIDE.search(before[-2:]) else final.group() if final and not _THAI.search(before[-2:]) else ""), ""
     body = bare.rstrip(CLOSERS)
     closed = len(body) < len(bare)
     if _unbalanced(bare):
@@ -136,7 +138,8 @@ def _endings(batches: Iterator[pa.RecordBatch], p: CutParams) -> Iterator[pa.Rec
 
 
 def _usage(batches: Iterator[pa.RecordBatch], p: CutParams) -> Iterator[pa.RecordBatch]:
-    """Partial counts of what stands inside texts: kind, key, n, m. Kinds: w words; d words before a full stop, m at a line's end;
+    """Partial counts of what stands inside texts: kind, key, n, m. Kinds: w words; d words before a full stop, m at a line's end; f words before
+    final marks and line ends;
     l last words of lines that aren't the last; t endings before a blank in a script without final marks."""
     for batch in batches:
         for a, b in slices(batch.column("text")):
@@ -168,9 +171,13 @@ def _usage(batches: Iterator[pa.RecordBatch], p: CutParams) -> Iterator[pa.Recor
             out.append(("d", hashes[known], after[known] == 0x0A))
             final = follow == 0x0A
             out.append(("l", hashes[final], np.zeros(int(final.sum()), bool)))
-            wide = np.flatnonzero((flat >= 0x3040) & (flat < 0xA000) & (nxt == 0x0A))
-            wide = wide[wide > 0]
-            out.append(("l", segment_hash(lower[(wide[:, None] + np.array([-1, 0])).ravel()], np.arange(0, 2 * len(wide), 2), np.arange(2, 2 * len(wide) + 1, 2)).astype(np.int64), np.zeros(len(wide), bool)))
+            ends = np.array([ord(c) for c in ENDS + "\n"], np.uint32)
+            last = np.isin(follow, ends) & (end + 4 < starts[row[begin] + 1])  # a mark at a text's own end says nothing here
+            out.append(("f", hashes[last], np.zeros(int(last.sum()), bool)))
+            for what, wide in (("l", nxt == 0x0A), ("f", np.isin(nxt, ends))):
+                wide = np.flatnonzero((flat >= 0x3040) & (flat < 0xA000) & wide)
+                wide = wide[(wide > 0) & (wide + 5 < starts[row[wide] + 1])]
+                out.append((what, segment_hash(lower[(wide[:, None] + np.array([-1, 0])).ravel()], np.arange(0, 2 * len(wide), 2), np.arange(2, 2 * len(wide) + 1, 2)).astype(np.int64), np.zeros(len(wide), bool)))
             thai = np.flatnonzero((flat >= 0xE00) & (flat < 0xE80) & ((nxt == 0x20) | (nxt == 0x0A)))
             thai = thai[thai - starts[row[thai]] >= p.suffix - 1]
             around = (thai[:, None] + np.arange(1 - p.suffix, 1)).ravel()
@@ -248,8 +255,11 @@ def verdicts(values: DataFrame, p: CutParams = CutParams()) -> DataFrame:
     spread = doubtful.select("field", "source", "id", doubt.alias("doubt"), units).select("field", "source", "id", "doubt", "_u.*")
     same = [spread[c].eqNullSafe(limits[c]) if c == "source" else spread[c] == limits[c] for c in ("field", "source", "doubt", "unit", "length")]
     at_limit = spread.join(limits, same, "left_semi").select("field", "id").distinct().withColumn("at_limit", F.lit(True))
+    around = limits.select("field", F.col("source").alias("_s"), "doubt", "unit", F.explode(F.sequence(F.col("length") - p.below, F.col("length"))).alias("length")).distinct()
+    close = [spread["source"].eqNullSafe(around["_s"]), *[spread[c] == around[c] for c in ("field", "doubt", "unit", "length")]]
+    near_limit = spread.where("doubt = 'trailing'").join(around, close, "left_semi").select("field", "id").distinct().withColumn("near_limit", F.lit(True))
 
-    known = {w: usage.where(F.col("what") == w).select(F.col("key").alias("word"), F.col("n").alias(f"n_{w}"), F.col("m").alias(f"m_{w}")) for w in "wdlt"}
+    known = {w: usage.where(F.col("what") == w).select(F.col("key").alias("word"), F.col("n").alias(f"n_{w}"), F.col("m").alias(f"m_{w}")) for w in "wdltf"}
     # a reply is known when it makes up other values, or when what begins or ends like it usually is one
     replies = rows.where("whole and reply <> 0").groupBy("reply").agg(F.count("*").alias("n_r"))
     starts = rows.groupBy("first").agg(F.count("*").alias("n_s"), F.count_if((F.col("kind") == SHORT) & F.col("whole")).alias("m_s"))
@@ -260,15 +270,17 @@ def verdicts(values: DataFrame, p: CutParams = CutParams()) -> DataFrame:
         part = doubtful.where(F.col("kind") == kind)
         for table, on in tables:
             part = part.join(table, on, "left")
+        if kind == TRAILING:
+            part = part.join(near_limit, ["field", "id"], "left")
         return part.join(at_limit, ["field", "id"], "left").select("field", "id", "source", "kind", F.coalesce("at_limit", F.lit(False)).alias("at_limit"), F.expr(cut).alias("cut"))
 
     limit = "coalesce(at_limit, false)"
     parts = [
-        judged(TRAILING, [(known["w"], "word")], f"{limit} or (word <> 0 and n_w is null)"),
+        judged(TRAILING, [(known["w"], "word"), (known["f"], "word")], f"{limit} or (near_limit and word <> 0 and coalesce(n_f, 0) < greatest({p.seen}, {p.final_share} * coalesce(n_w, 0)))"),
         judged(DOTTED, [(known["d"], "word")], f"{limit} and coalesce(n_d, 0) >= 20 and m_d < 0.02 * n_d"),
         judged(LISTED, [(known["l"], "word")], f"coalesce(n_l, 0) < {p.seen} and {limit}"),
         judged(UNMARKED, [(known["t"], "word"), (replies, "reply")], f"coalesce(n_t, 0) < {p.seen} and not {same_reply}"),
-        judged(SHORT, [(replies, "reply"), (finals, "word"), (starts, "first")], f"not ({same_reply} or coalesce(n_s >= 2 and m_s >= 0.6 * n_s, false) or coalesce(f_s >= 5 and f_s >= 4 * f_o, false))"),
+        judged(SHORT, [(replies, "reply"), (finals, "word"), (starts, "first")], f"not ({same_reply} or coalesce(n_s >= 2 and m_s >= 0.6 * n_s, false) or coalesce(f_s >= 5 and f_s >= 4 * f_o and not (n_s >= 5 and m_s < 0.1 * n_s), false))"),
     ]
     opened = doubtful.where(F.col("kind") == OPEN).join(at_limit, ["field", "id"], "left")
     parts.append(opened.select("field", "id", "source", "kind", F.coalesce("at_limit", F.lit(False)).alias("at_limit"), F.lit(True).alias("cut")))

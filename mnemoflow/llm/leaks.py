@@ -30,7 +30,8 @@ class LeakParams:
     min_letters: int = 20
     letter_langs: tuple[str, ...] = ("zh",)
     eval_block_chars: int = 20_000_000  # evaluation text that one scan of the corpus looks for
-    pairs_at_once: int = 2_000_000
+    shard_bytes: int = 2 << 20  # text of one suffix array
+    pairs_at_once: int = 1_000_000
 
 
 @lru_cache(1)
@@ -243,7 +244,7 @@ def leaks(documents: DataFrame, evalset: DataFrame, p: LeakParams = LeakParams()
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 column, doc_ids = batch.column("text"), batch.column("doc_id").to_numpy(zero_copy_only=False)
-                for a, b in slices(column):
+                for a, b in slices(column, p.shard_bytes):
                     flat, starts = to_codepoints(column.slice(a, b - a))
                     best: dict[tuple[int, int], tuple[int, int]] = {}
                     for index in shared.value:

@@ -14,7 +14,7 @@ VALUES = "field string, id long, source string, text string, cut string, kind st
 def test_endings():
     p = cutoff.CutParams()
     kinds = {
-        "It ended!": cutoff.COMPLETE, "他走了。": cutoff.COMPLETE, "": cutoff.COMPLETE, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa": cutoff.COMPLETE, "知道了😊": cutoff.COMPLETE, "(done)": cutoff.COMPLETE,
+        "It ended!": cutoff.COMPLETE, "他走了。": cutoff.COMPLETE, "": cutoff.COMPLETE, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa": cutoff.LISTED, "知道了😊": cutoff.COMPLETE, "(done)": cutoff.COMPLETE,
         "It was the map that [...]": cutoff.CUT, "He sai�": cutoff.CUT,
         "He left. She wen": cutoff.OPEN, "他走了。她": cutoff.OPEN, "“Run. Sto.": cutoff.OPEN, '"Run. Stop.': cutoff.OPEN,
         "on my way": cutoff.SHORT, "用户：好的": cutoff.SHORT, "And nobody knew...": cutoff.TRAILING, "He met Dr.": cutoff.DOTTED, "1. map -> gate": cutoff.LISTED, "เธอเดินออกไป": cutoff.UNMARKED,

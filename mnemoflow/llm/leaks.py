@@ -16,7 +16,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mnemoflow.llm.codepoints import row_of, segment_hash, slices, to_codepoints
 from mnemoflow.llm.fold import fold, tables

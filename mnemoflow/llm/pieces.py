@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.codepoints import mix, row_of, segment_hash, slices, to_codepoints, to_strings, validity
+from mnemoflow.llm.codepoints import mix, segment_hash, slices, to_codepoints, to_strings
 
 # What the trimming of a text takes for white space.
 TRIMMED = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"

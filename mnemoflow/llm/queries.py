@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoflow.llm import alike, cutoff, leaks, mixing, nearest, pieces, prose, sentences
+from mnemoflow.llm.oracle import ORACLE  # noqa: F401
 from mnemoflow.llm.tables import fragment_texts, message_texts, once
 from mnemoflow.session import read_table
 

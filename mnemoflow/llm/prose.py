@@ -9,6 +9,7 @@ of prose and of the other structures are learned over all documents, from pools
 from __future__ import annotations
 
 import unicodedata as ud
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from mnemoflow.llm.codepoints import segment_hash, slices, to_codepoints
 from mnemoflow.llm.fold import fold
+from mnemoflow.session import checkpoint_dir
 
 LANGS = ("en", "de", "fr", "es", "ru", "hi", "ar", "zh", "ja", "th")
 SPACED = 7  # the first so many write blanks between words
@@ -379,34 +381,65 @@ def _scored(pools: Pools, profiles: np.ndarray, p: ProseParams) -> np.ndarray:
         d[profiles[lang].sum(1) == 0] = np.inf
         nearest = d.argmin(0)
         out[mine] = np.where(nearest == 7, 0, nearest)
-    out[(pools.look & SHORT) > 0] = np.where(out[(pools.look & SHORT) > 0] == 0, 2, out[(pools.look & SHORT) > 0])
+    out[((pools.look & SHORT) > 0) & (out == 0)] = 2
     return out
 
 
-def learn_profiles(documents: DataFrame, common_words: DataFrame, p: ProseParams = ProseParams()) -> tuple[list[tuple[str, str]], np.ndarray]:
-    """(function words, profiles): token counts of the undoubted pools by language and structure, over all documents.
+def _packed(pools: Pools, docs: int) -> list[bytes]:
+    """The pools of each document as bytes: language, look, characters and features."""
+    cut = np.searchsorted(pools.doc, np.arange(docs + 1))
+    table = np.concatenate((pools.lang[:, None], pools.look[:, None], pools.chars[:, None], pools.features), 1).astype("<u4")
+    return [zlib.compress(table[a:b].tobytes(), 1) for a, b in zip(cut[:-1], cut[1:])]
 
-    Every task sums into one array of fixed size; where a language has none of a structure, the structure's sum over all
-    languages stands in.
-    """
+
+def _unpacked(column: pa.Array) -> Pools:
+    tables = [np.frombuffer(zlib.decompress(v.as_py()), "<u4").reshape(-1, 3 + N_FEATURE) for v in column]
+    doc = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
+    table = np.concatenate(tables).astype(np.int64) if tables else np.zeros((0, 3 + N_FEATURE), np.int64)
+    return Pools(doc, table[:, 0], table[:, 1], table[:, 2].astype(float), table[:, 3:].astype(float))
+
+
+STATS = ("lines", "lines_punctuated", "words", "common", "letters", "symbols", "chars", "bullets")
+
+
+def described(documents: DataFrame, common_words: DataFrame, p: ProseParams = ProseParams()) -> DataFrame:
+    """doc_id, lang (number), pools (packed) and plain counts of every document, from one reading of the texts."""
     rows = [(r.lang, r.term) for r in common_words.where("lang is not null and term is not null").select("lang", "term").distinct().toLocalIterator()]
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(rows)
+    shared = documents.sparkSession.sparkContext.broadcast(rows)
+    names = ["doc_id", "lang", "pools", *STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(shared.value)
-        total = np.zeros((len(LANGS), len(STRUCTURES), N_FEATURE))
         for batch in batches:
             column = batch.column("text")
             for x, y in slices(column):
-                pools, _ = describe(*to_codepoints(column.slice(x, y - x)), terms, p)
-                seed = _seed(pools)
-                sure = seed >= 0
-                np.add.at(total, (pools.lang[sure], seed[sure]), pools.features[sure])
+                pools, s = describe(*to_codepoints(column.slice(x, y - x)), terms, p)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(x, y - x), pa.array(s["lang"].astype(np.int32)), pa.array(_packed(pools, y - x), pa.binary()), *(pa.array(s[n].astype(np.int64)) for n in STATS)], names
+                )
+
+    schema = "doc_id long, lang int, pools binary, " + ", ".join(f"{n} long" for n in STATS)
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
+
+
+def learn_profiles(rows: DataFrame) -> np.ndarray:
+    """Token counts of the undoubted pools by language and structure, over all described documents.
+
+    Every task sums into one array of fixed size; where a language has none of a structure, the structure's sum over all
+    languages stands in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(LANGS), len(STRUCTURES), N_FEATURE))
+        for batch in batches:
+            pools = _unpacked(batch.column("pools"))
+            seed = _seed(pools)
+            sure = seed >= 0
+            np.add.at(total, (pools.lang[sure], seed[sure]), pools.features[sure])
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], ["place", "value"])
 
-    sums = documents.where("text is not null").select("text").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    sums = rows.select("pools").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
     profiles = np.zeros(len(LANGS) * len(STRUCTURES) * N_FEATURE)
     for row in sums.toLocalIterator():  # at most as many rows as the array has places
         profiles[row.place] = row.value
@@ -420,7 +453,7 @@ def learn_profiles(documents: DataFrame, common_words: DataFrame, p: ProseParams
     profiles[:, 6, COMMA] = 0
     profiles[:, 7] = profiles[:, 0]  # prose that its writer didn't punctuate
     profiles[:, 7, [END, COMMA, QUOTE]] = 0
-    return rows, profiles
+    return profiles
 
 
 def text_statistics(documents: DataFrame, common_words: DataFrame, p: ProseParams = ProseParams()) -> DataFrame:
@@ -431,40 +464,28 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, p: ProseParam
     that aren't blank, and words. structure is that of most characters; is_prose says that at least ``share`` of the non-blank
     characters stand in running sentences. A null or blank text has counts of 0, null ratios, and isn't prose.
     """
-    rows, profiles = learn_profiles(documents, common_words, p)
-    shared = documents.sparkSession.sparkContext.broadcast((rows, profiles))
-    schema = "doc_id long, words long, mean_word_length double, symbol_ratio double, punctuated_lines double, bullet_lines double, common_words double, lang_guess string, prose_share double, structure string, is_prose boolean"
+    checkpoint_dir(documents.sparkSession)
+    rows = described(documents, common_words, p).checkpoint()  # read twice: for the profiles, and to compare with them
+    shared = documents.sparkSession.sparkContext.broadcast(learn_profiles(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, model = Terms(shared.value[0]), shared.value[1]
+        model = shared.value
         for batch in batches:
-            column = batch.column("text")
-            for x, y in slices(column):
-                pools, s = describe(*to_codepoints(column.slice(x, y - x)), terms, p)
-                structure = _scored(pools, model, p)
-                by = np.zeros((y - x, len(STRUCTURES)))
-                np.add.at(by, (pools.doc, structure), pools.chars)
-
-                def ratio(a: np.ndarray, b: np.ndarray) -> pa.Array:
-                    return pa.array(np.divide(a, b, out=np.zeros_like(a, dtype=float), where=b > 0), mask=b == 0)
-
-                share = np.divide(by[:, 0], s["chars"], out=np.zeros(y - x), where=s["chars"] > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(x, y - x),
-                        pa.array(s["words"].astype(np.int64)),
-                        ratio(s["letters"], s["words"]),
-                        ratio(s["symbols"], s["chars"]),
-                        ratio(s["lines_punctuated"], s["lines"]),
-                        ratio(s["bullets"], s["lines"]),
-                        ratio(s["common"], s["words"]),
-                        pa.array([LANGS[i] for i in s["lang"]]),
-                        pa.array(share, mask=s["chars"] == 0),
-                        pa.array([STRUCTURES[i] for i in by.argmax(1)], mask=s["chars"] == 0),
-                        pa.array(share >= p.share),
-                    ],
-                    schema=None,
-                    names=["doc_id", "words", "mean_word_length", "symbol_ratio", "punctuated_lines", "bullet_lines", "common_words", "lang_guess", "prose_share", "structure", "is_prose"],
-                )
-
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
+            pools = _unpacked(batch.column("pools"))
+            structure = _scored(pools, model, p)
+            n = batch.num_rows
+            by = np.zeros((n, len(STRUCTURES)))
+            np.add.at(by, (pools.doc, structure), pools.chars)
+            chars = batch.column("chars").to_numpy()
+            share = np.divide(by[:, 0], chars, out=np.zeros(n), where=chars > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([LANGS[i] for i in batch.column("lang").to_pylist()]), pa.array(share, mask=chars == 0), pa.array([STRUCTURES[i] for i in by.argmax(1)], mask=chars == 0), pa.array(share >= p.share), *(batch.column(c) for c in STATS)],
+                ["doc_id", "lang_guess", "prose_share", "structure", "is_prose", *STATS],
+            )
+
+    schema = "doc_id long, lang_guess string, prose_share double, structure string, is_prose boolean, " + ", ".join(f"{n} long" for n in STATS)
+    made = rows.mapInArrow(run, schema)
+    return made.select(
+        "doc_id", "words", F.try_divide("letters", "words").alias("mean_word_length"), F.try_divide("symbols", "chars").alias("symbol_ratio"), F.try_divide("lines_punctuated", "lines").alias("punctuated_lines"),
+        F.try_divide("bullets", "lines").alias("bullet_lines"), F.try_divide("common", "words").alias("common_words"), "lang_guess", "prose_share", "structure", "is_prose",
+    )

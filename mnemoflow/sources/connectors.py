@@ -262,8 +262,8 @@ def model_catalog(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 def models_for(catalog: DataFrame, use: str) -> DataFrame:
     """The models for ``use`` (embeds or reranks), or all where none is."""
-    some = catalog.agg(F.max(use).alias("_any"))
-    return catalog.crossJoin(F.broadcast(some)).where(F.col(use) | ~F.coalesce("_any", F.lit(False))).drop("_any")
+    some = catalog.where(use)
+    return catalog if some.isEmpty() else some
 
 
 def error_column(payload: Column, status: Column) -> Column:

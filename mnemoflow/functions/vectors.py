@@ -85,3 +85,23 @@ def _cosine_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
 def cosine_bytes(a: Column, b: Column) -> Column:
     """:func:`cosine` of two binary columns of int8 values, a batch at a time."""
     return _cosine_bytes(a, b)
+
+
+@arrow_udf(T.DoubleType())
+def _cosine_query(query: pa.Array, vec: pa.Array) -> pa.Array:
+    out = np.full(len(query), -1.0)
+    for i, (q, v) in enumerate(zip(query, vec)):
+        if q.is_valid and v.is_valid:
+            x = np.nan_to_num(np.asarray(q.values.to_numpy(zero_copy_only=False), float))
+            y = np.frombuffer(v.as_py(), np.int8).astype(float)
+            n = min(len(x), len(y))
+            x, y = x[:n], y[:n]
+            norm = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
+            if norm > 0:
+                out[i] = (x * y).sum() / norm
+    return pa.array(out)
+
+
+def cosine_query(query: Column, vec: Column) -> Column:
+    """:func:`cosine` of an array of numbers and a binary column of int8 values; the scale of the latter doesn't matter."""
+    return _cosine_query(query, vec)

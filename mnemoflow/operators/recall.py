@@ -30,6 +30,11 @@ def build_queries(latest: DataFrame, text: str = "mes", tags: str | None = None)
     return rows.select("conv_id", "query_text", F.concat(F.lit(QUERY_PREFIX), F.col("query_text")).alias("embed_text"), lexical.query_terms(F.col("query_text")).alias("terms"))
 
 
+def manual_search(latest: DataFrame, query: str, text: str = "mes") -> DataFrame:
+    """The latest user messages with a searched text in place of theirs; recall takes them like any others."""
+    return latest.withColumn(text, F.lit(query))
+
+
 def allowed_type(kind: Column) -> Column:
     return kind.isNull() | kind.isin(*ALLOWED_TYPES)
 
@@ -37,7 +42,7 @@ def allowed_type(kind: Column) -> Column:
 def candidates(queries: DataFrame, index: DataFrame, excluded: DataFrame | None = None, strict_model: bool = True) -> DataFrame:
     """Every query with the records of its conversation that may be recalled.
 
-    ``queries``: query_id, conv_id, model, query_q (int8 bytes), terms; ``index``: the stored columns with vec (int8 bytes). Records that are
+    ``queries``: query_id, conv_id, model, query_q (int8 bytes) or query_vec (numbers), terms; ``index``: the stored columns with vec (int8 bytes). Records that are
     disabled, without vector, of another model (with ``strict_model`` off only where both are known), of other dimensions, or of an
     excluded turn (conv_id, marker) are out. An equi-join by conversation: queries and records of a conversation meet, no others.
     """
@@ -49,13 +54,14 @@ def candidates(queries: DataFrame, index: DataFrame, excluded: DataFrame | None
     joined = queries.join(rows, "conv_id")
     known = F.col("model").isNotNull() & F.col("embedding_model").isNotNull()
     same = F.col("embedding_model").eqNullSafe(F.col("model")) if strict_model else ~known | (F.col("embedding_model") == F.col("model"))
-    dims = F.col("embedding_dims").isNull() | (F.col("embedding_dims") == 0) | (F.col("embedding_dims") == F.length("query_q"))
+    dims = F.col("embedding_dims").isNull() | (F.col("embedding_dims") == 0) | (F.col("embedding_dims") == (F.length("query_q") if "query_q" in queries.columns else F.size("query_vec")))
     return joined.where(same & dims)
 
 
 def scored(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs with raw_score, lexical and score, of those whose cosine reaches the threshold; the boost comes on top."""
-    rows = pairs.withColumn("raw_score", vectors.cosine_bytes(F.col("query_q"), F.col("vec"))).where((F.col("raw_score") > -1) & (F.col("raw_score") >= threshold))
+    cosine = vectors.cosine_bytes(F.col("query_q"), F.col("vec")) if "query_q" in pairs.columns else vectors.cosine_query(F.col("query_vec"), F.col("vec"))
+    rows = pairs.withColumn("raw_score", cosine).where((F.col("raw_score") > -1) & (F.col("raw_score") >= threshold))
     rows = rows.withColumn("lexical", lexical.lexical_match(F.col("source_text"), F.col("summary"), F.col("terms")))
     return rows.withColumn("score", F.col("raw_score") + F.col("lexical.boost"))
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from mnemoflow.functions import keys, lexical, text, vectors
 from mnemoflow.operators import compression, fragments, index, recall, search, turns
+from mnemoflow.plans import pipeline
 from mnemoflow.session import checkpoint_dir, read_table
+from mnemoflow.settings import RecallSettings
 from mnemoflow.sources import connectors, tables
 from mnemoflow.streaming import ingest
 
@@ -388,6 +390,16 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("id", "conv_id", "turn", "sequence", "embedding_dims", F.round("embedding_scale", 9).alias("embedding_scale"), F.md5("embedding_q").alias("embedding_q"))
 
 
+@registered
+def recall_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations ingested from nothing, then asked by their latest user messages."""
+    messages, embedder = tables.messages(spark, sf_dir), connectors.HashEmbedder()
+    nothing = spark.createDataFrame([], tables.INDEX_SCHEMA)
+    records = ingest.ingest_conversations(messages, nothing, embedder, "hashed-64")
+    rows = pipeline.recall_memories(messages, records, embedder, RecallSettings(model="hashed-64", keep_floors=30))
+    return rows.select("query_id", "rank", "turn", F.round("score", 6).alias("score"), F.col("lexical.hits").alias("hits"), "merged", F.md5("text").alias("text"))
+
+
 # streams
 
 

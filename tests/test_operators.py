@@ -185,3 +185,32 @@ def test_settings_are_bounded():
     assert RecallSettings(rerank_enabled=True).threshold == 0.3 and RecallSettings(rerank_enabled=True).candidate_limit == 50
     with pytest.raises(AttributeError):
         s.top_k = 5
+
+
+def test_recall_from_end_to_end(spark):
+    from mnemoflow.plans import pipeline
+    from mnemoflow.sources.connectors import HashEmbedder
+    from mnemoflow.streaming.ingest import ingest_conversations
+
+    subjects = ["lantern in the harbour", "violin of the old foundry", "copper key under the stair", "quilt on the orchard wall"]
+    rows = []
+    for i in range(40):
+        subject = subjects[i % 4] + f" number {i}"
+        rows += [(True, None, None, f"Tell me about the {subject}, " * 3, None, None), (False, None, None, f"The {subject} was seen by the keeper of the tower. " * 3, None, None)]
+    rows.append((True, None, None, "Tell me about the lantern in the harbour number 4, " * 3, None, None))
+    messages = chat(spark, rows).drop("turn")
+    nothing = spark.createDataFrame([], tables.INDEX_SCHEMA)
+    records = ingest_conversations(messages, nothing, HashEmbedder(256), "h").cache()
+    settings = RecallSettings(model="h", keep_floors=30)
+    found = pipeline.recall_memories(messages, records, HashEmbedder(256), settings).orderBy("rank").collect()
+    assert 1 <= len(found) <= 10 and found[0].turn == 5 and "number 4" in found[0].text
+    retained = {t for t in range(26, 42)}
+    assert not retained & {r.turn for r in found}
+    empty = spark.createDataFrame([], "conv_id long, marker string")
+    out = pipeline.prompted_messages(messages, records, empty, HashEmbedder(256), settings)
+    prompt = out.where("injected").first()
+    assert "number 4" in prompt.mes and out.where(~F.coalesce("injected", F.lit(False))).count() < 81
+    other = pipeline.recall_memories(messages, records, HashEmbedder(256), RecallSettings(model="other"))
+    assert other.count() == 0
+    asked = recall.manual_search(turns.latest_user(messages), "quilt on the orchard wall number 3 and the keeper of the tower")
+    assert pipeline.recall_memories(messages, records, HashEmbedder(256), settings, latest=asked).count() > 0

@@ -144,16 +144,13 @@ def turn_fragments(turns: DataFrame, text: str = "mes", tags: str | None = None,
     who = F.when(is_user(), "user").otherwise("assistant")
     rows = turns.select("conv_id", "turn", "msg_index", who.alias("who"), "name", F.posexplode(blocks(strip_code(F.col(text), tags))).alias("_n", "_b"))
     rows = rows.withColumn("id_part", F.format_string("%d:%s:%d-%d", F.col("msg_index"), F.col("who"), F.col("_b.start"), F.col("_b.end")))
-    user = rows.where("who = 'user'").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("msg_index", "_n", "_b.text", "id_part"))).alias("_u"))
-    user = user.select(
-        "conv_id", "turn",
-        F.concat(F.lit(USER_LABEL), F.array_join(F.transform("_u", lambda x: x["text"]), "\n\n")).alias("user_line"),
-        F.array_join(F.transform("_u", lambda x: x["id_part"]), "+").alias("user_id"),
-    )
-    replies = rows.where("who = 'assistant'").select("conv_id", "turn").distinct().withColumn("replied", F.lit(True))
-    alone = rows.where("who = 'user'").join(replies, ["conv_id", "turn"], "left_anti").withColumn("user_line", F.lit(None).cast("string")).withColumn("user_id", F.lit(None).cast("string"))
-    paired = rows.where("who = 'assistant'").join(user, ["conv_id", "turn"], "left")
-    both = paired.unionByName(alone)
+    turn = Window.partitionBy("conv_id", "turn")
+    said = F.array_sort(F.collect_list(F.when(F.col("who") == "user", F.struct("msg_index", "_n", "_b.text", "id_part"))).over(turn))
+    both = rows.withColumn("_u", said).withColumn("_replied", F.max(F.col("who") == "assistant").over(turn))
+    both = both.where((F.col("who") == "assistant") | ~F.col("_replied"))
+    paired = F.col("_replied") & (F.size("_u") > 0)
+    both = both.withColumn("user_line", F.when(paired, F.concat(F.lit(USER_LABEL), F.array_join(F.transform("_u", lambda x: x["text"]), "\n\n"))))
+    both = both.withColumn("user_id", F.when(paired, F.array_join(F.transform("_u", lambda x: x["id_part"]), "+"))).drop("_u")
     label = F.when(F.col("who") == "user", USER_LABEL).otherwise(ROLE_LABEL)
     mixed = F.col("user_line").isNotNull()
     speaker = F.when(F.col("who") == "user", F.lit(user_name)).otherwise(F.coalesce(F.nullif("name", F.lit("")), F.lit(role_name)))

@@ -6,6 +6,8 @@ is stored in its own bucket of each table. As a query it also visits the buckets
 fell into: the cells next to its own, in the order of the success probability that the distances to the cell borders give.
 Candidates of all tables are merged, thinned by a random-hyperplane sketch, and ranked by their exact cosine.
 Exact copies are one class throughout, so that no group of copies is expanded into pairs.
+
+Hashing finds what is alike; most of a vector's ten nearest are not, and for those :func:`top_similar` compares all vectors of a kind, block by block.
 """
 
 from __future__ import annotations
@@ -201,18 +203,88 @@ def candidate_pairs(classes: DataFrame, p: ProbeParams = ProbeParams()) -> DataF
     return light.unionByName(heavy).distinct()
 
 
-def similar_classes(vectors: DataFrame, p: ProbeParams = ProbeParams(), least: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, near): frag_id, cid of every vector, and per class its nearest other classes (cid, other, cosine), at most k.
-
-    With ``least``, only those of at least that cosine.
-    """
+def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): frag_id, cid of every vector, and cid, kind_key, n, vec of every distinct one; cid is the smallest frag_id."""
     key = F.unhex(F.md5(F.concat(F.to_json("kind").cast("binary"), F.col("vec")))).alias("vec_key")
     keyed = vectors.select("frag_id", "kind", "vec", key)
     chosen = keyed.groupBy("frag_id").agg(F.min("vec_key").alias("vec_key"))
     heads = chosen.groupBy("vec_key").agg(F.min("frag_id").alias("cid"))
     members = chosen.join(heads, "vec_key").select("frag_id", "cid")
     shapes = keyed.groupBy("vec_key").agg(F.first("kind").alias("kind"), F.first("vec").alias("vec"))
-    classes = shapes.join(heads, "vec_key").select("cid", F.xxhash64("kind").alias("kind_key"), F.col("kind.n").alias("n"), "vec")
+    return members, shapes.join(heads, "vec_key").select("cid", F.xxhash64("kind").alias("kind_key"), F.col("kind.n").alias("n"), "vec")
+
+
+def _best_of_block(table: pa.Table, k: int) -> pa.Table:
+    """The k nearest stored vectors of each asked one, by exact cosine, equal ones by id: cid, other, cosine."""
+    side, ids = table.column("side").to_numpy(), table.column("cid").to_numpy()
+    stored, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    stored = stored[np.argsort(ids[stored], kind="stable")]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(stored) and len(asked):
+        vec = table.column("vec").combine_chunks()
+        ints = np.frombuffer(b"".join(vec.to_pylist()), np.int8).reshape(len(ids), -1)
+        y_ids, y = ids[stored], _unit(ints[stored])
+        square = np.concatenate([(part.astype(float) ** 2).sum(1) for part in np.array_split(ints, -(-len(ids) // 4096))])
+        for part in np.array_split(asked, -(-len(asked) // 256)):
+            x, own = _unit(ints[part]), np.searchsorted(y_ids, ids[part])
+            floor = np.full(len(part), -2, np.float32)  # at least k vectors are as near as this
+            rows, places = [], []
+            for a in range(0, len(stored), 8192):
+                score = x @ y[a : a + 8192].T
+                width = score.shape[1]
+                self_at = np.flatnonzero((own >= a) & (own < a + width))
+                self_at = self_at[y_ids[own[self_at]] == ids[part][self_at]]
+                score[self_at, own[self_at] - a] = -3
+                groups = max(64, 4 * k)
+                if width >= groups:  # the k-th of the groups' highest isn't above the k-th of all
+                    high = score[:, : width // groups * groups].reshape(len(part), groups, -1).max(2)
+                    floor = np.maximum(floor, np.partition(high, groups - k, axis=1)[:, groups - k])
+                r, c = np.nonzero(score >= np.maximum(floor - np.float32(2e-5), np.float32(-2))[:, None])
+                rows.append(r)
+                places.append(c + a)
+            r, c = np.concatenate(rows), np.concatenate(places)
+            slices = [slice(i, i + 8192) for i in range(0, max(1, len(r)), 8192)]
+            exact = np.concatenate([(ints[part[r[i]]].astype(np.int64) * ints[stored[c[i]]]).sum(1) for i in slices])
+            cosine = exact / np.sqrt(square[part[r]] * square[stored[c]])
+            order = np.lexsort((c, -cosine, r))
+            r, c, cosine = r[order], c[order], cosine[order]
+            top = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+            out.append((ids[part[r[top]]], y_ids[c[top]], cosine[top]))
+    a, b, cosine = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"cid": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
+
+
+def _unit(ints: np.ndarray) -> np.ndarray:
+    x = ints.astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def exact_near(classes: DataFrame, k: int = 10, block_bytes: int = 8 << 20, least_asked: int = 2048) -> DataFrame:
+    """The k nearest other classes of each class, by comparing all of a kind: cid, other, cosine.
+
+    Asked and stored vectors are cut into blocks of at most ``block_bytes``, and a pair of blocks is one task that returns only the best. Small
+    kinds are asked in about eight blocks, to be spread. Work grows as the square of a kind's vectors, what is shuffled as their number times that of the blocks.
+    """
+    most = F.greatest(F.lit(1.0), F.lit(float(block_bytes)) / F.col("n"))
+    asked_by = F.least(most, F.greatest(F.lit(float(least_asked)), F.col("size") / 8))
+    kinds = classes.groupBy("kind_key", "n").agg(F.count("*").alias("size"))
+    kinds = kinds.select("kind_key", "n", F.ceil(F.col("size") / most).cast("int").alias("nx"), F.ceil(F.col("size") / asked_by).cast("int").alias("nq"))
+    rows = classes.join(F.broadcast(kinds), ["kind_key", "n"]).withColumn("x", F.pmod(F.xxhash64("cid"), F.col("nx")).cast("int")).withColumn("q", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nq")).cast("int"))
+    copies = F.expr("explode(concat(transform(sequence(0, nq - 1), i -> struct(x as xb, i as qb, 0 as side)), transform(sequence(0, nx - 1), i -> struct(i as xb, q as qb, 1 as side))))")
+    blocks = rows.select("kind_key", "n", "cid", "vec", copies.alias("_c")).select("kind_key", "n", "cid", "vec", "_c.*")
+    # kinds are few and large: rows are spread by their blocks, never by the kind alone
+    blocks = blocks.repartition("kind_key", "n", "xb", "qb")
+    found = blocks.groupBy("kind_key", "n", "xb", "qb").applyInArrow(lambda t: _best_of_block(t, k), "cid long, other long, cosine double")
+    best = Window.partitionBy("cid").orderBy(F.col("cosine").desc(), "other")
+    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+
+
+def similar_classes(vectors: DataFrame, p: ProbeParams = ProbeParams(), least: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, near): frag_id, cid of every vector, and per class its nearest other classes (cid, other, cosine), at most k.
+
+    With ``least``, only those of at least that cosine.
+    """
+    members, classes = vector_classes(vectors)
     pairs = candidate_pairs(classes, p)
     left = classes.select(F.col("cid").alias("a"), F.col("vec").alias("vec_a"))
     right = classes.select(F.col("cid").alias("b"), F.col("vec").alias("vec_b"))
@@ -233,16 +305,29 @@ def most_similar(vectors: DataFrame, p: ProbeParams = ProbeParams(), least: floa
     cosines the smaller frag_id comes first; copies of a vector have cosine 1 to each other. Vectors that have no
     candidate have no rows, so do empty tables.
     """
-    members, near = similar_classes(vectors, p, least)
+    return _listed(*similar_classes(vectors, p, least), p.k)
+
+
+def top_similar(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """The k most similar vectors of every vector, whatever their cosine: frag_id, rank, other_id, cosine.
+
+    As :func:`most_similar`, but exact: a list is shorter than k only where the kind has no more vectors.
+    """
+    members, classes = vector_classes(vectors)
+    return _listed(members, exact_near(classes, k), k)
+
+
+def _listed(members: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """Lists of vectors from the lists of their classes."""
     by_id = Window.partitionBy("cid").orderBy("frag_id")
     # a class gives at most k + 1 of its members, the smallest, to any list
-    few = members.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= p.k + 1).drop("_r")
+    few = members.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= k + 1).drop("_r")
     own = few.select("cid", F.lit(1.0).alias("cosine"), "frag_id")
     foreign = near.join(few.withColumnRenamed("cid", "other"), "other").select("cid", "cosine", "frag_id")
     # at most (k + 1) of the own class and k * (k + 1) others for each class
     lists = own.unionByName(foreign).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), F.col("frag_id").alias("id")))).alias("list"))
-    lists = lists.where(F.size("list") > 1).select("cid", F.slice("list", 1, 2 * p.k + 1).alias("list"))
-    found = members.join(lists, "cid").select("frag_id", F.posexplode(F.slice(F.filter("list", lambda x: x["id"] != F.col("frag_id")), 1, p.k)).alias("rank", "_x"))
+    lists = lists.where(F.size("list") > 1).select("cid", F.slice("list", 1, 2 * k + 1).alias("list"))
+    found = members.join(lists, "cid").select("frag_id", F.posexplode(F.slice(F.filter("list", lambda x: x["id"] != F.col("frag_id")), 1, k)).alias("rank", "_x"))
     return found.select("frag_id", (F.col("rank") + 1).alias("rank"), F.col("_x.id").alias("other_id"), (-F.col("_x.d")).alias("cosine"))
 
 

@@ -32,7 +32,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest.most_similar(nearest.usable_vectors(read_table(spark, sf_dir, "fragments")))
+    return nearest.top_similar(nearest.usable_vectors(read_table(spark, sf_dir, "fragments")))
 
 
 def _sentence_values(spark: SparkSession, sf_dir: str) -> DataFrame:

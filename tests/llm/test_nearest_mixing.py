@@ -38,6 +38,38 @@ def test_recall_against_brute_force(spark):
     assert len(want & again) >= 0.9 * len(want)
 
 
+def test_top_ten_is_whole_without_a_bound(spark):
+    rows = nearest.usable_vectors(read_table(spark, "/root/testdata/sf0.01", "fragments")).dropDuplicates(["frag_id"]).cache()
+    got = {}
+    for r in nearest.top_similar(rows).collect():
+        got.setdefault(r.frag_id, []).append((r.rank, r.other_id, r.cosine))
+    kinds = {}
+    for r in rows.collect():
+        kinds.setdefault(r.kind, []).append((r.frag_id, np.frombuffer(bytes(r.vec), np.int8)))
+    places = hits = 0
+    for own in kinds.values():
+        own.sort(key=lambda r: r[0])
+        ids, x = np.array([i for i, _ in own]), np.stack([v for _, v in own]).astype(float)
+        score = x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None, :])
+        np.fill_diagonal(score, -2)
+        for i, best in enumerate(np.argsort(-score.round(12), axis=1, kind="stable")[:, : min(10, len(own) - 1)]):
+            found = sorted(got.get(ids[i], []))
+            assert [r for r, *_ in found] == list(range(1, len(best) + 1)) and np.allclose([c for *_, c in found], score[i, best])
+            places, hits = places + len(best), hits + len(set(ids[best]) & {o for _, o, _ in found})
+    assert places > 1000 and hits >= 0.999 * places
+
+
+def test_blocks_change_no_list(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-128, 128, (300, 16))
+    x[5], x[6] = -x[4], x[4]  # an opposite and a copy
+    rows = [(i, "m", None, encoded(v), "x", "x") for i, v in enumerate(x)] + [(i + 400, "n", None, encoded(v), "x", "x") for i, v in enumerate(x[10:14])]
+    members, classes = nearest.vector_classes(nearest.usable_vectors(spark.createDataFrame(rows, RECORD)))
+    whole = {tuple(r) for r in nearest.exact_near(classes).collect()}
+    assert whole == {tuple(r) for r in nearest.exact_near(classes, block_bytes=16 * 40, least_asked=10).collect()}
+    assert len(whole) == 299 * 10 + 4 * 3 and members.count() == 304
+
+
 def test_copies_ties_and_unusable_records(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(-100, 100, 64), rng.integers(-100, 100, 64)

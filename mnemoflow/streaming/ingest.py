@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mnemoflow.operators.fragments import turn_fragments
-from mnemoflow.operators.index import new_fragments, to_records
+from mnemoflow.functions import keys
+from mnemoflow.operators.fragments import turn_fragments, turn_texts
+from mnemoflow.operators.index import empty_turns, migrate_markers, new_fragments, to_records, without_refilled
 from mnemoflow.operators.turns import conversation_turns, settled_turns
 from mnemoflow.sources.connectors import embed_rows
 from mnemoflow.sources.tables import IndexStore, latest_rows
@@ -21,11 +22,26 @@ def ingest_conversations(messages: DataFrame, index: DataFrame, service, model:
     return to_records(embed_rows(fresh, "source_text", service), model)
 
 
+def ingest_markers(messages: DataFrame, markers: DataFrame, full: bool = False, recent_only: bool = False) -> DataFrame:
+    """conv_id, marker: the markers of empty turns after ``messages`` are ingested.
+
+    Old markers of the form empty:<turn> become the turn's fingerprint where it has one; of the settled turns those without cleaned text or
+    fragments are added, and those that have text now are taken out. Of several turns of one marker the last decides. Markers of other conversations stay.
+    """
+    live = conversation_turns(messages, include_hidden=True)
+    settled = settled_turns(live, full, recent_only)
+    texts = turn_texts(live, full=False)
+    of_settled = texts.join(settled.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi")
+    last = of_settled.select("conv_id", "turn", keys.turn_marker(F.col("raw_turn_fingerprint"), F.col("turn")).alias("marker")).groupBy("conv_id", "marker").agg(F.max("turn").alias("turn"))
+    added = empty_turns(settled, of_settled, turn_fragments(settled)).join(last, ["conv_id", "turn", "marker"], "left_semi")
+    return without_refilled(migrate_markers(markers, texts), of_settled).unionByName(added.select("conv_id", "marker")).distinct()
+
+
 def stream_ingest(spark: SparkSession, source: DataFrame, messages_path: str, store: IndexStore, service, model: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Start a query that keeps the messages that arrive and ingests the conversations they touch.
 
     Each micro-batch appends its messages, reads the touched conversations whole (late and edited messages included), and writes a new
-    version of the index. The lag of two turns is a watermark in turns, not in time: what hasn't settled is taken up by a later batch.
+    version of the index, its markers of empty turns included. The lag of two turns is a watermark in turns, not in time: what hasn't settled is taken up by a later batch.
     A batch that is tried again adds nothing twice: messages are kept once per id, records once per content.
     """
 
@@ -35,7 +51,7 @@ def stream_ingest(spark: SparkSession, source: DataFrame, messages_path: str, st
         everything = latest_rows(spark.read.parquet(messages_path).drop("batch").join(touched, "conv_id", "left_semi"), "msg_id", "recv_ts")
         records, empty = store.read()
         added = ingest_conversations(everything, records.join(touched, "conv_id", "left_semi"), service, model)
-        store.write(records.unionByName(added), empty)
+        store.write(records.unionByName(added), ingest_markers(everything, empty))
 
     writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()

@@ -1,8 +1,10 @@
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from mnemoflow.operators import compression, fragments, turns
 from mnemoflow.sources import connectors as c
 from mnemoflow.sources import tables
 from mnemoflow.streaming import ingest
@@ -118,3 +120,31 @@ def test_stream_ingests_what_settles_once(spark, tmp_path):
     late = spark.createDataFrame(rows, schema)
     assert ingest.ingest_conversations(late, store.read()[0], c.HashEmbedder(8), "h").count() == 0
     assert ingest.ingest_conversations(late, store.read()[0].limit(0), c.HashEmbedder(8), "h", recent_only=True).count() == 3
+
+
+def test_stream_marks_empty_turns(spark, tmp_path):
+    schema = "msg_id long, conv_id long, msg_index int, is_user boolean, role string, name string, mes string, is_system boolean, injected boolean, origin string, send_ts timestamp, recv_ts timestamp"
+    code = "```\n" + "print(1)\n" * 20 + "```"
+    said = ["第一句，" + "很长的一件事情。" * 15, code, " ", "第四句，" + "别的一件事情呢。" * 15, "x", "y"]
+
+    def arrive(texts, name, hour):
+        rows = [(2 * i + j, 1, 2 * i + j, j == 0, None, None, t if j == 0 else "", None, None, "web", None, datetime.datetime(2026, 1, 1, hour)) for i, t in enumerate(texts) for j in (0, 1)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}.parquet")
+
+    store = tables.IndexStore(spark, f"file://{tmp_path}/index", buckets=2)
+    store.write(store.read()[0], spark.createDataFrame([(1, "empty:2"), (1, "empty:4"), (2, "empty:2")], "conv_id long, marker string"))
+
+    def run():
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*.parquet")
+        ingest.stream_ingest(spark, source, f"file://{tmp_path}/messages", store, c.HashEmbedder(8), "h", f"file://{tmp_path}/checkpoint", {"availableNow": True}).awaitTermination()
+        return {(r.conv_id, r.marker.split(":")[0] + (":" + r.marker.split(":")[1] if r.marker[0] == "e" else "")) for r in store.read()[1].collect()}
+
+    arrive(said, "a", 1)
+    # the turn of code has a fingerprint, the blank one none; the fourth has text; another conversation isn't touched
+    assert run() == {(1, "rfp1"), (1, "empty:3"), (2, "empty:2")}
+    live = turns.conversation_turns(spark.read.parquet(f"{tmp_path}/messages").drop("batch"))
+    old = compression.old_turns(live, live, fragments.turn_texts(live), *store.read(), 4)
+    assert {r.turn for r in old.where("covered").collect()} == {1, 2, 3, 4}
+    arrive([*said[:2], "第三句，" + "新的一件事情啊。" * 15, *said[3:]], "b", 2)
+    assert run() == {(1, "rfp1"), (2, "empty:2")}
+    assert {r.turn for r in store.read()[0].collect()} == {1, 3, 4}

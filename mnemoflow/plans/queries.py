@@ -313,8 +313,7 @@ def rerank_service(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = [{"index": i, "relevance_score": len(wanted & set(d)) / max(1, len(wanted | set(d)))} for i, d in enumerate(body["documents"])]
         return 200, {"results": rows}
 
-    ranked = _ranked(spark, sf_dir, 20).withColumn("query_text", F.substring("query_text", 1, 200))
-    return connectors.rerank_rows(ranked, connectors.RerankService(transport, "local", "letters"))
+    return connectors.rerank_rows(_ranked(spark, sf_dir, 20), connectors.RerankService(transport, "local", "letters"))
 
 
 # compression

@@ -233,23 +233,25 @@ class RerankService:
         return out
 
 
-def rerank_rows(ranked: DataFrame, service, text: str = "summary", query: str = "query_text") -> DataFrame:
+def rerank_rows(ranked: DataFrame, service, text: str | None = None, query: str = "query_text") -> DataFrame:
     """query_id, index, relevance_score of a service for the ranked rows of every query; queries whose call fails have no rows.
 
-    A query's rows are as few as were ranked, so each is one group.
+    The documents are the column ``text``, by default a record's summary or, where it has none, its paragraph. A query's rows are as few
+    as were ranked, so each is one group.
     """
+    parts = [F.nullif(text or "summary", F.lit("")), *(["paragraph"] if text is None and "paragraph" in ranked.columns else []), F.lit("")]
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["rank", "query_id", query, text]).to_pylist(), key=lambda r: r["rank"])
+        rows = sorted(table.select(["rank", "query_id", query, "_text"]).to_pylist(), key=lambda r: r["rank"])
         try:
-            found = service.rerank(rows[0][query] or "", [r[text] or "" for r in rows])
+            found = service.rerank(rows[0][query] or "", [r["_text"] for r in rows])
         except Aborted:
             raise
         except Exception:
             found = []
         return pa.table({"query_id": pa.array([rows[0]["query_id"]] * len(found), pa.int64()), "index": pa.array([i for i, _ in found], pa.int32()), "relevance_score": pa.array([s for _, s in found], pa.float64())})
 
-    return ranked.select("query_id", "rank", query, text).groupBy("query_id").applyInArrow(run, "query_id long, index int, relevance_score double")
+    return ranked.select("query_id", "rank", query, F.coalesce(*parts).alias("_text")).groupBy("query_id").applyInArrow(run, "query_id long, index int, relevance_score double")
 
 
 def model_catalog(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -81,6 +81,31 @@ def test_rerank_parses_and_falls_back(spark):
     assert [tuple(r) for r in c.rerank_rows(rows, jina).collect()] == [(1, 1, 0.9)]
 
 
+def test_rerank_sends_whole_queries_and_paragraphs(spark, tmp_path):
+    said = "harbour " * 60 + "violin"
+    rows = [(1, 1, said, "a", "p"), (1, 2, said, "", "violin"), (1, 3, said, None, "p"), (1, 4, said, None, None)]
+    frame = spark.createDataFrame(rows, "query_id long, rank int, query_text string, summary string, paragraph string")
+    service = c.RerankService(lambda m, u, h, body: (200, {"results": [{"index": i, "relevance_score": len(d) + len(body["query"]) / 1000} for i, d in enumerate(body["documents"])]}), "u", "m")
+    got = {r["index"]: r.relevance_score for r in c.rerank_rows(frame, service).collect()}
+    assert got == {i: n + len(said) / 1000 for i, n in enumerate([1, 6, 1, 0])}
+
+    # the registered query against plain Python: letters shared by the whole query and what stands for the document
+    from mnemoflow.plans import queries
+
+    schema = "frag_id long, conv_id long, turn int, sequence int, vector_chunk_id string, paragraph string, summary string, source_text string, turn_fingerprint string, raw_turn_fingerprint string, enabled boolean, writer string, embedding_model string, embedding_dims int, embedding_encoding string, embedding_scale double, embedding_q string, ts timestamp"
+    text = {100: "a" * 300 + "xyz", 1: "xyz", 2: "abc"}
+    summary = {100: "asked", 1: None, 2: "xq"}
+    made = [(i, 1, i, 1, f"{i}", text[i], summary[i], text[i], f"t{i}", f"r{i}", True, "w", "m", 4, "int8", 1.0, "AQIDBA==", None) for i in text]
+    spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/fragments.parquet")
+    order = {r.query_id * 100 + r.rank: r.frag_id for r in queries._ranked(spark, str(tmp_path), 20).collect()}
+    out = queries.rerank_service(spark, str(tmp_path)).collect()
+    assert out and len(out) == len(order)
+    for r in out:
+        i = order[r.query_id * 100 + r["index"] + 1]
+        wanted, document = set(text[100]), set(summary[i] or text[i])
+        assert abs(r.relevance_score - len(wanted & document) / len(wanted | document)) < 1e-9
+
+
 def test_model_catalog(spark):
     frame = spark.createDataFrame([('{"data":[{"id":"x-embed"},{"name":"b-rerank"},{"id":"x-embed"},{}]}',), ('{"models":[{"id":"chat"}]}',), ("nonsense",)], "payload string")
     rows = [tuple(r) for r in c.model_catalog(frame).collect()]

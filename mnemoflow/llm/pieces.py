@@ -24,7 +24,7 @@ CLOSERS = "\"'”’»」』）)]*】》"
 
 @dataclass(frozen=True)
 class PieceParams:
-    """``least`` is the part of a piece's room that is filled before cuts count; places are line breaks, sentence ends, then blanks."""
+    """``least`` is the part of a piece's room that is filled before cuts count, unless only earlier places are there; places are line breaks, sentence ends, then blanks."""
 
     least: float = 0.5
     block_words: int = 24
@@ -64,8 +64,10 @@ def _cuts(text: np.ndarray, most: int, overlap: int, p: PieceParams) -> list[tup
         # a piece has to go beyond what it shares with the one before
         floor = int(np.searchsorted(units, units[begin] + max(overlap + 2, int(p.least * most)), "left"))
         floor = min(floor, room)
-        places = np.arange(floor, room + 1)
-        places = places[kind[places] >= 0]
+        places = floor + np.flatnonzero(kind[floor : room + 1] >= 0)
+        if not len(places):  # a short piece rather than a cut inside a run
+            first = min(int(np.searchsorted(units, units[begin] + overlap + 2, "left")), floor)
+            places = first + np.flatnonzero(kind[first:floor] >= 0)
         if len(places):
             worth = depth[places] + np.array(p.kinds)[kind[places]]
             end = int(places[np.flatnonzero(worth >= worth.max() - 1e-12)[-1]])

@@ -113,3 +113,16 @@ def test_cuts_fall_where_the_words_change():
     flat = np.frombuffer(text.strip().encode("utf-32-le"), np.uint32)
     first = pieces._cuts(flat, 450, 20, pieces.PieceParams())[0]
     assert abs(first[1] - 9 * 34) <= 2
+
+
+def test_early_places_come_before_hard_cuts(spark):
+    text = "one two three. " + "x" * 150 + " four five " + "y" * 450 + "\nsix " + "😀" * 60
+    frame = spark.createDataFrame([("f", 1, text, "m")], "field string, id long, text string, embedding_model string")
+    models = spark.createDataFrame([("m", 160, 10, 1)], MODELS)
+    parts = sorted(pieces.pieces(frame, models).collect(), key=lambda r: r.piece)
+    ends = [r.char_start + len(r.text) for r in parts]
+    places = [i + 1 for i, ch in enumerate(text) if ch in ". \n"]
+    assert ends[0] == 14 and ends[-1] == len(text) and all(r.units <= 160 for r in parts)
+    for r, end in zip(parts[:-1], ends):
+        # hard only where nothing beyond the overlap is left to cut at
+        assert end in places or not [p for p in places if r.char_start + 12 <= p <= end]

@@ -151,7 +151,7 @@ def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _dense_group(table: pa.Table, k: int) -> pa.Table:
-    """Each query's best of one block, by exact cosine: cid_a, cid_b."""
+    """Each visitor's best of one block, and each stored vector's best of its visitors, by exact cosine: cid_a, cid_b."""
     side = table.column("side").to_numpy()
     ids = table.column("cid").to_numpy()
     vec = table.column("vec").combine_chunks()
@@ -161,6 +161,7 @@ def _dense_group(table: pa.Table, k: int) -> pa.Table:
         order = np.argsort(ids[stored], kind="stable")
         stored = stored[order]
         x = _matrix(vec, stored)
+        near, who = np.full((0, len(stored)), -2, np.float32), np.zeros((0, len(stored)), np.int64)
         for part in np.array_split(asked, max(1, len(asked) // 512)):
             score = _matrix(vec, part) @ x.T
             score[ids[part][:, None] == ids[stored][None, :]] = -2
@@ -168,6 +169,13 @@ def _dense_group(table: pa.Table, k: int) -> pa.Table:
             ok = np.take_along_axis(score, best, 1) > -2
             a_out.append(np.repeat(ids[part], best.shape[1])[ok.ravel()])
             b_out.append(ids[stored][best].ravel()[ok.ravel()])
+            near, who = np.concatenate((near, score)), np.concatenate((who, np.broadcast_to(ids[part][:, None], score.shape)))
+            if len(near) > k:
+                top = np.argpartition(-near, k - 1, axis=0)[:k]
+                near, who = np.take_along_axis(near, top, 0), np.take_along_axis(who, top, 0)
+        at, place = np.nonzero(near > -2)
+        a_out.append(who[at, place])
+        b_out.append(ids[stored][place])
     a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (a_out, b_out))
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -176,7 +184,7 @@ def candidate_pairs(classes: DataFrame, p: ProbeParams = ProbeParams()) -> DataF
     """Distinct pairs a < b of classes (cid, kind_key, n, vec) that share a visited bucket and resemble in their sketches.
 
     Buckets of more than ``dense`` vectors aren't joined: their members and visitors are compared in blocks of vectors, each
-    visitor keeping its best k of every block, so that a bucket that holds a large part of all vectors stays spread and exact.
+    visitor keeping its best k of every block and each stored vector its best k of the visitors, so that a bucket that holds a large part of all vectors stays spread and exact.
     """
     hashed = classes.select("cid", "kind_key", "n", "vec").mapInArrow(lambda it: _hash_batches(it, p), "cid long, keys array<long>, s long, t long")
     visits = hashed.select("cid", "s", "t", F.posexplode("keys").alias("at", "bucket"))

@@ -2,6 +2,7 @@ import base64
 import dataclasses
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,21 @@ def test_blocks_change_no_list(spark):
     assert len(whole) == 299 * 10 + 4 * 3 and members.count() == 304
 
 
+def test_a_crowded_bucket_serves_both_sides():
+    rng = np.random.default_rng(11)
+    vec = rng.integers(-100, 100, (700, 16)).astype(np.int8)
+    # the visitor's best are others, yet it is the best visitor of every stored vector
+    table = pa.table({"side": [0] * 6 + [1], "cid": [*range(6), 100], "vec": pa.array([v.tobytes() for v in vec[:7]], pa.binary())})
+    pairs = nearest._dense_group(table, 2)
+    assert set(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())) == {(i, 100) for i in range(6)}
+    # more visitors than one part holds
+    table = pa.table({"side": [0] * 20 + [1] * 680, "cid": list(range(700)), "vec": pa.array([v.tobytes() for v in vec], pa.binary())})
+    pairs = nearest._dense_group(table, 3)
+    x = vec / np.linalg.norm(vec.astype(float), axis=1, keepdims=True)
+    best = np.argsort(-(x[20:] @ x[:20].T), axis=0)[:3]
+    assert {(i, 20 + j) for i in range(20) for j in best[:, i]} <= set(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()))
+
+
 def test_copies_ties_and_unusable_records(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(-100, 100, 64), rng.integers(-100, 100, 64)

@@ -2,12 +2,14 @@
 
 Each shard of documents becomes one array of token numbers in the evaluation items' vocabulary. Stretches that are too
 short to hold a reportable match can't contribute and are left out; the suffixes of the rest are sorted by
-prefix doubling. Every suffix of every evaluation item is then looked up by binary search, all of them together,
-one token of depth at a time; matches are extended to their full length where they begin.
+prefix doubling. Every suffix of every evaluation item is then looked up by binary search: all of them at once, in their own
+sorted order, by as many tokens as one number holds, and those that are still found by the tokens after these, one
+depth at a time. Matches are extended to their full length where they begin. So the cost of a shard hardly follows the number of items.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata as ud
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mnemoflow.llm.codepoints import row_of, segment_hash, slices, to_codepoints
 from mnemoflow.llm.fold import fold, tables
@@ -28,7 +31,7 @@ class LeakParams:
     min_words: int = 10
     min_letters: int = 20
     letter_langs: tuple[str, ...] = ("zh",)
-    eval_block_chars: int = 20_000_000  # evaluation text that one scan of the corpus looks for
+    eval_block_chars: int = 8_000_000  # evaluation text, about, that one scan of the corpus looks for
     shard_bytes: int = 2 << 20  # text of one suffix array
     pairs_at_once: int = 1_000_000
 
@@ -84,7 +87,7 @@ def _tokens(flat: np.ndarray, starts: np.ndarray, letters: bool) -> tuple[np.nda
 
 @dataclass
 class EvalIndex:
-    """The tokens of the evaluation items as numbers from 1; 0 parts the items."""
+    """The tokens of the evaluation items as numbers from 1, 0 parting the items, and their suffixes in order."""
 
     vocabulary: np.ndarray
     tokens: np.ndarray
@@ -93,18 +96,29 @@ class EvalIndex:
     least: int
     letters: bool
 
+    @property
+    def packed(self) -> int:
+        """How many of the first tokens one number holds."""
+        return min(self.least, 62 // len(self.vocabulary).bit_length())
 
-def eval_index(ids: list[int], texts: list[str], least: int, letters: bool) -> EvalIndex | None:
-    flat, starts = to_codepoints(pa.array(texts, pa.string()))
-    values, rows = _tokens(flat, starts, letters)
+    def heads(self, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The first tokens from each place as one number, whose order is that of the tokens."""
+        out = np.zeros(len(places), np.int64)
+        for depth in range(self.packed):
+            out = (out << len(self.vocabulary).bit_length()) | tokens[places + depth]
+        return out
+
+
+def eval_index(ids: np.ndarray, texts: pa.Array, least: int, letters: bool) -> EvalIndex | None:
+    values, rows = _tokens(*to_codepoints(texts), letters)
     if not len(values):
         return None
     vocabulary, number = np.unique(values, return_inverse=True)
     tokens, place = _separated(number.astype(np.int64) + 1, rows)
     item_of = np.full(len(tokens), -1, np.int64)
-    item_of[place] = np.array(ids, np.int64)[rows]
-    suffixes = np.flatnonzero(_ahead(tokens) >= least)
-    return EvalIndex(vocabulary, tokens, suffixes, item_of[suffixes], least, letters) if len(suffixes) else None
+    item_of[place] = ids[rows]
+    suffixes = suffix_array(tokens, np.flatnonzero(_ahead(tokens) >= least))
+    return EvalIndex(vocabulary, tokens.astype(np.int32), suffixes.astype(np.int32), item_of[suffixes], least, letters) if len(suffixes) else None
 
 
 def _separated(tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,11 +190,15 @@ def shard_matches(flat: np.ndarray, starts: np.ndarray, index: EvalIndex, pairs_
     origin = np.full(len(tokens), -1, np.int64)
     origin[at] = source
     order = suffix_array(tokens, np.flatnonzero(_ahead(tokens) >= index.least))
-    lo, hi = np.zeros(len(index.suffixes), np.int64), np.full(len(index.suffixes), len(order), np.int64)
-    for depth in range(index.least):
-        want = index.tokens[index.suffixes + depth]
-        lo, hi = _bound(tokens, order, lo, hi, depth, want, False), _bound(tokens, order, lo, hi, depth, want, True)
+    wanted = index.heads(index.tokens, index.suffixes)
+    there = index.heads(tokens, order)
+    lo, hi = np.searchsorted(there, wanted, "left"), np.searchsorted(there, wanted, "right")
     hits = np.flatnonzero(hi > lo)
+    for depth in range(index.packed, index.least):
+        want = index.tokens[index.suffixes[hits] + depth]
+        a, b = lo[hits], hi[hits]
+        lo[hits], hi[hits] = _bound(tokens, order, a, b, depth, want, False), _bound(tokens, order, a, b, depth, want, True)
+        hits = hits[hi[hits] > lo[hits]]
     counts = np.cumsum((hi - lo)[hits])
     for part in np.split(hits, np.searchsorted(counts, np.arange(pairs_at_once, counts[-1] if len(counts) else 0, pairs_at_once))):
         n = (hi - lo)[part]
@@ -202,69 +220,61 @@ def shard_matches(flat: np.ndarray, starts: np.ndarray, index: EvalIndex, pairs_
         yield rows[word], item, length, ordinal[word]
 
 
+def eval_blocks(evalset: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
+    """block, indexes: the evaluation items cut by a hash of their ids into blocks of bounded text, each indexed by a task of its own."""
+    letters = F.split(F.lower(F.coalesce("lang", F.lit(""))), "-")[0].isin(*p.letter_langs)
+    items = evalset.where("item_id is not null and text is not null").select("item_id", "text", letters.alias("letters"))
+    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(-(-chars // p.eval_block_chars) or 1)))
+
+    def build(table: pa.Table) -> pa.Table:
+        made = []
+        for letters in (True, False):
+            part = table.filter(pa.compute.equal(table.column("letters"), letters)).combine_chunks()
+            if part.num_rows:
+                made.append(eval_index(part.column("item_id").to_numpy(), pa.concat_arrays(part.column("text").chunks), p.min_letters if letters else p.min_words, letters))
+        return pa.table({"block": table.column("block")[:1], "indexes": pa.array([pickle.dumps([m for m in made if m is not None])], pa.binary())})
+
+    return blocks.groupBy("block").applyInArrow(build, "block long, indexes binary")
+
+
+def _shard_rows(ids: np.ndarray, flat: np.ndarray, starts: np.ndarray, indexes: list[EvalIndex], p: LeakParams) -> pa.RecordBatch:
+    """The longest match, of equal ones the first, of each item in each document of a shard."""
+    found = [m for index in indexes for m in shard_matches(flat, starts, index, p.pairs_at_once)]
+    row, item, length, first = (np.concatenate([m[i] for m in found]) if found else np.zeros(0, np.int64) for i in range(4))
+    order = np.lexsort((first, -length, item, row))
+    row, item, length, first = (x[order] for x in (row, item, length, first))
+    best = np.ones(len(row), bool)
+    best[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(ids[row[best]], pa.int64()), pa.array(item[best], pa.int64()), pa.array(length[best].astype(np.int32)), pa.array(first[best].astype(np.int32))], ["doc_id", "item_id", "tokens", "first_token"])
+
+
 def leaks(documents: DataFrame, evalset: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
     """doc_id, item_id, tokens, first_token: the longest verbatim match of each item in each document that holds one.
 
     ``documents``: doc_id, text; ``evalset``: item_id, text, lang; other columns are ignored. Tokens are words, for items in
     ``letter_langs`` letters and digits. Case, punctuation, spacing and character form don't count. Null and empty texts
-    hold nothing; equal documents are reported each; an empty table gives an empty result. The evaluation items,
-    a fixed set, are read in blocks of bounded size, each sought in one scan without a shuffle of the corpus.
+    hold nothing; equal documents are reported each; an empty table gives an empty result. The evaluation items
+    are indexed in blocks of bounded size; the driver passes on one block's index at a time, and each is sought in one scan without a shuffle of the corpus.
     """
     schema = "doc_id long, item_id long, tokens int, first_token int"
     spark = documents.sparkSession
-    items = evalset.where("item_id is not null and text is not null").select("item_id", "text", "lang")
-    blocks: list[list[EvalIndex]] = []
-    ids: dict[bool, list[int]] = {True: [], False: []}
-    texts: dict[bool, list[str]] = {True: [], False: []}
-    size = 0
-
-    def close() -> None:
-        nonlocal size
-        made = [eval_index(ids[k], texts[k], p.min_letters if k else p.min_words, k) for k in (True, False) if ids[k]]
-        blocks.append([m for m in made if m is not None])
-        for k in (True, False):
-            ids[k], texts[k] = [], []
-        size = 0
-
-    for row in items.toLocalIterator():
-        letters = (row.lang or "").lower().split("-")[0] in p.letter_langs
-        ids[letters].append(row.item_id)
-        texts[letters].append(row.text)
-        size += len(row.text)
-        if size >= p.eval_block_chars:
-            close()
-    close()
-    found = None
-    for block in blocks:
-        if not block:
+    corpus = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    found = spark.createDataFrame([], schema)
+    for block in eval_blocks(evalset, p).toLocalIterator():
+        indexes = pickle.loads(block.indexes)
+        if not indexes:
             continue
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(indexes)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column, doc_ids = batch.column("text"), batch.column("doc_id").to_numpy(zero_copy_only=False)
+                column, ids = batch.column("text"), batch.column("doc_id").to_numpy(zero_copy_only=False)
                 for a, b in slices(column, p.shard_bytes):
-                    flat, starts = to_codepoints(column.slice(a, b - a))
-                    best: dict[tuple[int, int], tuple[int, int]] = {}
-                    for index in shared.value:
-                        for row, item, length, first in shard_matches(flat, starts, index, p.pairs_at_once):
-                            for r, i, n, f in zip(row.tolist(), item.tolist(), length.tolist(), first.tolist()):
-                                if best.get((r, i), (0, 0)) < (n, -f):
-                                    best[r, i] = (n, -f)
-                    if best:
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([int(doc_ids[a + r]) for r, _ in best], pa.int64()),
-                                pa.array([i for _, i in best], pa.int64()),
-                                pa.array([n for n, _ in best.values()], pa.int32()),
-                                pa.array([-f for _, f in best.values()], pa.int32()),
-                            ],
-                            ["doc_id", "item_id", "tokens", "first_token"],
-                        )
-
-        part = documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], schema)
+                    yield _shard_rows(ids[a:b], *to_codepoints(column.slice(a, b - a)), shared.value, p)
+
+        found = found.unionByName(corpus.mapInArrow(scan, schema))
+    return found
 
 
 def without_leaks(documents: DataFrame, evalset: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:

@@ -113,3 +113,25 @@ def test_suffix_array_is_sorted():
 
     texts = [suffix(p) for p in order]
     assert texts == sorted(texts)
+
+
+def test_cost_hardly_follows_the_number_of_items():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(5000)])
+    docs = [" ".join(words[rng.integers(0, 5000, 300)]) for _ in range(600)]
+    items = [" ".join(words[rng.integers(0, 5000, 120)]) for _ in range(3000)]
+    docs[5] = " ".join(items[7].split()[3:40])
+    flat, starts = to_codepoints(pa.array(docs))
+    took = {}
+    for n in (300, 3000):
+        index = leaks.eval_index(np.arange(n), pa.array(items[:n]), 10, False)
+        list(leaks.shard_matches(flat, starts, index, 1000))
+        begin = time.process_time()
+        found = [m for _ in range(3) for m in leaks.shard_matches(flat, starts, index, 1000)]
+        took[n] = time.process_time() - begin
+        assert {(int(r), int(i), int(t)) for row, item, length, _ in found for r, i, t in zip(row, item, length)} == {(5, 7, 37)}
+    assert took[3000] < 2 * took[300] + 0.2

@@ -96,7 +96,8 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_report(spark, sf_dir).where("short").select("source")
+    plan = mixing.mix_plan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return plan.where("short").select("source")
 
 
 def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

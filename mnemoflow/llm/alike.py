@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -75,6 +75,20 @@ def alike_pairs(values: DataFrame, salt_rows: int = 20_000) -> DataFrame:
     )
 
 
+def alike_classes(values: DataFrame) -> DataFrame:
+    """One row per record with a look-alike that differs: field, id, class, spelling, copies, records.
+
+    class is the least id of the form, spelling numbers its spellings from 1 in the order of their least ids, copies are the records of the same spelling and
+    records those of the form. Null texts have no row; a form of any number of records is one row each, never their pairs.
+    """
+    members = alike_variants(values)
+    spellings = members.groupBy("field", "form", "spelling").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("_least"))
+    forms = Window.partitionBy("field", "form")
+    numbered = spellings.withColumn("spelling_no", F.row_number().over(forms.orderBy("_least", "spelling"))).withColumn("records", F.sum("copies").over(forms)).withColumn("class", F.min("_least").over(forms))
+    rows = members.select("field", "form", "spelling", "id").join(numbered, ["field", "form", "spelling"])
+    return rows.select("field", "id", "class", F.col("spelling_no").alias("spelling"), "copies", "records")
+
+
 def alike_report(values: DataFrame) -> DataFrame:
     """Per field: values, values that differ from their one form, forms, and forms with several spellings."""
     keyed = (

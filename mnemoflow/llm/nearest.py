@@ -150,41 +150,49 @@ def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def _dense_group(table: pa.Table, k: int) -> pa.Table:
-    """Each visitor's best of one block, and each stored vector's best of its visitors, by exact cosine: cid_a, cid_b."""
-    side = table.column("side").to_numpy()
-    ids = table.column("cid").to_numpy()
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Whether a place of a matrix is among the k highest of its row that are above -2; equal ones rank by column."""
+    if score.shape[1] <= k:
+        return score > -2
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    out = np.zeros(score.shape, bool)
+    np.put_along_axis(out, order, True, 1)
+    return out & (score > -2)
+
+
+def _dense_group(table: pa.Table, k: int, most: int) -> pa.Table:
+    """Of one block the pairs that resemble in their sketches and are among the visitor's or the stored vector's best k, by exact cosine: a < b."""
+    side, ids = table.column("side").to_numpy(), table.column("cid").to_numpy()
     vec = table.column("vec").combine_chunks()
-    stored, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a_out, b_out = [], []
+    sketch = np.stack([table.column(c).to_numpy() for c in ("s", "t")], 1).view(np.uint64)
+    stored, asked = (rows[np.argsort(ids[rows], kind="stable")] for rows in (np.flatnonzero(side == 0), np.flatnonzero(side == 1)))
+    a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(stored) and len(asked):
-        order = np.argsort(ids[stored], kind="stable")
-        stored = stored[order]
         x = _matrix(vec, stored)
-        near, who = np.full((0, len(stored)), -2, np.float32), np.zeros((0, len(stored)), np.int64)
+        near, who = np.zeros((len(stored), 0), np.float32), np.zeros((len(stored), 0), np.int64)
         for part in np.array_split(asked, max(1, len(asked) // 512)):
             score = _matrix(vec, part) @ x.T
-            score[ids[part][:, None] == ids[stored][None, :]] = -2
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            ok = np.take_along_axis(score, best, 1) > -2
-            a_out.append(np.repeat(ids[part], best.shape[1])[ok.ravel()])
-            b_out.append(ids[stored][best].ravel()[ok.ravel()])
-            near, who = np.concatenate((near, score)), np.concatenate((who, np.broadcast_to(ids[part][:, None], score.shape)))
-            if len(near) > k:
-                top = np.argpartition(-near, k - 1, axis=0)[:k]
-                near, who = np.take_along_axis(near, top, 0), np.take_along_axis(who, top, 0)
-        at, place = np.nonzero(near > -2)
-        a_out.append(who[at, place])
-        b_out.append(ids[stored][place])
-    a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (a_out, b_out))
+            differ = sum(np.bitwise_count(sketch[part, i][:, None] ^ sketch[stored, i][None, :]).astype(np.int16) for i in (0, 1))
+            score[(ids[part][:, None] == ids[stored][None, :]) | (differ > most)] = -2
+            q, at = np.nonzero(_best(score, k))
+            a_out.append(ids[part[q]])
+            b_out.append(ids[stored[at]])
+            near, who = np.concatenate((near, score.T), 1), np.concatenate((who, np.broadcast_to(ids[part], score.T.shape)), 1)
+            top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            near, who = np.take_along_axis(near, top, 1), np.take_along_axis(who, top, 1)
+        place, at = np.nonzero(near > -2)
+        a_out.append(who[place, at])
+        b_out.append(ids[stored[place]])
+    a, b = np.concatenate(a_out), np.concatenate(b_out)
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def candidate_pairs(classes: DataFrame, p: ProbeParams = ProbeParams()) -> DataFrame:
     """Distinct pairs a < b of classes (cid, kind_key, n, vec) that share a visited bucket and resemble in their sketches.
 
-    Buckets of more than ``dense`` vectors aren't joined: their members and visitors are compared in blocks of vectors, each
-    visitor keeping its best k of every block and each stored vector its best k of the visitors, so that a bucket that holds a large part of all vectors stays spread and exact.
+    Buckets of more than ``dense`` vectors aren't joined: their members and visitors are compared in blocks of vectors. Of a block, only those of the pairs are returned
+    that may be among the k best of one of their vectors, so that a bucket that holds a large part of all vectors stays spread, and the nearest k of
+    any vector are the same either way.
     """
     hashed = classes.select("cid", "kind_key", "n", "vec").mapInArrow(lambda it: _hash_batches(it, p), "cid long, keys array<long>, s long, t long")
     visits = hashed.select("cid", "s", "t", F.posexplode("keys").alias("at", "bucket"))
@@ -202,12 +210,12 @@ def candidate_pairs(classes: DataFrame, p: ProbeParams = ProbeParams()) -> DataF
     blocks = sizes.select("bucket", F.ceil(F.col("size") / p.block).alias("nb"))
     vectors = classes.select("cid", "vec")
     every = F.explode(F.expr("sequence(0L, nb - 1L)"))
-    stored = home.join(blocks, "bucket").select("bucket", "cid", "nb").withColumn("xb", F.pmod(F.xxhash64("cid"), F.col("nb")))
-    stored = stored.withColumn("qb", every).select("bucket", "xb", "qb", "cid", F.lit(0).alias("side"))
-    guests = visits.join(blocks, "bucket").select("bucket", "cid", "nb").withColumn("qb", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb")))
-    guests = guests.withColumn("xb", every).select("bucket", "xb", "qb", "cid", F.lit(1).alias("side"))
-    k = p.k
-    heavy = stored.unionByName(guests).join(vectors, "cid").groupBy("bucket", "xb", "qb").applyInArrow(lambda t: _dense_group(t, k), "a long, b long")
+    stored = home.join(blocks, "bucket").select("bucket", "cid", "s", "t", "nb").withColumn("xb", F.pmod(F.xxhash64("cid"), F.col("nb")))
+    stored = stored.withColumn("qb", every).select("bucket", "xb", "qb", "cid", "s", "t", F.lit(0).alias("side"))
+    guests = visits.join(blocks, "bucket").select("bucket", "cid", "s", "t", "nb").withColumn("qb", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb")))
+    guests = guests.withColumn("xb", every).select("bucket", "xb", "qb", "cid", "s", "t", F.lit(1).alias("side"))
+    k, most = p.k, p.sketch_most
+    heavy = stored.unionByName(guests).join(vectors, "cid").groupBy("bucket", "xb", "qb").applyInArrow(lambda t: _dense_group(t, k, most), "a long, b long")
     return light.unionByName(heavy).distinct()
 
 

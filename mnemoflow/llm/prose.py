@@ -23,12 +23,15 @@ from mnemoflow.llm.codepoints import segment_hash, slices, to_codepoints
 from mnemoflow.llm.fold import fold
 from mnemoflow.session import checkpoint_dir
 
+# Languages that are told apart even where the table of common words lacks them, and their scripts (see _scripts).
 LANGS = ("en", "de", "fr", "es", "ru", "hi", "ar", "zh", "ja", "th")
-SPACED = 7  # the first so many write blanks between words
+LANG_SCRIPTS = (0, 0, 0, 0, 1, 2, 3, 4, 4, 5)
+HAN, THAI = 4, 5
+BOUNDS = ((0x41, 0x250, 0), (0x400, 0x530, 1), (0x900, 0x980, 2), (0x600, 0x700, 3), (0x3040, 0xA000, HAN), (0xE00, 0xE80, THAI))
 STRUCTURES = ("prose", "keywords", "list", "panel", "markup", "noise", "salad", "bare")
+PROSE, KEYWORDS, LIST, PANEL, MARKUP, NOISE, SALAD, BARE = range(8)
 FUNCTION, WORD, NUMBER, END, COMMA, QUOTE, COLUMN, SYMBOL, ODD, LONG = range(10)
-N_CLASS, N_TERM = 10, 40
-N_FEATURE = N_CLASS + N_TERM + 1
+N_CLASS = 10
 
 
 @dataclass(frozen=True)
@@ -77,10 +80,9 @@ def _scripts(flat: np.ndarray, kinds: np.ndarray, first: np.ndarray, least: int)
     n = len(flat)
     if not n:
         return np.zeros(0, int)
-    bounds = ((0x41, 0x250, 0), (0x400, 0x530, 1), (0x900, 0x980, 2), (0x600, 0x700, 3), (0x3040, 0xA000, 4), (0xE00, 0xE80, 5))
     own = np.full(n, -1)
     letter = (kinds == 1) | (kinds == 3) | (kinds == 4)
-    for lo, hi, k in bounds:
+    for lo, hi, k in BOUNDS:
         own[letter & (flat >= lo) & (flat < hi)] = k
     row = np.cumsum(first)
     # folding gives words of one script letters of another; a word with a Cyrillic letter left is Cyrillic
@@ -113,19 +115,35 @@ def _scripts(flat: np.ndarray, kinds: np.ndarray, first: np.ndarray, least: int)
 
 
 class Terms:
-    """Function words by language; words of the spaced languages by hash, others by their letters."""
+    """All function words by language; words of the scripts with blanks by hash, others by their letters.
+
+    Languages beyond ``LANGS`` are taken from the table; their script is that of most of their terms' letters.
+    """
 
     def __init__(self, rows: list[tuple[str, str]]) -> None:
-        self.by_lang: dict[str, list[str]] = {lang: sorted({t.lower() for x, t in rows if x == lang})[:N_TERM] for lang in LANGS}
-        self.hashes, self.numbers = [], []
-        for i in range(SPACED):
-            words = self.by_lang[LANGS[i]]
-            flat, starts = to_codepoints(pa.array(words, pa.string()))
-            flat, starts = fold(flat, starts)
+        terms: dict[str, set[str]] = {lang: set() for lang in LANGS}
+        for lang, term in rows:
+            terms.setdefault(lang, set()).add(term.lower())
+        self.langs = (*LANGS, *sorted(set(terms) - set(LANGS)))
+        self.by_lang = [sorted(terms[lang]) for lang in self.langs]
+        self.n_term = max(1, *map(len, self.by_lang))
+        self.scripts = np.array([*LANG_SCRIPTS, *(self._script("".join(t)) for t in self.by_lang[len(LANGS) :])])
+        self.spaced_langs = [i for i, s in enumerate(self.scripts) if s not in (HAN, THAI)]
+        self.hashes, self.numbers = {}, {}
+        for i in self.spaced_langs:
+            flat, starts = fold(*to_codepoints(pa.array(self.by_lang[i], pa.string())))
             h = segment_hash(flat, starts[:-1], starts[1:])
             order = np.argsort(h)
-            self.hashes.append(h[order])
-            self.numbers.append(order)
+            self.hashes[i], self.numbers[i] = h[order], order
+
+    @property
+    def n_feature(self) -> int:
+        return N_CLASS + self.n_term + 1
+
+    @staticmethod
+    def _script(letters: str) -> int:
+        found = [sum(lo <= ord(c) < hi for c in letters) for lo, hi, _ in BOUNDS]
+        return int(np.argmax(found)) if any(found) else 0
 
     def spaced(self, lang: int, words: np.ndarray) -> np.ndarray:
         """For each word its number among the language's function words, -1 for others."""
@@ -137,7 +155,7 @@ class Terms:
     def letters(self, lang: int, flat: np.ndarray) -> np.ndarray:
         """For each code point the number of the function term that begins there, -1 where none does."""
         out = np.full(len(flat), -1)
-        for i, term in enumerate(self.by_lang[LANGS[lang]]):
+        for i, term in enumerate(self.by_lang[lang]):
             hit = np.ones(max(0, len(flat) - len(term) + 1), bool)
             for k, ch in enumerate(term):
                 hit &= flat[k : k + len(hit)] == ord(ch)
@@ -225,28 +243,40 @@ def describe(flat: np.ndarray, starts: np.ndarray, terms: Terms, p: ProseParams)
     is_word = kind == 1
     words = segment_hash(lower, begin[is_word], end[is_word])
 
-    # language of a line by its letters; for Latin ones by the function words that fit the document best
+    # language of a line by its letters; where several languages share a script, by the function words that fit the document best
+    n_lang = len(terms.langs)
     line_script = script[np.flatnonzero(line_start)] if n else np.zeros(0, int)
     kana = np.bincount(line_at[(flat >= 0x3040) & (flat < 0x3100)], minlength=lines) if n else np.zeros(0)
     han = np.bincount(line_at[(flat >= 0x3400) & (flat < 0xA000)], minlength=lines) if n else np.zeros(0)
-    line_lang = np.array([0, 4, 5, 6, 7, 9, 0])[line_script] if lines else np.zeros(0, int)
-    line_lang = np.where((line_script == 4) & (kana * 8 > han), 8, line_lang)
+    line_lang = np.zeros(lines, int)
     word_line = token_line[is_word] if lines else np.zeros(0, int)
-    hits = np.stack([np.bincount(line_doc[word_line[terms.spaced(i, words) >= 0]], minlength=docs) for i in range(4)]) if lines else np.zeros((4, docs))
-    line_lang = np.where(line_script == 0, hits.argmax(0)[line_doc] if lines else 0, line_lang)
-    size_of = np.bincount(line_doc * len(LANGS) + line_lang, np.bincount(line_at[kinds != 0], minlength=lines), docs * len(LANGS)) if lines else np.zeros(docs * len(LANGS))
-    lang = size_of.reshape(docs, len(LANGS)).argmax(1) if docs else np.zeros(0, int)
+    for s in range(len(BOUNDS)):
+        own = np.flatnonzero(terms.scripts == s)
+        here = line_script == s
+        if not here.any() or not len(own):
+            continue
+        if s == HAN:
+            own = np.concatenate((own[own == LANGS.index("zh")], own[own >= len(LANGS)]))
+        if len(own) == 1:
+            line_lang[here] = own[0]
+            continue
+        hits = np.stack([np.bincount(line_doc[word_line[terms.spaced(i, words) >= 0]] if s not in (HAN, THAI) else line_doc[line_at[terms.letters(i, flat) >= 0]], minlength=docs) for i in own])
+        line_lang[here] = own[hits.argmax(0)][line_doc[here]]
+    line_lang = np.where((line_script == HAN) & (kana * 8 > han), LANGS.index("ja"), line_lang)
+    size_of = np.bincount(line_doc * n_lang + line_lang, np.bincount(line_at[kinds != 0], minlength=lines), docs * n_lang) if lines else np.zeros(docs * n_lang)
+    lang = size_of.reshape(docs, n_lang).argmax(1) if docs else np.zeros(0, int)
+    by_blanks = np.isin(terms.scripts, (HAN, THAI), invert=True)[line_lang] if lines else np.zeros(0, bool)
 
     term = np.full(len(begin), -1)
     word_lang = line_lang[word_line] if lines else np.zeros(0, int)
     found = np.full(len(words), -1)
-    for i in range(SPACED):
+    for i in terms.spaced_langs:
         mine = word_lang == i
         if mine.any():
             found[mine] = terms.spaced(i, words[mine])
     term[is_word] = found
-    for i in range(SPACED, len(LANGS)):
-        if (line_lang == i).any():
+    for i in range(n_lang):
+        if terms.scripts[i] in (HAN, THAI) and (line_lang == i).any():
             at = terms.letters(i, flat)[begin]
             term = np.where((line_lang[token_line] == i) & (kind >= 3) & (kind <= 4), at, term)
     cls = np.where((term >= 0) & (cls == WORD), FUNCTION, cls)
@@ -257,14 +287,14 @@ def describe(flat: np.ndarray, starts: np.ndarray, terms: Terms, p: ProseParams)
     if blanks.any():
         np.add.at(counts, (line_at[blanks], np.full(int(blanks.sum()), COLUMN)), 1)
     nonblank = np.bincount(line_at[kinds != 0], minlength=lines) if lines else np.zeros(0)
-    terms_of = np.zeros((lines, N_TERM))
+    terms_of = np.zeros((lines, terms.n_term))
     got = (term >= 0) & (cls == FUNCTION)
     np.add.at(terms_of, (token_line[got], term[got]), 1)
 
     word_count = counts[:, FUNCTION] + counts[:, WORD] + counts[:, LONG]
     total = np.maximum(counts.sum(1), 1)
-    shortest = np.where(line_lang < SPACED, p.short_words, p.short_letters)
-    shortest = np.where(line_lang == 9, p.short_letters + 3, shortest)
+    shortest = np.where(by_blanks, p.short_words, p.short_letters)
+    shortest = np.where(line_script == THAI, p.short_letters + 3, shortest)
     # how a line begins
     solid = np.flatnonzero(kinds != 0)
     at0 = np.searchsorted(solid, np.flatnonzero(line_start)) if n else np.zeros(0, int)
@@ -307,12 +337,12 @@ def describe(flat: np.ndarray, starts: np.ndarray, terms: Terms, p: ProseParams)
     look |= np.where(short, SHORT, 0)
     look |= np.where(ends == 0, OPEN, 0)
     look |= np.where(counts[:, LONG] > 0.2 * np.maximum(word_count, 1), CODE, 0)
-    key = (line_doc * len(LANGS) + line_lang) * 128 + look
+    key = (line_doc * n_lang + line_lang) * 128 + look
     keys, inverse = np.unique(key[live], return_inverse=True)
-    features = np.zeros((len(keys), N_FEATURE))
+    features = np.zeros((len(keys), terms.n_feature))
     np.add.at(features, inverse, np.concatenate((counts, terms_of, word_count[:, None]), 1)[live])
     chars = np.bincount(inverse, nonblank[live], len(keys)) if len(keys) else np.zeros(0)
-    pools = Pools(keys // 128 // len(LANGS), keys // 128 % len(LANGS), keys % 128, chars, features)
+    pools = Pools(keys // 128 // n_lang, keys // 128 % n_lang, keys % 128, chars, features)
 
     def doc_sum(values: np.ndarray) -> np.ndarray:
         return np.bincount(line_doc, values, docs) if lines else np.zeros(docs)
@@ -353,7 +383,7 @@ def _seed(pools: Pools) -> np.ndarray:
 def _distributions(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Over the token classes, and over the function words with one place for all other words."""
     a = features[:, :N_CLASS]
-    b = np.concatenate((features[:, N_CLASS : N_CLASS + N_TERM], np.maximum(features[:, -1] - features[:, FUNCTION], 0)[:, None]), 1)
+    b = np.concatenate((features[:, N_CLASS:-1], np.maximum(features[:, -1] - features[:, FUNCTION], 0)[:, None]), 1)
     return a / np.maximum(a.sum(1, keepdims=True), 1e-9), b / np.maximum(b.sum(1, keepdims=True), 1e-9)
 
 
@@ -369,51 +399,55 @@ def divergence(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _scored(pools: Pools, profiles: np.ndarray, p: ProseParams) -> np.ndarray:
-    """The nearest structure of every pool."""
+    """The nearest structure of every pool; for pools of lines too short to be sentences, of the structures that aren't prose."""
     a, b = _distributions(pools.features)
     out = np.zeros(len(pools.doc), int)
-    for lang in range(len(LANGS)):
+    for lang in range(len(profiles)):
         mine = np.flatnonzero(pools.lang == lang)
         if not len(mine):
             continue
         pa_, pb = _distributions(profiles[lang])
         d = np.stack([divergence(a[mine], pa_[s]) + p.term_weight * divergence(b[mine], pb[s]) for s in range(len(STRUCTURES))])
         d[profiles[lang].sum(1) == 0] = np.inf
-        nearest = d.argmin(0)
-        out[mine] = np.where(nearest == 7, 0, nearest)
-    out[((pools.look & SHORT) > 0) & (out == 0)] = 2
+        short = (pools.look[mine] & SHORT) > 0
+        d[PROSE, short] = d[BARE, short] = np.inf
+        nearest = np.where(np.isfinite(d).any(0), d.argmin(0), np.where(short, LIST, PROSE))
+        out[mine] = np.where(nearest == BARE, PROSE, nearest)
     return out
 
 
 def _packed(pools: Pools, docs: int) -> list[bytes]:
-    """The pools of each document as bytes: language, look, characters and features."""
+    """The pools of each document as bytes: language, look, characters and features, most of which are 0."""
     cut = np.searchsorted(pools.doc, np.arange(docs + 1))
     table = np.concatenate((pools.lang[:, None], pools.look[:, None], pools.chars[:, None], pools.features), 1).astype("<u4")
     return [zlib.compress(table[a:b].tobytes(), 1) for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _unpacked(column: pa.Array) -> Pools:
-    tables = [np.frombuffer(zlib.decompress(v.as_py()), "<u4").reshape(-1, 3 + N_FEATURE) for v in column]
+def _unpacked(column: pa.Array, n_feature: int) -> Pools:
+    tables = [np.frombuffer(zlib.decompress(v.as_py()), "<u4").reshape(-1, 3 + n_feature) for v in column]
     doc = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
-    table = np.concatenate(tables).astype(np.int64) if tables else np.zeros((0, 3 + N_FEATURE), np.int64)
+    table = np.concatenate(tables).astype(np.int64) if tables else np.zeros((0, 3 + n_feature), np.int64)
     return Pools(doc, table[:, 0], table[:, 1], table[:, 2].astype(float), table[:, 3:].astype(float))
 
 
 STATS = ("lines", "lines_punctuated", "words", "common", "letters", "symbols", "chars", "bullets")
 
 
-def described(documents: DataFrame, common_words: DataFrame, p: ProseParams = ProseParams()) -> DataFrame:
+def common_terms(common_words: DataFrame) -> Terms:
+    """The table of common words, which has one row per word of a language and doesn't grow with the documents."""
+    return Terms([(r.lang, r.term) for r in common_words.where("lang is not null and term <> ''").select("lang", "term").distinct().toLocalIterator()])
+
+
+def described(documents: DataFrame, terms: Terms, p: ProseParams = ProseParams()) -> DataFrame:
     """doc_id, lang (number), pools (packed) and plain counts of every document, from one reading of the texts."""
-    rows = [(r.lang, r.term) for r in common_words.where("lang is not null and term is not null").select("lang", "term").distinct().toLocalIterator()]
-    shared = documents.sparkSession.sparkContext.broadcast(rows)
+    shared = documents.sparkSession.sparkContext.broadcast(terms)
     names = ["doc_id", "lang", "pools", *STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value)
         for batch in batches:
             column = batch.column("text")
             for x, y in slices(column):
-                pools, s = describe(*to_codepoints(column.slice(x, y - x)), terms, p)
+                pools, s = describe(*to_codepoints(column.slice(x, y - x)), shared.value, p)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(x, y - x), pa.array(s["lang"].astype(np.int32)), pa.array(_packed(pools, y - x), pa.binary()), *(pa.array(s[n].astype(np.int64)) for n in STATS)], names
                 )
@@ -422,17 +456,19 @@ def described(documents: DataFrame, common_words: DataFrame, p: ProseParams = Pr
     return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
-def learn_profiles(rows: DataFrame) -> np.ndarray:
+def learn_profiles(rows: DataFrame, n_lang: int, n_feature: int) -> np.ndarray:
     """Token counts of the undoubted pools by language and structure, over all described documents.
 
     Every task sums into one array of fixed size; where a language has none of a structure, the structure's sum over all
-    languages stands in.
+    languages stands in. Keywords that nothing separates and prose that its writer didn't punctuate have the counts of keywords and of prose without those of
+    the marks: their look alone doesn't tell them apart, so they can't be learned from undoubted pools.
     """
+    shape = (n_lang, len(STRUCTURES), n_feature)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LANGS), len(STRUCTURES), N_FEATURE))
+        total = np.zeros(shape)
         for batch in batches:
-            pools = _unpacked(batch.column("pools"))
+            pools = _unpacked(batch.column("pools"), n_feature)
             seed = _seed(pools)
             sure = seed >= 0
             np.add.at(total, (pools.lang[sure], seed[sure]), pools.features[sure])
@@ -440,19 +476,18 @@ def learn_profiles(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], ["place", "value"])
 
     sums = rows.select("pools").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
-    profiles = np.zeros(len(LANGS) * len(STRUCTURES) * N_FEATURE)
+    profiles = np.zeros(np.prod(shape))
     for row in sums.toLocalIterator():  # at most as many rows as the array has places
         profiles[row.place] = row.value
-    profiles = profiles.reshape(len(LANGS), len(STRUCTURES), N_FEATURE)
+    profiles = profiles.reshape(shape)
     whole = profiles.sum(0)
-    for s in range(1, len(STRUCTURES)):
-        for lang in range(len(LANGS)):
+    for s in (KEYWORDS, LIST, PANEL, MARKUP, NOISE):
+        for lang in range(n_lang):
             if profiles[lang, s].sum() < 200:
                 profiles[lang, s] = profiles[lang, s] + whole[s] / max(1.0, whole[s].sum()) * 200
-    profiles[:, 6] = profiles[:, 1]  # keywords that nothing separates
-    profiles[:, 6, COMMA] = 0
-    profiles[:, 7] = profiles[:, 0]  # prose that its writer didn't punctuate
-    profiles[:, 7, [END, COMMA, QUOTE]] = 0
+    for derived, base, marks in ((SALAD, KEYWORDS, [COMMA]), (BARE, PROSE, [END, COMMA, QUOTE])):
+        profiles[:, derived] = profiles[:, base]
+        profiles[:, derived, marks] = 0
     return profiles
 
 
@@ -465,13 +500,15 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, p: ProseParam
     characters stand in running sentences. A null or blank text has counts of 0, null ratios, and isn't prose.
     """
     checkpoint_dir(documents.sparkSession)
-    rows = described(documents, common_words, p).checkpoint()  # read twice: for the profiles, and to compare with them
-    shared = documents.sparkSession.sparkContext.broadcast(learn_profiles(rows))
+    terms = common_terms(common_words)
+    langs, n_feature = terms.langs, terms.n_feature
+    rows = described(documents, terms, p).checkpoint()  # read twice: for the profiles, and to compare with them
+    shared = documents.sparkSession.sparkContext.broadcast(learn_profiles(rows, len(langs), n_feature))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            pools = _unpacked(batch.column("pools"))
+            pools = _unpacked(batch.column("pools"), n_feature)
             structure = _scored(pools, model, p)
             n = batch.num_rows
             by = np.zeros((n, len(STRUCTURES)))
@@ -479,7 +516,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, p: ProseParam
             chars = batch.column("chars").to_numpy()
             share = np.divide(by[:, 0], chars, out=np.zeros(n), where=chars > 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([LANGS[i] for i in batch.column("lang").to_pylist()]), pa.array(share, mask=chars == 0), pa.array([STRUCTURES[i] for i in by.argmax(1)], mask=chars == 0), pa.array(share >= p.share), *(batch.column(c) for c in STATS)],
+                [batch.column("doc_id"), pa.array([langs[i] for i in batch.column("lang").to_pylist()], pa.string()), pa.array(share, mask=chars == 0), pa.array([STRUCTURES[i] for i in by.argmax(1)], mask=chars == 0), pa.array(share >= p.share), *(batch.column(c) for c in STATS)],
                 ["doc_id", "lang_guess", "prose_share", "structure", "is_prose", *STATS],
             )
 

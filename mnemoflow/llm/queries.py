@@ -23,6 +23,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike.alike_pairs(_alike_values(spark, sf_dir))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alike.alike_classes(_alike_values(spark, sf_dir))
+
+
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike.alike_report(_alike_values(spark, sf_dir))
 
@@ -112,4 +116,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_statistics(spark, sf_dir).where("not is_prose").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_rates, p2_limits, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_top10, p6_found, p6_leaks, p6_clean, p7_found, p7_report, p7_sample, p8_found, p8_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_rates, p2_limits, p3_found, p3_pieces, p4_found, p4_classes, p4_report, p5_found, p5_top10, p6_found, p6_leaks, p6_clean, p7_found, p7_report, p7_sample, p8_found, p8_statistics)}

@@ -53,6 +53,18 @@ def test_pairs_equal_brute_force(spark):
     assert set(report) == {"a", "b"}
 
 
+def test_classes_hold_every_record_of_a_large_form(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(100_000).select(F.lit("a").alias("field"), "id", F.when(F.col("id") % 50_000 == 7, "ｏｋ").otherwise("ok").alias("text"), F.lit("clash").alias("form"))
+    rows = rows.unionByName(spark.createDataFrame([("a", -1, "no", "x"), ("b", -2, "ｏｋ", "x"), ("a", -3, None, "x")], "field string, id long, text string, form string"))
+    out = alike.alike_classes(rows)
+    got = {(r.spelling, r["class"], r.copies, r.records): r.n for r in out.groupBy("spelling", "class", "copies", "records").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 0, 99_998, 100_000): 99_998, (2, 0, 2, 100_000): 2}
+    assert alike.alike_pairs(rows, 1000).count() == 2 * 99_998
+    assert alike.alike_classes(rows.limit(0)).count() == 0
+
+
 def leak_frames(spark, docs, items):
     documents = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(docs)], "doc_id long, text string, item_id string")
     evalset = spark.createDataFrame([(100 + i, t, lang, "clash") for i, (t, lang) in enumerate(items)], "item_id long, text string, lang string, tokens string")

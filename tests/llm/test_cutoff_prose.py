@@ -74,6 +74,16 @@ def test_profiles_tell_prose_from_the_rest(spark):
     assert prose.text_statistics(documents.limit(0), common).count() == 0
 
 
+def test_languages_and_terms_of_the_table_all_count(spark):
+    rows = [("pt", t) for t in "não uma com para mais foi pelo".split()] + [("en", f"common{a}{b}") for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmno"] + [("en", "zebra"), ("ko", "그리고"), (None, "x"), ("en", None), ("en", "")]
+    common = spark.createDataFrame(rows, "lang string, term string")
+    texts = {1: "não foi uma caixa para o barco, mais foi pelo rio com ela", 2: "zebra commonto lantern commonaa", 3: "그리고 우리는 갔다"}
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in prose.text_statistics(documents, common).collect()}
+    assert got[1].lang_guess == "pt" and abs(got[1].common_words - 8 / 13) < 1e-9
+    assert got[2].lang_guess == "en" and got[2].common_words == 0.75
+
+
 def test_divergence_is_bounded_and_zero_for_equals():
     import numpy as np
 

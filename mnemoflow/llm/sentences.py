@@ -1,11 +1,13 @@
 """Problem 1: sentence units across languages and scripts, by a hidden-event n-gram model.
 
-Between two words of a line a boundary token may stand. Places where it may are found by character classes: after a final mark
-and the closing marks that belong to it, outside quotations. What speaks for a boundary token there is the n-gram before it
-(word, mark, closing mark: does this end lines as often as a sentence does, or hardly ever, as an abbreviation does) and the
-word after it (does it begin sentences or go on). Posteriors come from forward-backward passes over each line, in which a boundary
+Between two words of a line, outside quotations, a boundary token may stand. Where a final mark and the closing marks that belong to it
+are, what speaks for it is the n-gram before (word, mark, closing mark: does this end lines as often as a sentence does, or
+hardly ever, as an abbreviation does) and the word after (does it begin sentences or go on). Between words without a mark (in scripts without
+blanks: between letters) it is the bigram model with the boundary as a hidden word: how often sentences end on the word
+before, how often they begin with the word after, and how often the one follows the other inside sentences. A writer who sets no marks in a text
+leaves all boundaries unmarked, any other hardly one. Posteriors come from forward-backward passes over each line, in which a boundary
 also depends on how near the one before is. All counts are taken over all texts: once from line ends, which are boundaries
-beyond doubt, and once more as expected counts under the model so far. Scripts that part sentences by blanks follow their own rule.
+beyond doubt, and once more as expected counts under the model so far. Blanks of scripts that part sentences by them follow their own rule.
 """
 
 from __future__ import annotations
@@ -37,6 +39,12 @@ class SentenceParams:
     strongest: float = 6.0  # bound of the log odds of one piece of evidence
     word_strongest: float = 3.0
     word_prior: float = 6.0  # occurrences from which a word's own counts weigh more than its shape's
+    pair_slots: int = 1 << 21  # places of the table of word pairs; two pairs in one place only make a boundary between their words less likely
+    unmarked: float = -9.0  # log share of a boundary that a writer who sets marks leaves without one
+    bare: float = -0.7  # the same for texts without any mark
+    pair_prior: float = 2.0  # weight of a word's own frequency beside the pairs it is seen in
+    least_odds: float = -3.0  # places without a mark below these log odds aren't looked at further
+    bare_words: int = 6  # a line without marks of fewer words is one unit
 
 
 # character classes
@@ -49,7 +57,7 @@ N_SHAPE = 10
 FIRST_SHAPE = np.array([-3.0, 0.7, -0.5, 0.7, -9.0, 0.7, 0.0, -9.0, 0.0, 0.0])
 #: Shapes that go on with what stands before, whatever the word: a remark after a dash, a word that is said again.
 GOES_ON = (S_DASH_LOWER, S_REPEAT)
-K_ENDS, K_NEXT, K_SHAPE, K_GAP = range(4)
+K_ENDS, K_NEXT, K_SHAPE, K_GAP, K_LAST, K_FIRST, K_PAIR = range(7)
 N_GAP = 5
 
 
@@ -88,6 +96,22 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return cls, lower, final, visible
 
 
+@dataclass
+class Bare:
+    """Places between words without a mark: index before, line, slots of the word before, the word after and the pair, words up to there."""
+
+    at: np.ndarray
+    line: np.ndarray
+    last: np.ndarray
+    first: np.ndarray
+    pair: np.ndarray
+    words: np.ndarray
+    ended: np.ndarray  # slots of the words before marked places, -1 for none
+    begun: np.ndarray  # slots of the words after them
+    line_ended: np.ndarray  # the same of lines that end on a mark
+    line_begun: np.ndarray
+
+
 @dataclass
 class Places:
     """Places inside lines where a boundary may stand, in order."""
@@ -98,16 +122,17 @@ class Places:
     word: np.ndarray  # slot of the word after
     shape: np.ndarray
     plain: np.ndarray  # whether the mark is none that abbreviations have, and no closing mark follows it
-    gap: np.ndarray  # class of the number of words since the place (or line start) before
+    words: np.ndarray  # half words from the text's beginning
     end_key: np.ndarray  # the same n-grams at line ends, for counting
     head_word: np.ndarray  # words that begin lines, for counting
     head_shape: np.ndarray
-    last_gap: np.ndarray  # per line with places: words from the last one to its end
-    last_line: np.ndarray
     single_gap: np.ndarray  # lengths of lines that are one sentence, for counting
     fixed: np.ndarray  # boundaries beyond doubt: line ends, and blanks in scripts that part sentences by them
     fixed_row: np.ndarray
-    row: np.ndarray
+    line_row: np.ndarray  # text of every line
+    line_words: np.ndarray  # (n, 2): half words before and up to the end of every line
+    line_marked: np.ndarray  # whether the line's text has a final mark or another sign of where sentences end
+    bare: Bare | None
 
 
 def _running(values: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -117,7 +142,8 @@ def _running(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return total - np.maximum.accumulate(before)
 
 
-def places(flat: np.ndarray, starts: np.ndarray, p: SentenceParams) -> Places:
+def places(flat: np.ndarray, starts: np.ndarray, p: SentenceParams, bare: bool = True) -> Places:
+    """The places of all texts; with ``bare`` those between words without a mark, too."""
     all_cls, all_lower, all_final, all_visible = _classes()
     keep = np.flatnonzero(all_visible[flat])
     cp = flat[keep]
@@ -125,8 +151,9 @@ def places(flat: np.ndarray, starts: np.ndarray, p: SentenceParams) -> Places:
     row = np.searchsorted(starts, keep, "right") - 1
     cls, low, final = all_cls[cp], all_lower[cp], all_final[cp]
     empty = np.zeros(0, np.int64)
+    nothing = Places(*([empty] * 14), np.zeros((0, 2), np.int64), np.zeros(0, bool), Bare(*([empty] * 10)) if bare else None)
     if not n:
-        return Places(*([empty] * 16))
+        return nothing
     row_start = np.ones(n, bool)
     row_start[1:] = row[1:] != row[:-1]
     is_line = cls == LINE
@@ -156,7 +183,7 @@ def places(flat: np.ndarray, starts: np.ndarray, p: SentenceParams) -> Places:
     solid = (cls != BLANK) & ~is_line
     spot = np.flatnonzero(solid)
     if not len(spot):
-        return Places(*([empty] * 16))
+        return nothing
     # neighbours among the non-blank code points
     order = np.cumsum(solid) - 1
     before = np.full(n, -1)
@@ -287,24 +314,74 @@ def places(flat: np.ndarray, starts: np.ndarray, p: SentenceParams) -> Places:
         free = ~np.isin(at, thai_fixed)
         at, follow, other, fin = at[free], follow[free], other[free], fin[free]
 
-    begins = np.ones(len(at), bool)
-    begins[1:] = line[at[1:]] != line[at[:-1]]
-    origin = np.where(begins, line_first[line[at]], np.concatenate(([0], at[:-1]))) if len(at) else empty
-    count = (words_to[at] - words_to[origin] + np.where(begins, is_start[origin], 0)) // 2 if len(at) else empty
-    gap = np.clip(count, 0, N_GAP - 1)
-    closing_place = np.append(line[at[1:]] != line[at[:-1]], True) if len(at) else np.zeros(0, bool)
-    last_line = line[at[closing_place]]
-    last_gap = np.clip((words_to[line_last[last_line]] - words_to[at[closing_place]]) // 2, 0, N_GAP - 1)
-    with_places = np.zeros(line[-1] + 1, bool)
-    with_places[last_line] = True
+    lines = int(line[-1]) + 1
+    line_words = np.zeros((lines, 2), np.int64)
+    line_words[line[firsts], 0] = words_to[firsts] - is_start[firsts]
+    line_words[line[lasts], 1] = words_to[lasts]
+    with_places = np.zeros(lines, bool)
+    with_places[line[at]] = True
     ends_marked = mark[lasts] >= 0
-    single = lasts[ends_marked & ~with_places[line[lasts]]]
-    single_gap = np.clip((words_to[single] - words_to[line_first[line[single]]] + is_start[line_first[line[single]]]) // 2, 0, N_GAP - 1)
+    single = line[lasts[ends_marked & ~with_places[line[lasts]]]]
+    single_gap = np.clip((line_words[single, 1] - line_words[single, 0]) // 2, 0, N_GAP - 1)
     fixed = np.sort(np.concatenate((lasts, thai_fixed)))
-    return Places(
-        keep[at], line[at], ngram(at), word_slot(follow), shape_of(follow, other), (at == fin) & (final[fin] > ELLIPSIS), gap,
-        ngram(lasts[ends_marked & ~inside[lasts]]), word_slot(firsts), shape_of(firsts), last_gap, last_line, single_gap, keep[fixed], row[fixed], row[at],
+    line_row = row[np.flatnonzero(line_start)]
+    marked_row = np.zeros(len(starts), bool)
+    marked_row[row[cls == FINAL]] = True
+    marked_row[row[thai_fixed]] = True
+    out = Places(
+        keep[at], line[at], ngram(at), word_slot(follow), shape_of(follow, other), (at == fin) & (final[fin] > ELLIPSIS), words_to[at],
+        ngram(lasts[ends_marked & ~inside[lasts]]), word_slot(firsts), shape_of(firsts), single_gap, keep[fixed], row[fixed], line_row, line_words, marked_row[line_row], None,
     )
+    if not bare:
+        return out
+
+    caseless = (cls == WIDE) | (cls == THAI)
+    speaks = letter | caseless
+
+    def gram(at: np.ndarray, step: int) -> np.ndarray:
+        """Hash of the word at a place, of two letters of a wide script, of four Thai ones, in the direction of the step; 0 for what is none."""
+        here = np.maximum(at, 0)
+        w = word_of[here]
+        value = hashes[np.maximum(w, 0)] if len(hashes) else np.zeros(len(here), np.uint64)
+        for kind, size in ((WIDE, 2), (THAI, 4)):
+            mine = np.flatnonzero(cls[here] == kind)
+            total = np.zeros(len(mine), np.uint64)
+            go = np.ones(len(mine), bool)
+            for k in range(size):
+                there = np.clip(here[mine] + step * k, 0, n - 1)
+                go &= (cls[there] == kind) & (line[there] == line[here[mine]])
+                with np.errstate(over="ignore"):
+                    total = np.where(go, (total + low[there].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), total)
+            value[mine] = mix(total)
+        return np.where((at >= 0) & speaks[here], value | np.uint64(1), np.uint64(0))
+
+    def slot(value: np.ndarray, salt: int) -> np.ndarray:
+        return np.where(value > 0, (mix(value + np.uint64(salt)) % np.uint64(p.slots)).astype(np.int64), -1)
+
+    # neighbouring words with nothing but blanks between, and neighbouring letters of scripts without
+    near = after[spot]
+    ok = (near >= 0) & ~inside[spot]
+    left, right = spot[ok], near[ok]
+    words_apart = letter[left] & letter[right] & (right - left > 1)
+    letters_apart = ((cls[left] == WIDE) & (cls[right] == WIDE)) | ((cls[left] == THAI) & (cls[right] == THAI) & (right - left == 1) & (ud_base(low[right])))
+    ok = words_apart | letters_apart
+    left, right = left[ok], right[ok]
+    last, first = gram(left, -1), gram(right, 1)
+    with np.errstate(over="ignore"):
+        pair = (mix(last * np.uint64(31) + first) % np.uint64(p.pair_slots)).astype(np.int64)
+    closed = np.maximum.accumulate(np.where(solid & speaks, index, -1))  # the last letter up to a place
+    # sentences beyond doubt: lines that end on a mark, and what Thai blanks part
+    sure = ends_marked | (cls[np.maximum(closed[lasts], 0)] == THAI)
+    ends, heads = np.concatenate((lasts[sure], thai_fixed)), np.concatenate((line_first[line[lasts[sure]]], after[thai_fixed]))
+    final_word = closed[ends]
+    final_word = np.where((final_word >= 0) & (line[np.maximum(final_word, 0)] == line[ends]), final_word, -1)
+    out.bare = Bare(keep[left], line[left], slot(last, 1), slot(first, 2), pair, words_to[left], slot(gram(other, -1), 1), slot(gram(follow, 1), 2), slot(gram(final_word, -1), 1), slot(gram(heads, 1), 2))
+    return out
+
+
+def ud_base(letters: np.ndarray) -> np.ndarray:
+    """Whether a Thai letter can begin a syllable: no vowel or tone mark that stands after or above another."""
+    return ((letters >= 0xE01) & (letters <= 0xE2E)) | ((letters >= 0xE40) & (letters <= 0xE44))
 
 
 @dataclass
@@ -314,24 +391,72 @@ class Model:
     word_weight: np.ndarray
     shape: np.ndarray
     near: np.ndarray  # log factor of two boundaries so many words apart
+    last: np.ndarray | None = None  # log odds that a sentence ends on a word, by slot
+    first: np.ndarray | None = None  # log of a word's share of what sentences begin with, by slot
+    inner: np.ndarray | None = None  # (n, 2): log of a word's share of all words, by slot of the word after; occurrences before another, by slot of the word before
+    pair: np.ndarray | None = None  # occurrences of word pairs inside sentences, by slot
+
+
+def marked_odds(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
+    """Log odds of a boundary at each place with a mark, by itself."""
+    follow = m.word_weight[x.word] * m.word[x.word] + (1 - m.word_weight[x.word]) * m.shape[x.shape]
+    follow = np.where(np.isin(x.shape, GOES_ON), m.shape[x.shape], follow)
+    return m.ends[x.key] + np.where(x.plain, p.plain_mark, 0.0) + follow
+
+
+def bare_odds(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
+    """Log odds of a boundary at each place without a mark: the word before as an end, and the word after as a beginning against as what follows."""
+    b = x.bare
+    share, seen = m.inner[b.first, 0], m.inner[b.last, 1]
+    inside = np.log(m.pair[b.pair] + p.pair_prior * np.exp(share)) - np.log(seen + p.pair_prior)
+    words = x.line_words[b.line, 1] - x.line_words[b.line, 0]
+    habit = np.where(x.line_marked[b.line], p.unmarked, np.where(words >= 2 * p.bare_words, p.bare, p.unmarked))
+    return m.last[b.last] + m.first[b.first] - inside + habit
+
+
+def gaps(line: np.ndarray, words: np.ndarray, x: Places) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the number of words since the place (or line start) before, and from each line's last place to its end."""
+    n = len(line)
+    begins = np.ones(n, bool)
+    begins[1:] = line[1:] != line[:-1]
+    since = np.where(begins, x.line_words[line, 0], np.concatenate(([0], words[:-1])) if n else words)
+    ends = np.append(begins[1:], True) if n else begins
+    return np.clip((words - since) // 2, 0, N_GAP - 1), np.clip((x.line_words[line[ends], 1] - words[ends]) // 2, 0, N_GAP - 1)
 
 
 def posteriors(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
-    """Probability of a boundary at each place, by forward and backward passes over all lines at a time."""
-    n = len(x.at)
+    """Probability of a boundary at each place with a mark."""
+    return _passes(x.line, marked_odds(x, m, p), x.words, x, m)
+
+
+def boundaries(x: Places, m: Model, p: SentenceParams) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the last code point before, text) of all boundaries: those beyond doubt, and the places whose posterior is above a half."""
+    odds = bare_odds(x, m, p)
+    some = odds > p.least_odds
+    at = np.concatenate((x.at, x.bare.at[some]))
+    order = np.argsort(at, kind="stable")
+    line, words = np.concatenate((x.line, x.bare.line[some]))[order], np.concatenate((x.words, x.bare.words[some]))[order]
+    yes = _passes(line, np.concatenate((marked_odds(x, m, p), odds[some]))[order], words, x, m) > 0.5
+    at = np.concatenate((x.fixed, at[order][yes]))
+    row = np.concatenate((x.fixed_row, x.line_row[line[yes]]))
+    order = np.argsort(at, kind="stable")
+    return at[order], row[order]
+
+
+def _passes(line: np.ndarray, odds: np.ndarray, words: np.ndarray, x: Places, m: Model) -> np.ndarray:
+    """Posterior at each place, by forward and backward passes over all lines at a time."""
+    n = len(line)
     if not n:
         return np.zeros(0)
-    follow = m.word_weight[x.word] * m.word[x.word] + (1 - m.word_weight[x.word]) * m.shape[x.shape]
-    follow = np.where(np.isin(x.shape, GOES_ON), m.shape[x.shape], follow)
-    odds = m.ends[x.key] + np.where(x.plain, p.plain_mark, 0.0) + follow
+    gap, last_gap = gaps(line, words, x)
     begins = np.ones(n, bool)
-    begins[1:] = x.line[1:] != x.line[:-1]
+    begins[1:] = line[1:] != line[:-1]
     first = np.flatnonzero(begins)
     size = np.diff(np.append(first, n))
     by_size = np.argsort(-size, kind="stable")
     first, size = first[by_size], size[by_size]
-    near = m.near[x.gap]
-    end_near = m.near[x.last_gap][by_size]
+    near = m.near[gap]
+    end_near = m.near[last_gap][by_size]
     forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
     for k in range(int(size[0])):
         live = int(np.searchsorted(-size, -k, "left"))
@@ -354,39 +479,60 @@ def posteriors(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(forward[:, 0] + backward[:, 0] - forward[:, 1] - backward[:, 1], -50, 50)))
 
 
+def _sizes(p: SentenceParams) -> tuple[int, ...]:
+    return p.slots, p.slots, N_SHAPE, N_GAP, p.slots, p.slots, p.pair_slots
+
+
 def _count(batches: Iterator[pa.RecordBatch], model: Model | None, p: SentenceParams) -> Iterator[pa.RecordBatch]:
     """Counts of one task: table, slot, a, b. Without a model a is for line ends and heads, b for places; with one, expected boundaries and others."""
-    sums = [np.zeros((s, 2)) for s in (p.slots, p.slots, N_SHAPE, N_GAP)]
+    sums = [np.zeros((s, 2), np.float32 if s == p.pair_slots else float) for s in (_sizes(p) if model is not None else _sizes(p)[:4])]
     for batch in batches:
         column = batch.column("text")
         for i, j in slices(column, p.slice_bytes):
-            x = places(*to_codepoints(column.slice(i, j - i)), p)
+            x = places(*to_codepoints(column.slice(i, j - i)), p, model is not None)
             yes = posteriors(x, model, p) if model is not None else np.zeros(len(x.at))
             no = 1 - yes
             if model is None:
                 np.add.at(sums[K_ENDS], (x.end_key[x.end_key >= 0], 0), 1)
                 np.add.at(sums[K_ENDS], (x.key, 1), 1)
                 np.add.at(sums[K_GAP], (x.single_gap, 0), 1)
-                np.add.at(sums[K_GAP], (x.gap, 1), 1)
+                np.add.at(sums[K_GAP], (gaps(x.line, x.words, x)[0], 1), 1)
+            else:
+                b = x.bare
+                known = x.line_marked[b.line]  # where a writer sets no marks, it is unknown what is inside sentences
+                for table, slot, once, inner in ((K_LAST, b.ended, b.line_ended, b.last), (K_FIRST, b.begun, b.line_begun, b.first)):
+                    np.add.at(sums[table], (slot[slot >= 0], 0), yes[slot >= 0])
+                    np.add.at(sums[table], (once[once >= 0], 0), 1)
+                    np.add.at(sums[table], (inner[known], 1), 1)
+                np.add.at(sums[K_PAIR], (b.pair[known], 1), 1)
             for table, head, here in ((K_NEXT, x.head_word, x.word), (K_SHAPE, x.head_shape, x.shape)):
                 np.add.at(sums[table], (head, 0), 1)
                 np.add.at(sums[table], (here, 0), yes)
                 np.add.at(sums[table], (here, 1), no)
     for table, values in enumerate(sums):
-        used = np.flatnonzero(values.sum(1))
+        used = np.flatnonzero(values.any(1))
         if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), table, np.int32)), pa.array(used), pa.array(values[used, 0]), pa.array(values[used, 1])], ["table", "slot", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), table, np.int32)), pa.array(used), *(pa.array(values[used, c].astype(float)) for c in (0, 1))], ["table", "slot", "a", "b"])
 
 
 def _sums(values: DataFrame, model: Model | None, p: SentenceParams) -> list[np.ndarray]:
-    """The counts over all texts; the rows that come back are bounded by the tables' size, and packed."""
+    """The counts over all texts; the rows that come back are bounded by the tables' size, and come in parts."""
     counted = values.where("text is not null").select("text").mapInArrow(lambda it: _count(it, model, p), "table int, slot long, a double, b double")
     total = counted.groupBy("table", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    packed = total.groupBy("table", F.floor(F.col("slot") / 4096).alias("_part")).agg(F.collect_list(F.struct("slot", "a", "b")).alias("rows"))
-    out = [np.zeros((s, 2)) for s in (p.slots, p.slots, N_SHAPE, N_GAP)]
-    for row in packed.toLocalIterator():
-        for slot, a, b in row.rows:
-            out[row.table][slot] = a, b
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a batch as one: numbers side by side, of single precision."""
+        for batch in batches:
+            table, slot = batch.column("table").to_numpy(), batch.column("slot").to_numpy()
+            a, b = batch.column("a").to_numpy().astype("<f4"), batch.column("b").to_numpy().astype("<f4")
+            for t in np.unique(table):
+                mine = table == t
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (slot[mine].astype("<i4"), a[mine], b[mine]))], ["table", "slot", "a", "b"])
+
+    out = [np.zeros((s, 2), np.float32 if s == p.pair_slots else float) for s in _sizes(p)]
+    for row in total.mapInArrow(packed, "table int, slot binary, a binary, b binary").toLocalIterator():
+        slot = np.frombuffer(row.slot, "<i4")
+        out[row.table][slot, 0], out[row.table][slot, 1] = np.frombuffer(row.a, "<f4"), np.frombuffer(row.b, "<f4")
     return out
 
 
@@ -417,7 +563,18 @@ def learn(values: DataFrame, p: SentenceParams = SentenceParams()) -> Model:
     # add-one smoothing over the words that occur
     share = (again[K_NEXT] + 0.5) / (again[K_NEXT].sum(0) + 0.5 * max(1, int((seen > 0).sum())))
     word = np.clip(np.log(share[:, 0]) - np.log(share[:, 1]), -p.word_strongest, p.word_strongest)
-    return Model(odds, word, seen / (seen + p.word_prior), shape, near)
+    return Model(odds, word, seen / (seen + p.word_prior), shape, near, *_hidden(again, p))
+
+
+def _hidden(sums: list[np.ndarray], p: SentenceParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bigram model with the boundary as a hidden word, from its counts: last, first, inner and pair of the model."""
+    ended, going = sums[K_LAST].T
+    rate = max(1e-3, ended.sum()) / max(1.0, ended.sum() + going.sum())
+    begun, inner = sums[K_FIRST].T
+    often = (begun + inner + 0.5) / (begun.sum() + inner.sum() + 0.5 * len(begun))
+    ends = (ended + p.pair_prior * rate) / (ended + going + p.pair_prior)
+    starts = (begun + p.pair_prior * often) / (begun.sum() + p.pair_prior)
+    return np.log(ends) - np.log1p(-np.minimum(ends, 1 - 1e-6)), np.log(starts), np.stack((np.log(often), going), 1).astype(np.float32), np.ascontiguousarray(sums[K_PAIR][:, 1])
 
 
 def unit_ends(column: pa.Array, model: Model, p: SentenceParams) -> pa.Array:
@@ -426,12 +583,7 @@ def unit_ends(column: pa.Array, model: Model, p: SentenceParams) -> pa.Array:
     for i, j in slices(column, p.slice_bytes):
         piece = column.slice(i, j - i)
         flat, starts = to_codepoints(piece)
-        x = places(flat, starts, p)
-        yes = posteriors(x, model, p) > 0.5
-        at = np.concatenate((x.fixed, x.at[yes]))
-        rows = np.concatenate((x.fixed_row, x.row[yes]))
-        order = np.argsort(at, kind="stable")
-        at, rows = at[order], rows[order]
+        at, rows = boundaries(places(flat, starts, p), model, p)
         if len(at):
             new = np.append(True, at[1:] != at[:-1])
             at, rows = at[new], rows[new]

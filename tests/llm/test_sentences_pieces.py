@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +128,41 @@ def test_early_places_come_before_hard_cuts(spark):
     for r, end in zip(parts[:-1], ends):
         # hard only where nothing beyond the overlap is left to cut at
         assert end in places or not [p for p in places if r.char_start + 12 <= p <= end]
+
+
+def bare(unit):
+    """A unit as a careless writer sets it: no marks, no capitals."""
+    return " ".join("".join(c if c.isalnum() or unicodedata.category(c) in ("Mn", "Mc") else " " for c in unit).lower().split())
+
+
+def thai(rng):
+    return rng.choice("เวลกา โทเบรน เซลดา มิเรลลา คอร์ริน".split()) + rng.choice("นับเหรียญ ซ่อนกุญแจ ถือแผนที่ ลืมตะเกียง ขายเชือก".split()) + rng.choice("ในหีบเก่า ที่หอดูดาว ข้างประตู บนเรือลำใหญ่ ใต้บันได".split()) + rng.choice("ตอนเช้า เมื่อวานนี้ ก่อนพายุมา หลังอาหาร".split())
+
+
+def test_sentences_without_marks_come_apart(spark, corpus):
+    """Sentences of the corpus and Thai ones, joined without any mark or blank; none is in the corpus in this form."""
+    rng = random.Random(3)
+    taught = spark.createDataFrame([("x", i, " ".join(thai(rng) for _ in range(4)), None, None) for i in range(400)], VALUES)
+    corpus = corpus.unionByName(taught)
+    units = sentences.sentence_units(corpus).select("sentence").distinct().toPandas().sentence
+    kinds = {"en": "^[A-Z][a-z ,]{25,}[.]$", "zh": "^[一-鿿，]{9,}[。！？]$", "ja": "^(?=.*[぀-ヿ])[぀-ヿ一-鿿、ー]{9,}[。！？]$", "th": "^[ก-๎]{15,}$"}
+    texts, cuts, kind_of = [], [], []
+    for kind, pattern in kinds.items():
+        chosen = sorted(u for u in units if re.search(pattern, u))
+        assert len(chosen) > 12, kind
+        for _ in range(60):
+            parts = [bare(u) if kind == "en" else "".join(c for c in u if c.isalnum() or unicodedata.category(c) in ("Mn", "Mc")) for u in rng.sample(chosen, 3)]
+            texts.append((" " if kind == "en" else "").join(parts))
+            cuts.append({len(parts[0].replace(" ", "")), len((parts[0] + parts[1]).replace(" ", ""))})
+            kind_of.append(kind)
+    got = split(spark, corpus, texts)
+    for kind in kinds:
+        hit = found = want = 0
+        for units_of, cut in ((g, c) for g, c, k in zip(got, cuts, kind_of) if k == kind):
+            sizes = [len(u.replace(" ", "")) for u in units_of]
+            ends = {sum(sizes[: i + 1]) for i in range(len(sizes) - 1)}
+            hit, found, want = hit + len(ends & cut), found + len(ends), want + len(cut)
+        assert hit >= 0.9 * want and hit >= 0.9 * found, (kind, hit, found, want)
+    # what is said in quotation marks, and whole sentences without a mark, stay one
+    one = ["the keeper of the tower said that it was late", '"the keeper went home she closed the door and fell silent"']
+    assert split(spark, corpus, one) == [[t] for t in one]

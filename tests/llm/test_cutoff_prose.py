@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from mnemoflow.llm import cutoff, prose, queries
 from mnemoflow.llm.tables import once
@@ -47,6 +48,33 @@ def test_a_limit_is_found_and_its_texts_flagged(spark, limited):
     assert cutoff.cut_values(limited.limit(0)).count() == 0
 
 
+def test_cuts_in_transfer_are_told_from_careless_writing(spark):
+    """In one field nobody sets final marks, so open endings there are no cuts; in the other a source cuts a tenth of its texts anywhere."""
+    rng = random.Random(12)
+    words = "lantern harbour quilt copper saddle orchard violin drum mirror parcel kettle spool anchor candle compass".split()
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(9, 15)))
+    rows = []
+    for i in range(4000):
+        lines = [line().capitalize() + "." for _ in range(rng.randrange(2, 9))]
+        cut = i % 10 == 0 and i % 2 == 0
+        text = "\n".join(lines)
+        rows.append(("marked", i, "wire" if i % 2 == 0 else "safe", text[: rng.randrange(len(text) - 40, len(text) - 8)].rstrip() if cut else text, "yes" if cut else "no", None))
+        rows.append(("plain", i, "wire", "\n".join(line() for _ in range(rng.randrange(2, 9))), "no", None))
+    values = spark.createDataFrame(rows, VALUES)
+    out = cutoff.verdicts(values).join(values.select("field", "id", F.col("cut").alias("want")), ["field", "id"]).where("cut or want = 'yes'").collect()
+    right = [r for r in out if r.cut and r.want == "yes"]
+    assert len(right) >= 0.95 * sum(r.want == "yes" for r in out) and len(right) >= 0.98 * sum(r.cut for r in out)
+    assert all(r.posterior >= 0.5 and not r.at_limit for r in right)
+    rates = {(r.field, r.source): r for r in cutoff.cut_rates(values).collect()}
+    assert rates["plain", "wire"].cut == rates["marked", "safe"].cut == 0 and rates["marked", "wire"].cut_in_transfer > 300
+
+
+def test_words_are_found_behind_long_runs():
+    p = cutoff.CutParams()
+    assert cutoff.ending("He left. " + "ab" * 500 + "c", p)[:2] == (cutoff.OPEN, "ab" * 500 + "c")
+    assert cutoff._last_word("x" * 200_000).group() == "x" * 200_000 and cutoff._last_word("no. 3") is None and cutoff._last_word("c.-à-d").group() == "d"
+
+
 def test_rows_with_one_id_count_once(spark):
     rows = spark.createDataFrame([(1, "b", "x"), (1, "b", "x"), (1, "a", "y"), (None, "c", "z"), (2, None, None)], "k long, v string, w string")
     assert sorted(map(tuple, once(rows, "k", "v", "w").collect())) == [(1, "a", "y"), (2, None, None)]

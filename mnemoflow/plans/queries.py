@@ -301,7 +301,7 @@ def injected_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # of several queries of a conversation the first stands for it
     first = ranked.groupBy("conv_id").agg(F.min("query_id").alias("query_id"))
     out = recall.inject_prompts(messages, turns.latest_user(messages), prompts.join(first, "query_id"))
-    return out.select("conv_id", "msg_index", "msg_id", F.coalesce("injected", F.lit(False)).alias("injected"), F.md5("mes").alias("mes"))
+    return out.select("conv_id", "msg_index", F.col("msg_id").cast("string").alias("msg_id"), F.coalesce("injected", F.lit(False)).alias("injected"), F.md5("mes").alias("mes"))
 
 
 @registered

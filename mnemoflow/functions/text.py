@@ -88,6 +88,7 @@ def _without(patterns: Sequence[str]) -> Callable[[Column], Column]:
 
 def strip_markup_blocks(text: Column) -> Column:
     """Drop image prompts, thoughts, fences, documents, elements, comments and short inline code, in this order."""
+    # The patterns of what is dropped.
     out = F.regexp_replace(text, f"(?i)image###{_ANY}*?###", "")
     out = _where(out, "<", _without((f"(?i)<think(?:ing)?{_WORD_END}[^>]*>{_ANY}*?</think(?:ing)?>", f"(?i)<image>{_ANY}*?</image>")))
     out = F.regexp_replace(F.regexp_replace(out, f"```{_ANY}*?```", ""), f"~~~{_ANY}*?~~~", "")
@@ -107,6 +108,7 @@ def is_code_line(line: Column) -> Column:
 
 
 def _looks_like_code(t: Column) -> Column:
+    # The patterns by which a line is code.
     tests = (
         t.rlike(f"\\A</?[^{WHITE}<>]{{1,30}}/?>\\z")
         | t.rlike(f"(?i)\\A</?[a-z][A-Za-z0-9_:-]*([{WHITE}]|>|/>)")

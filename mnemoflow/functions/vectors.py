@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,16 +31,18 @@ def quantize(vector: Column) -> Column:
     return F.when(most > 0, F.struct(q.alias("q"), (most / 127).alias("scale"), F.size(vector).alias("dims")))
 
 
-@arrow_udf(T.StringType())
-def _to_base64(q: pa.Array) -> pa.Array:
-    import base64
-
-    return pa.array([base64.b64encode(np.array(v.as_py(), np.int8).tobytes()).decode() if v.is_valid else None for v in q], pa.string())
+@arrow_udf(T.BinaryType())
+def _bytes(q: pa.Array) -> pa.Array:
+    """The int8 values of each row as they lie in memory."""
+    flat = np.ascontiguousarray(q.flatten().fill_null(0).to_numpy(zero_copy_only=False), np.int8)
+    ends = np.concatenate(([0], np.cumsum(q.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int32)
+    mask = pa.py_buffer(np.packbits(np.asarray(q.is_valid()), bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(q), [mask, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def to_base64(q: Column) -> Column:
     """base64 of int8 values, without line breaks."""
-    return _to_base64(q)
+    return F.regexp_replace(F.base64(_bytes(q)), "[\\r\\n]", "")
 
 
 def decode_bytes(text: Column) -> Column:
@@ -47,11 +50,16 @@ def decode_bytes(text: Column) -> Column:
     return F.coalesce(F.try_to_binary(F.regexp_replace(text, "[\\r\\n]", ""), F.lit("base64")), F.unhex(F.lit("")))
 
 
+def _binary(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows as int8 values, and where each row begins and ends; null rows are empty."""
+    sizes = pa.compute.binary_length(data).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(b"".join(v for v in data.to_pylist() if v), np.int8), np.concatenate(([0], np.cumsum(sizes)))
+
+
 @arrow_udf(T.ArrayType(T.ByteType()))
 def _int8(data: pa.Array) -> pa.Array:
-    sizes = np.array([len(v.as_py()) if v.is_valid else 0 for v in data], np.int64)
-    flat = np.frombuffer(b"".join(v.as_py() for v in data if v.is_valid), np.int8)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+    flat, ends = _binary(data)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
 def decode_int8(text: Column) -> Column:
@@ -69,19 +77,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (xx > 0) & (yy > 0), F.try_divide(dot, F.sqrt(xx) * F.sqrt(yy))).otherwise(-1.0)
 
 
-@arrow_udf(T.DoubleType())
-def _cosine_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = np.full(len(a), -1.0)
-    size = np.minimum(*(np.array([len(v.as_py()) if v.is_valid else 0 for v in c]) for c in (a, b)))
+def _cosines(x: np.ndarray, x_ends: np.ndarray, y: np.ndarray, y_ends: np.ndarray) -> pa.Array:
+    """Cosines of the rows of two flat arrays over their common prefixes; rows of one length are taken together."""
+    out = np.full(len(x_ends) - 1, -1.0)
+    size = np.minimum(np.diff(x_ends), np.diff(y_ends))
     for n in np.unique(size[size > 0]):
-        rows = np.flatnonzero(size == n)
-        x, y = (np.stack([np.frombuffer(c[int(i)].as_py(), np.int8, n) for i in rows]).astype(np.int64) for c in (a, b))
-        norm = np.sqrt((x * x).sum(1).astype(float)) * np.sqrt((y * y).sum(1).astype(float))
-        ok = norm > 0
-        out[rows[ok]] = (x * y).sum(1)[ok] / norm[ok]
+        for rows in np.array_split(np.flatnonzero(size == n), max(1, int((size == n).sum()) * int(n) // (1 << 22))):
+            a, b = x[x_ends[rows][:, None] + np.arange(n)].astype(float), y[y_ends[rows][:, None] + np.arange(n)].astype(float)
+            norm = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+            out[rows] = np.divide((a * b).sum(1), norm, out=np.full(len(rows), -1.0), where=norm > 0)
     return pa.array(out)
 
 
+@arrow_udf(T.DoubleType())
+def _cosine_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _cosines(*_binary(a), *_binary(b))
+
+
 def cosine_bytes(a: Column, b: Column) -> Column:
     """:func:`cosine` of two binary columns of int8 values, a batch at a time."""
     return _cosine_bytes(a, b)
@@ -89,17 +101,9 @@ def cosine_bytes(a: Column, b: Column) -> Column:
 
 @arrow_udf(T.DoubleType())
 def _cosine_query(query: pa.Array, vec: pa.Array) -> pa.Array:
-    out = np.full(len(query), -1.0)
-    for i, (q, v) in enumerate(zip(query, vec)):
-        if q.is_valid and v.is_valid:
-            x = np.nan_to_num(np.asarray(q.values.to_numpy(zero_copy_only=False), float))
-            y = np.frombuffer(v.as_py(), np.int8).astype(float)
-            n = min(len(x), len(y))
-            x, y = x[:n], y[:n]
-            norm = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
-            if norm > 0:
-                out[i] = (x * y).sum() / norm
-    return pa.array(out)
+    x = np.nan_to_num(query.flatten().to_numpy(zero_copy_only=False).astype(float))
+    ends = np.concatenate(([0], np.cumsum(query.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    return _cosines(x, ends, *_binary(vec))
 
 
 def cosine_query(query: Column, vec: Column) -> Column:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from mnemoflow.functions import keys
 from mnemoflow.functions.text import WHITE_CHARS, js_trim, strip_code, trim_text, utf16_length
-from mnemoflow.operators.turns import is_user
+from mnemoflow.operators.turns import is_user, running_totals
+from mnemoflow.session import checkpoint_dir
 
 PARAGRAPH_UNITS, BLOCK_UNITS, SUMMARY_UNITS = 1800, 400, 900
 # Where a long paragraph may be cut, and the part of its room that has to be filled first.
@@ -110,62 +111,97 @@ def blocks(text: Column, longest: int = PARAGRAPH_UNITS, most: int = BLOCK_UNITS
     return build(paragraphs(text))
 
 
-def turn_texts(turns: DataFrame, text: str = "mes", tags: str | None = None, full: bool = True) -> DataFrame:
-    """conv_id, turn, turn_fingerprint, raw_turn_fingerprint, has_content, and with ``full`` full_text, of every turn.
+def cleaned_turns(turns: DataFrame, text: str = "mes", tags: str | None = None) -> DataFrame:
+    """The messages of turns with raw, the trimmed text, and clean, the cleaned one, kept in the shared folder.
+
+    :func:`turn_texts` and :func:`turn_fragments` take what they find there instead of cleaning again; of the other columns only those that
+    they need are kept.
+    """
+    if {"raw", "clean"} <= set(turns.columns):
+        return turns
+    checkpoint_dir(turns.sparkSession)
+    name = F.col("name") if "name" in turns.columns else F.lit(None).cast("string")
+    rows = turns.select("conv_id", "turn", "msg_index", is_user().alias("is_user"), F.lit(None).cast("string").alias("role"), name.alias("name"), js_trim(F.coalesce(F.col(text), F.lit(""))).alias("raw"), strip_code(F.col(text), tags).alias("clean"))
+    return rows.checkpoint()
+
 
-    Fingerprints need only a turn's first 1000 letters or so: of the messages, those that stand beyond them aren't gathered.
+def _near(rows: DataFrame, kinds: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the normalised texts of the kinds of columns, and per kind the aggregate that gives a turn's key.
+
+    Keys need only a turn's first 1000 letters or so: of the messages, those that stand beyond them aren't gathered.
     """
-    label = F.when(is_user(), USER_LABEL).otherwise(ROLE_LABEL)
-    rows = turns.select("conv_id", "turn", "msg_index", label.alias("label"), js_trim(F.coalesce(F.col(text), F.lit(""))).alias("raw"), strip_code(F.col(text), tags).alias("clean"))
-    before = Window.partitionBy("conv_id", "turn").orderBy("msg_index").rowsBetween(Window.unboundedPreceding, -1)
-    for kind in ("raw", "clean"):
-        rows = rows.withColumn(f"n_{kind}", keys.fingerprint_text(F.when(F.col(kind) != "", F.concat("label", kind)).otherwise("")))
-        rows = rows.withColumn(f"s_{kind}", F.coalesce(F.sum(utf16_length(F.col(f"n_{kind}"))).over(before), F.lit(0)))
-
-    def normal(kind: str) -> Column:
+    rows = rows.withColumns({f"n_{kind}": keys.fingerprint_text(F.when(F.col(kind) != "", F.concat("label", kind)).otherwise("")) for kind in kinds})
+    rows = running_totals(rows, ["conv_id", "turn"], "msg_index", {f"s_{kind}": utf16_length(F.col(f"n_{kind}")) for kind in kinds})
+
+    def key(kind: str) -> Column:
         near = F.collect_list(F.when((F.col(f"n_{kind}") != "") & (F.col(f"s_{kind}") < keys.PREFIX_UNITS), F.struct("msg_index", F.col(f"n_{kind}").alias("t"))))
         return keys.prefix_key(F.array_join(F.transform(F.array_sort(near), lambda m: m["t"]), ""))
 
-    spoken = F.concat(F.when(F.col("label") == USER_LABEL, "用户：").otherwise("角色卡："), F.col("clean"))
-    said = F.collect_list(F.when(F.col("clean") != "", F.struct("msg_index", spoken.alias("t"))))
-    aggregates = [normal("clean").alias("turn_fingerprint"), normal("raw").alias("_prefix"), F.max(F.col("clean") != "").alias("has_content")]
+    return rows, {kind: key(kind) for kind in kinds}
+
+
+def _label() -> Column:
+    return F.when(is_user(), USER_LABEL).otherwise(ROLE_LABEL)
+
+
+def raw_fingerprints(turns: DataFrame, text: str = "mes") -> DataFrame:
+    """conv_id, turn, raw_turn_fingerprint of every turn, from the texts as they are."""
+    raw = F.col("raw") if "raw" in turns.columns else js_trim(F.coalesce(F.col(text), F.lit("")))
+    rows, key = _near(turns.select("conv_id", "turn", "msg_index", _label().alias("label"), raw.alias("raw")), ["raw"])
+    out = rows.groupBy("conv_id", "turn").agg(key["raw"].alias("_prefix"))
+    return out.select("conv_id", "turn", keys.raw_token(F.col("_prefix")).alias("raw_turn_fingerprint"))
+
+
+def turn_texts(turns: DataFrame, text: str = "mes", tags: str | None = None, full: bool = True) -> DataFrame:
+    """conv_id, turn, turn_fingerprint, raw_turn_fingerprint, has_content, and with ``full`` full_text, of every turn.
+
+    Messages that aren't cleaned yet are, by :func:`cleaned_turns`.
+    """
+    rows, key = _near(cleaned_turns(turns, text, tags).select("conv_id", "turn", "msg_index", _label().alias("label"), "raw", "clean"), ["raw", "clean"])
+    said = F.collect_list(F.when(F.col("clean") != "", F.struct("msg_index", F.concat("label", "clean").alias("t"))))
+    aggregates = [key["clean"].alias("turn_fingerprint"), key["raw"].alias("_prefix"), F.max(F.col("clean") != "").alias("has_content")]
     if full:
         aggregates.append(js_trim(F.array_join(F.transform(F.array_sort(said), lambda m: m["t"]), "\n\n")).alias("full_text"))
     out = rows.groupBy("conv_id", "turn").agg(*aggregates)
     return out.withColumn("raw_turn_fingerprint", keys.raw_token(F.col("_prefix"))).drop("_prefix")
 
 
-def turn_fragments(turns: DataFrame, text: str = "mes", tags: str | None = None, user_name: str = "用户", role_name: str = "AI") -> DataFrame:
+def turn_fragments(turns: DataFrame, text: str = "mes", tags: str | None = None, user_name: str = "用户", role_name: str = "AI", texts: DataFrame | None = None) -> DataFrame:
     """Fragments of every turn, before they are embedded.
 
     Each block of a reply is a fragment that begins with all the user's text of the turn; a turn without replies gives the
-    user's blocks. Turns whose cleaned text is empty give none.
+    user's blocks. Turns whose cleaned text is empty give none. A turn has one user message, which opens it, so its text is put together in that message's
+    row and joined to the replies; their blocks are numbered by a running count, so a turn of any number of replies is spread over tasks.
+    ``texts``: the turns' :func:`turn_texts`, where they are at hand. Messages that aren't cleaned yet are, by :func:`cleaned_turns`.
     """
-    who = F.when(is_user(), "user").otherwise("assistant")
-    rows = turns.select("conv_id", "turn", "msg_index", who.alias("who"), "name", F.posexplode(blocks(strip_code(F.col(text), tags))).alias("_n", "_b"))
-    rows = rows.withColumn("id_part", F.format_string("%d:%s:%d-%d", F.col("msg_index"), F.col("who"), F.col("_b.start"), F.col("_b.end")))
-    turn = Window.partitionBy("conv_id", "turn")
-    said = F.array_sort(F.collect_list(F.when(F.col("who") == "user", F.struct("msg_index", "_n", "_b.text", "id_part"))).over(turn))
-    both = rows.withColumn("_u", said).withColumn("_replied", F.max(F.col("who") == "assistant").over(turn))
-    both = both.where((F.col("who") == "assistant") | ~F.col("_replied"))
-    paired = F.col("_replied") & (F.size("_u") > 0)
-    both = both.withColumn("user_line", F.when(paired, F.concat(F.lit(USER_LABEL), F.array_join(F.transform("_u", lambda x: x["text"]), "\n\n"))))
-    both = both.withColumn("user_id", F.when(paired, F.array_join(F.transform("_u", lambda x: x["id_part"]), "+"))).drop("_u")
-    label = F.when(F.col("who") == "user", USER_LABEL).otherwise(ROLE_LABEL)
+    cleaned = cleaned_turns(turns, text, tags)
+    rows = cleaned.select("conv_id", "turn", "msg_index", is_user().alias("_mine"), "name", blocks(F.col("clean")).alias("_b")).where(F.size("_b") > 0)
+    part = lambda who, b: F.format_string(f"%d:{who}:%d-%d", F.col("msg_index"), b["start"], b["end"])
+    opened = rows.where("_mine").select(
+        "conv_id", "turn",
+        F.concat(F.lit(USER_LABEL), F.array_join(F.transform("_b", lambda b: b["text"]), "\n\n")).alias("user_line"),
+        F.array_join(F.transform("_b", lambda b: part("user", b)), "+").alias("user_id"),
+    )
+    replies = running_totals(rows.where("not _mine"), ["conv_id", "turn"], "msg_index", {"_from": F.size("_b")})
+    paired = replies.join(opened, ["conv_id", "turn"], "left")
+    replied = replies.select("conv_id", "turn").distinct()
+    alone = rows.where("_mine").join(replied, ["conv_id", "turn"], "left_anti").withColumn("_from", F.lit(0))
+    both = paired.unionByName(alone, allowMissingColumns=True).select("*", F.posexplode("_b").alias("_n", "_x"))
+    label = F.when(F.col("_mine"), USER_LABEL).otherwise(ROLE_LABEL)
     mixed = F.col("user_line").isNotNull()
-    speaker = F.when(F.col("who") == "user", F.lit(user_name)).otherwise(F.coalesce(F.nullif("name", F.lit("")), F.lit(role_name)))
-    order = Window.partitionBy("conv_id", "turn").orderBy("msg_index", "_n")
+    speaker = F.when(F.col("_mine"), F.lit(user_name)).otherwise(F.coalesce(F.nullif("name", F.lit("")), F.lit(role_name)))
     out = both.select(
         "conv_id", "turn",
-        F.row_number().over(order).alias("sequence"),
+        (F.col("_from") + F.col("_n") + 1).cast("int").alias("sequence"),
         F.col("msg_index").alias("message_index"),
-        F.col("_b.start").alias("paragraph_index"),
-        F.col("_b.end").alias("paragraph_end_index"),
+        F.col("_x.start").alias("paragraph_index"),
+        F.col("_x.end").alias("paragraph_end_index"),
         F.when(mixed, F.concat_ws(" + ", F.lit(user_name), speaker)).otherwise(speaker).alias("speaker"),
-        F.when(mixed, "mixed").otherwise(F.col("who")).alias("role"),
-        F.concat_ws("\n", "user_line", F.concat(label, F.col("_b.text"))).alias("paragraph"),
-        F.concat(F.col("turn").cast("string"), F.lit(":"), F.concat_ws("+", "user_id", "id_part")).alias("vector_chunk_id"),
+        F.when(mixed, "mixed").when(F.col("_mine"), "user").otherwise("assistant").alias("role"),
+        F.concat_ws("\n", "user_line", F.concat(label, F.col("_x.text"))).alias("paragraph"),
+        F.concat(F.col("turn").cast("string"), F.lit(":"), F.concat_ws("+", "user_id", F.when(F.col("_mine"), part("user", F.col("_x"))).otherwise(part("assistant", F.col("_x"))))).alias("vector_chunk_id"),
     )
     out = out.withColumn("summary", trim_text(F.col("paragraph"), SUMMARY_UNITS)).withColumn("source_text", F.concat(F.lit("第 "), F.col("turn").cast("string"), F.lit(" 轮\n"), F.col("paragraph")))
     out = out.withColumn("content_fingerprint", keys.content_fingerprint(F.col("paragraph")))
-    return out.join(turn_texts(turns, text, tags, full=False).select("conv_id", "turn", "turn_fingerprint", "raw_turn_fingerprint"), ["conv_id", "turn"])
+    texts = turn_texts(cleaned, text, tags, full=False) if texts is None else texts
+    return out.join(texts.select("conv_id", "turn", "turn_fingerprint", "raw_turn_fingerprint"), ["conv_id", "turn"])

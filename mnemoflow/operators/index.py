@@ -34,7 +34,7 @@ def new_fragments(fragments: DataFrame, index: DataFrame) -> DataFrame:
     return keyed.join(kept, ["conv_id", "turn", "sequence"], "left_semi").unionByName(fresh.where("content_fingerprint = ''"))
 
 
-def empty_turns(turns: DataFrame, turn_texts: DataFrame, fragments: DataFrame) -> DataFrame:
+def empty_turns(turn_texts: DataFrame, fragments: DataFrame) -> DataFrame:
     """conv_id, turn, marker of the turns without cleaned text or fragments."""
     with_fragments = fragments.select("conv_id", "turn").distinct()
     empty = turn_texts.join(with_fragments.withColumn("_f", F.lit(True)), ["conv_id", "turn"], "left").where("_f is null or not has_content")
@@ -89,6 +89,11 @@ def index_statistics(index: DataFrame) -> DataFrame:
     )
 
 
+def large_indexes(index: DataFrame) -> DataFrame:
+    """conv_id of the conversations that have too many records to be filled automatically."""
+    return index.groupBy("conv_id").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_INDEX).select("conv_id")
+
+
 def model_mismatch(index: DataFrame, model: str, dims: int) -> DataFrame:
     """Per conversation: records of other models, and records of the model with other dimensions than the query's."""
     same = F.col("embedding_model").eqNullSafe(model)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoflow.functions import keys, lexical, vectors
 from mnemoflow.functions.text import js_trim, strip_code, trim_text, xml_escape
+from mnemoflow.session import checkpoint_dir
 
+BLOCK = 4096
+#: How far below another a cosine may be and still come before it: the greatest boost, and what rounding adds.
+SLACK = lexical.BOOST_MOST + 0.001
 QUERY_UNITS = 800
 QUERY_PREFIX = "当前问题：用户："
 ALLOWED_TYPES = ("normal", "continue", "regenerate", "swipe")
@@ -39,31 +45,113 @@ def allowed_type(kind: Column) -> Column:
     return kind.isNull() | kind.isin(*ALLOWED_TYPES)
 
 
-def candidates(queries: DataFrame, index: DataFrame, excluded: DataFrame | None = None, strict_model: bool = True) -> DataFrame:
-    """Every query with the records of its conversation that may be recalled.
-
-    ``queries``: query_id, conv_id, model, query_q (int8 bytes) or query_vec (numbers), terms; ``index``: the stored columns with vec (int8 bytes). Records that are
+def without_turns(index: DataFrame, turns: DataFrame) -> DataFrame:
+    """The records without those of the turns (conv_id, marker), by the raw fingerprint or where that is missing by the cleaned one."""
+    token = F.coalesce(F.nullif("raw_turn_fingerprint", F.lit("")), F.nullif("turn_fingerprint", F.lit("")))
+    barred = turns.select(F.col("conv_id").alias("_c"), F.col("marker").alias("_m")).distinct()
+    return index.withColumn("_t", token).join(barred, (F.col("conv_id") == F.col("_c")) & (F.col("_t") == F.col("_m")), "left_anti").drop("_t")
+
+
+def _block_pairs(table: pa.Table, strict: bool, threshold: float, most: int) -> pa.Table:
+    """Of one block of records and one of queries the pairs that may be among a query's best, by matrix products of vectors of one length."""
+    side, frags, queries = table.column("side").to_numpy(), table.column("frag_id").combine_chunks(), table.column("query_id").combine_chunks()
+    model = table.column("model_key").to_pandas().to_numpy(float, na_value=np.nan)
+    dims, key = table.column("embedding_dims").to_pandas().fillna(0).to_numpy(int), table.column("content_key").to_pandas().fillna(0).to_numpy(np.int64)
+    stored, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    values = table.column("v").combine_chunks()
+    sizes = np.asarray(values.value_lengths().fill_null(0))
+    matrix = lambda rows: values.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+    out = []
+    for part in (asked[i : i + 256] for i in range(0, len(asked), 256)):
+        score = np.full((len(part), len(stored)), -1.0)
+        for m in np.unique(sizes[part]):
+            q = np.flatnonzero(sizes[part] == m)
+            x = np.nan_to_num(matrix(part[q]))
+            for n in np.unique(sizes[stored]):
+                r = np.flatnonzero(sizes[stored] == n)
+                k = min(m, n)
+                y = matrix(stored[r])[:, :k]
+                norm = np.sqrt((x[:, :k] ** 2).sum(1))[:, None] * np.sqrt((y**2).sum(1))[None, :]
+                score[np.ix_(q, r)] = np.divide(x[:, :k] @ y.T, norm, out=np.full(norm.shape, -1.0), where=norm > 0)
+        a, b = model[part][:, None], model[stored][None, :]
+        fits = (a == b) | (np.isnan(a) & np.isnan(b)) if strict else (a == b) | np.isnan(a) | np.isnan(b)
+        fits &= (dims[stored][None, :] == 0) | (dims[stored][None, :] == sizes[part][:, None])
+        score[~fits | (score < threshold)] = -1
+        for i, row in enumerate(score):
+            order = np.argsort(-row, kind="stable")
+            order = order[row[order] > -1]
+            _, first = np.unique(key[stored[order]], return_index=True)
+            best = np.sort(first)
+            if len(best) > most:
+                order = order[row[order] >= row[order[best[most - 1]]] - SLACK]
+            out.append((np.full(len(order), part[i]), stored[order], row[order]))
+    q, r, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return pa.table({"query_id": queries.take(pa.array(q, pa.int64())), "frag_id": frags.take(pa.array(r, pa.int64())), "raw_score": pa.array(s, pa.float64())})
+
+
+def _heavy_pairs(asked: DataFrame, rows: DataFrame, vector: str, threshold: float, most: int, strict: bool) -> DataFrame:
+    """query_id, frag_id, raw_score, content_key of conversations cut into _nx blocks."""
+    every = F.explode(F.sequence(F.lit(0), F.col("_nx") - 1))
+    numbers = lambda c: vectors.decode_int8(F.base64(c)).cast("array<double>")
+    kind = lambda c: F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(1 << 52)))
+    ids = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", asked), ("frag_id", rows))}
+    null = lambda kind: F.lit(None).cast(kind)
+    stored = rows.select("conv_id", F.pmod(F.xxhash64("frag_id"), F.col("_nx")).cast("int").alias("xb"), every.alias("qb"), F.lit(0).alias("side"), "frag_id", null(ids["query_id"]).alias("query_id"), kind("embedding_model").alias("model_key"), "embedding_dims", "content_key", numbers("vec").alias("v"))
+    asked_numbers = numbers("query_q") if vector == "query_q" else F.col("query_vec").cast("array<double>")
+    wanted = asked.select("conv_id", every.alias("xb"), F.pmod(F.xxhash64("query_id"), F.col("_nx")).cast("int").alias("qb"), F.lit(1).alias("side"), null(ids["frag_id"]).alias("frag_id"), "query_id", kind("model").alias("model_key"), null("int").alias("embedding_dims"), null("long").alias("content_key"), asked_numbers.alias("v"))
+    # blocks that nobody asks aren't made
+    blocks = stored.join(wanted.select("conv_id", "qb").distinct(), ["conv_id", "qb"], "left_semi").unionByName(wanted)
+    found = blocks.groupBy("conv_id", "xb", "qb").applyInArrow(lambda t: _block_pairs(t, strict, threshold, most), f"query_id {ids['query_id']}, frag_id {ids['frag_id']}, raw_score double")
+    return found.join(rows.select("frag_id", "content_key"), "frag_id").select("query_id", "frag_id", "raw_score", "content_key")
+
+
+def candidates(queries: DataFrame, index: DataFrame, threshold: float, most: int, excluded: DataFrame | None = None, strict_model: bool = True) -> DataFrame:
+    """query_id, frag_id, raw_score: of each query's conversation the records of at least that cosine which may be among its best ``most``.
+
+    ``queries``: query_id, conv_id, model, query_q (int8 bytes) or query_vec (numbers); ``index``: the stored columns with vec (int8 bytes). Records that are
     disabled, without vector, of another model (with ``strict_model`` off only where both are known), of other dimensions, or of an
-    excluded turn (conv_id, marker) are out. An equi-join by conversation: queries and records of a conversation meet, no others.
+    excluded turn (conv_id, marker) are out. Left out as well are those whose cosine lies so far below the ``most`` best contents that no lexical boost
+    makes up for it. Queries and records of a conversation are joined without their texts; of conversations of more than ``BLOCK`` records, blocks of both
+    are compared in tasks of their own.
     """
     rows = index.where(~F.col("enabled").eqNullSafe(False) & (F.length("vec") > 0))
     if excluded is not None:
-        token = F.coalesce(F.nullif("raw_turn_fingerprint", F.lit("")), F.nullif("turn_fingerprint", F.lit("")))
-        barred = excluded.select(F.col("conv_id").alias("_c"), F.col("marker").alias("_m")).distinct()
-        rows = rows.withColumn("_t", token).join(barred, (F.col("conv_id") == F.col("_c")) & (F.col("_t") == F.col("_m")), "left_anti").drop("_t")
-    joined = queries.join(rows, "conv_id")
+        checkpoint_dir(index.sparkSession)
+        rows = without_turns(rows, excluded.select("conv_id", "marker").distinct().checkpoint())  # read again for every way the records are
+    content = F.xxhash64(keys.recall_fingerprint(*[F.col(c) for c in ("paragraph", "summary", "source_text", "turn", "sequence")]))
+    rows = rows.select("conv_id", "frag_id", "embedding_model", "embedding_dims", "vec", content.alias("content_key")).join(queries.select("conv_id").distinct(), "conv_id", "left_semi")
+    vector = "query_q" if "query_q" in queries.columns else "query_vec"
+    asked = queries.select("query_id", "conv_id", "model", vector)
+    large = rows.groupBy("conv_id").agg(F.count("*").alias("_size")).where(F.col("_size") > BLOCK)
+    large = large.select("conv_id", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_nx"))
+    size = F.length(vector) if vector == "query_q" else F.size(vector)
     known = F.col("model").isNotNull() & F.col("embedding_model").isNotNull()
     same = F.col("embedding_model").eqNullSafe(F.col("model")) if strict_model else ~known | (F.col("embedding_model") == F.col("model"))
-    dims = F.col("embedding_dims").isNull() | (F.col("embedding_dims") == 0) | (F.col("embedding_dims") == (F.length("query_q") if "query_q" in queries.columns else F.size("query_vec")))
-    return joined.where(same & dims)
-
-
-def scored(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with raw_score, lexical and score, of those whose cosine reaches the threshold; the boost comes on top."""
-    cosine = vectors.cosine_bytes(F.col("query_q"), F.col("vec")) if "query_q" in pairs.columns else vectors.cosine_query(F.col("query_vec"), F.col("vec"))
-    rows = pairs.withColumn("raw_score", cosine).where((F.col("raw_score") > -1) & (F.col("raw_score") >= threshold))
-    rows = rows.withColumn("lexical", lexical.lexical_match(F.col("source_text"), F.col("summary"), F.col("terms")))
-    return rows.withColumn("score", F.col("raw_score") + F.col("lexical.boost"))
+    dims = F.col("embedding_dims").isNull() | (F.col("embedding_dims") == 0) | (F.col("embedding_dims") == size)
+    cosine = vectors.cosine_bytes(F.col("query_q"), F.col("vec")) if vector == "query_q" else vectors.cosine_query(F.col("query_vec"), F.col("vec"))
+    crowded = not large.isEmpty()
+    light = asked.join(large, "conv_id", "left_anti") if crowded else asked
+    pairs = light.join(rows, "conv_id").where(same & dims).withColumn("raw_score", cosine)
+    pairs = pairs.where((F.col("raw_score") > -1) & (F.col("raw_score") >= threshold)).select("query_id", "frag_id", "raw_score", "content_key")
+    if crowded:
+        pairs = pairs.unionByName(_heavy_pairs(asked.join(large, "conv_id"), rows.join(large, "conv_id"), vector, threshold, most, strict_model))
+    best = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc())
+    least = pairs.groupBy("query_id", "content_key").agg(F.max("raw_score").alias("raw_score")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == most)
+    least = least.select("query_id", (F.col("raw_score") - SLACK).alias("_least"))
+    return pairs.join(least, "query_id", "left").where(F.col("_least").isNull() | (F.col("raw_score") >= F.col("_least"))).select("query_id", "frag_id", "raw_score")
+
+
+def recalled(queries: DataFrame, index: DataFrame, threshold: float, most: int, excluded: DataFrame | None = None, strict_model: bool = True) -> DataFrame:
+    """The best ``most`` records of every query with raw_score, lexical, score and rank; the texts are joined to the candidates only.
+
+    ``queries`` as in :func:`candidates`, with terms and any other columns but the records'.
+    """
+    checkpoint_dir(queries.sparkSession)
+    found = candidates(queries, index, threshold, most, excluded, strict_model).checkpoint()  # a few numbers a query
+    asked = queries.drop("query_q", "query_vec", "model", "conv_id")
+    rows = found.join(index.drop("vec", "embedding_q"), "frag_id").join(asked, "query_id")
+    rows = rows.withColumn("lexical", lexical.lexical_match(F.col("source_text"), F.col("summary"), F.col("terms"))).drop("terms")
+    return ranked(rows.withColumn("score", F.col("raw_score") + F.col("lexical.boost")), most)
 
 
 def score_order() -> list[Column]:

@@ -25,6 +25,20 @@ def is_hidden() -> Column:
     return F.coalesce(F.col("is_system"), F.lit(False))
 
 
+def running_totals(rows: DataFrame, by: list[str], position: str, values: dict[str, Column]) -> DataFrame:
+    """The rows with a column for each of ``values``: its sum over the rows of the group at smaller positions.
+
+    Taken within blocks of ``BLOCK`` positions and over the blocks' totals, so a group of any size is spread over tasks.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(position) / BLOCK)).withColumns({f"_v_{c}": v.cast("long") for c, v in values.items()})
+    totals = rows.groupBy(*by, "_block").agg(*[F.sum(f"_v_{c}").alias(f"_n_{c}") for c in values])
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_block", *[F.coalesce(F.sum(f"_n_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in values])
+    within = Window.partitionBy(*by, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumns({f"_w_{c}": F.coalesce(F.sum(f"_v_{c}").over(within), F.lit(0)) for c in values}).join(offsets, [*by, "_block"])
+    return summed.withColumns({c: F.col(f"_b_{c}") + F.col(f"_w_{c}") for c in values}).drop("_block", *[f"_{x}_{c}" for c in values for x in "vbw"])
+
+
 def conversation_turns(messages: DataFrame, include_hidden: bool = False) -> DataFrame:
     """The messages that belong to a turn, with ``turn`` (from 1).
 
@@ -32,17 +46,11 @@ def conversation_turns(messages: DataFrame, include_hidden: bool = False) -> Dat
     messages are left out, hidden ones unless asked for. ``messages``: conv_id, msg_index, is_user, role, is_system, injected and any others but
     ``turn``, which is replaced. Null flags count as false; rows without conv_id or msg_index are left out.
     """
-    kept = messages.where("conv_id is not null and msg_index is not null").where(~is_injected()).drop("turn", "_block", "_opens", "_before", "_within")
+    kept = messages.where("conv_id is not null and msg_index is not null").where(~is_injected()).drop("turn", "_block")
     if not include_hidden:
         kept = kept.where(~is_hidden())
-    kept = kept.withColumn("_block", F.floor(F.col("msg_index") / BLOCK)).withColumn("_opens", is_user().cast("long"))
-    totals = kept.groupBy("conv_id", "_block").agg(F.sum("_opens").alias("_n"))
-    earlier = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("conv_id", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("conv_id", "_block").orderBy("msg_index").rowsBetween(Window.unboundedPreceding, 0)
-    counted = kept.withColumn("_within", F.sum("_opens").over(within)).join(offsets, ["conv_id", "_block"])
-    turns = counted.withColumn("turn", (F.col("_before") + F.col("_within")).cast("int")).where("turn >= 1")
-    return turns.drop("_block", "_opens", "_before", "_within")
+    counted = running_totals(kept, ["conv_id"], "msg_index", {"turn": is_user()})
+    return counted.withColumn("turn", (F.col("turn") + is_user().cast("long")).cast("int")).where("turn >= 1")
 
 
 def turn_counts(turns: DataFrame) -> DataFrame:

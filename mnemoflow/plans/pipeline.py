@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoflow.operators import compression, fragments, recall, turns
+from mnemoflow.session import checkpoint_dir
 from mnemoflow.settings import RecallSettings
 from mnemoflow.sources import connectors, tables
 
@@ -18,13 +19,14 @@ def recall_memories(messages: DataFrame, records: DataFrame, embedder, settings:
     asked = recall.build_queries(turns.latest_user(messages) if latest is None else latest, tags=settings.strip_tags)
     asked = connectors.embed_rows(asked, "embed_text", embedder, out="query_vec", batch_size=settings.batch_size).where("query_vec is not null")
     asked = asked.select(F.col("conv_id").alias("query_id"), "conv_id", F.lit(settings.model).alias("model"), "query_vec", "query_text", "terms")
+    checkpoint_dir(messages.sparkSession)
+    asked = asked.checkpoint()  # so that each query is embedded once
     live = turns.conversation_turns(messages)
     texts = fragments.turn_texts(live, tags=settings.strip_tags)
     excluded = compression.retained_turns(messages, live, texts, settings.keep_floors)
     rows = tables.with_vectors(records)
     rows = rows if "frag_id" in rows.columns else rows.withColumnRenamed("id", "frag_id")
-    found = recall.scored(recall.candidates(asked, rows, excluded), settings.threshold)
-    found = recall.ranked(found.drop("query_vec", "vec", "terms", "embedding_q", "model"), settings.candidate_limit)
+    found = recall.recalled(asked, rows, settings.threshold, settings.candidate_limit, excluded).checkpoint()  # read again by the reranker and for every turn
     if settings.rerank_enabled and reranker is not None:
         found = recall.apply_rerank(found, connectors.rerank_rows(found, reranker), settings.top_k, settings.rerank_threshold)
     return recall.merge_same_turn(found, texts)
@@ -33,7 +35,8 @@ def recall_memories(messages: DataFrame, records: DataFrame, embedder, settings:
 def prompted_messages(messages: DataFrame, records: DataFrame, empty: DataFrame, embedder, settings: RecallSettings, reranker=None) -> DataFrame:
     """The messages that go into the prompt: covered old turns left out, what was recalled in front of the latest user message."""
     live = turns.conversation_turns(messages)
-    old = compression.old_turns(messages, live, fragments.turn_texts(live, full=False), records, empty, settings.keep_floors)
-    kept = compression.keep_floors(messages, live, old)
+    old = compression.old_turns(messages, live, fragments.raw_fingerprints(live), records, empty, settings.keep_floors)
+    checkpoint_dir(messages.sparkSession)
+    kept = compression.keep_floors(messages, live, old).checkpoint()  # read for the queries, their turns and the prompt
     prompts = recall.recall_prompts(recall_memories(kept, records, embedder, settings, reranker)).withColumnRenamed("query_id", "conv_id")
     return recall.inject_prompts(kept, turns.latest_user(kept), prompts)

@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 KEEP = 30
 SHORT_UNITS = 80
+RECALLED = ("frag_id", "conv_id", "turn", "sequence", "paragraph", "summary", "source_text", "turn_fingerprint", "raw_turn_fingerprint", "enabled", "embedding_model", "embedding_dims")
 
 
 def registered(query: Query) -> Query:
@@ -32,12 +33,24 @@ def _asked(column: str) -> Column:
     return F.col(column) % 100 == 0
 
 
+def _messages(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The messages, each once, with the columns that turns need, in the shared folder: what reads them several times doesn't gather them anew."""
+    checkpoint_dir(spark)
+    return tables.messages(spark, sf_dir).select("msg_id", "conv_id", "msg_index", "is_user", "role", "is_system", "injected", *more).checkpoint()
+
+
 def _turns(spark: SparkSession, sf_dir: str, hidden: bool = False) -> DataFrame:
     return turns.conversation_turns(tables.messages(spark, sf_dir), include_hidden=hidden)
 
 
+def _cleaned(spark: SparkSession, sf_dir: str, settled: bool = False) -> DataFrame:
+    """The messages of all turns, hidden ones included, cleaned once."""
+    live = _turns(spark, sf_dir, hidden=True)
+    return fragments.cleaned_turns(turns.settled_turns(live) if settled else live)
+
+
 def _texts(spark: SparkSession, sf_dir: str, hidden: bool = False) -> DataFrame:
-    return fragments.turn_texts(_turns(spark, sf_dir, hidden), full=False)
+    return fragments.raw_fingerprints(turns.conversation_turns(_messages(spark, sf_dir, "mes"), include_hidden=hidden))
 
 
 # vectors
@@ -213,7 +226,7 @@ def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def turn_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragments.turn_fragments(_turns(spark, sf_dir, hidden=True))
+    return fragments.turn_fragments(_cleaned(spark, sf_dir))
 
 
 # lexical and recall
@@ -235,12 +248,11 @@ def lexical_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str, most: int, excluded: DataFrame | None = None) -> DataFrame:
     """Every hundredth record asks for the records of its conversation."""
-    records = tables.with_vectors(tables.index_records(spark, sf_dir))
+    checkpoint_dir(spark)
+    records = tables.with_vectors(tables.index_records(spark, sf_dir)).select(*RECALLED, "vec").checkpoint()  # read several times
     asked = records.where(_asked("frag_id") & (F.length("vec") > 0) & F.col("embedding_model").isNotNull())
     asked = asked.select(F.col("frag_id").alias("query_id"), "conv_id", F.col("embedding_model").alias("model"), F.col("vec").alias("query_q"), F.coalesce("paragraph", "source_text").alias("query_text"), lexical.query_terms(F.coalesce("paragraph", "source_text")).alias("terms"))
-    rows = recall.scored(recall.candidates(asked, records, excluded), 0.3)
-    rows = rows.drop("query_q", "vec", "terms", "embedding_q", "model", "ts", "writer", "embedding_encoding", "embedding_scale")
-    return recall.ranked(rows, most)
+    return recall.recalled(asked, records, 0.3, most, excluded)
 
 
 @registered
@@ -251,13 +263,11 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def retained_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages, live = tables.messages(spark, sf_dir), _turns(spark, sf_dir)
-    retained = compression.retained_turns(messages, live, fragments.turn_texts(live, full=False), KEEP)
-    records = index.migrate_fingerprints(tables.index_records(spark, sf_dir), _texts(spark, sf_dir, hidden=True))
-    token = F.coalesce(F.nullif("raw_turn_fingerprint", F.lit("")), F.nullif("turn_fingerprint", F.lit("")))
-    barred = retained.select(F.col("conv_id").alias("c"), F.col("marker").alias("m")).distinct()
-    kept = records.withColumn("t", token).join(barred, (F.col("conv_id") == F.col("c")) & (F.col("t") == F.col("m")), "left_anti")
-    return kept.select("frag_id", "conv_id")
+    messages = _messages(spark, sf_dir, "mes")
+    live = turns.conversation_turns(messages)
+    retained = compression.retained_turns(messages, live, fragments.raw_fingerprints(live), KEEP)
+    hidden = fragments.raw_fingerprints(turns.conversation_turns(messages, include_hidden=True))
+    return recall.without_turns(index.migrate_fingerprints(tables.index_records(spark, sf_dir), hidden), retained).select("frag_id", "conv_id")
 
 
 def _relevance(rows: DataFrame) -> DataFrame:
@@ -319,27 +329,30 @@ def rerank_service(spark: SparkSession, sf_dir: str) -> DataFrame:
 # compression
 
 
-def _old_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages, live = tables.messages(spark, sf_dir), _turns(spark, sf_dir)
-    records = index.migrate_fingerprints(tables.index_records(spark, sf_dir), _texts(spark, sf_dir, hidden=True))
+def _old_turns(spark: SparkSession, sf_dir: str, messages: DataFrame) -> DataFrame:
+    live = turns.conversation_turns(messages)
+    hidden = fragments.raw_fingerprints(turns.conversation_turns(messages, include_hidden=True))
+    records = index.migrate_fingerprints(tables.index_records(spark, sf_dir).select("conv_id", "turn", "raw_turn_fingerprint"), hidden)
     empty = records.select("conv_id", F.lit("").alias("marker")).limit(0)
-    return compression.old_turns(messages, live, fragments.turn_texts(live, full=False), records, empty, KEEP)
+    return compression.old_turns(messages, live, fragments.raw_fingerprints(live), records, empty, KEEP)
 
 
 @registered
 def keep_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.keep_floors(tables.messages(spark, sf_dir), _turns(spark, sf_dir), _old_turns(spark, sf_dir)).select("conv_id", "msg_index", "msg_id")
+    messages = _messages(spark, sf_dir, "mes")
+    return compression.keep_floors(messages, turns.conversation_turns(messages), _old_turns(spark, sf_dir, messages)).select("conv_id", "msg_index", "msg_id")
 
 
 @registered
 def compression_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.compression_statistics(_old_turns(spark, sf_dir))
+    return compression.compression_statistics(_old_turns(spark, sf_dir, _messages(spark, sf_dir, "mes")))
 
 
 @registered
 def retained_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = _turns(spark, sf_dir)
-    return compression.retained_turns(tables.messages(spark, sf_dir), live, fragments.turn_texts(live, full=False), KEEP)
+    messages = _messages(spark, sf_dir, "mes")
+    live = turns.conversation_turns(messages)
+    return compression.retained_turns(messages, live, fragments.raw_fingerprints(live), KEEP)
 
 
 # index
@@ -347,14 +360,15 @@ def retained_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def new_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fragments.turn_fragments(turns.settled_turns(_turns(spark, sf_dir, hidden=True)))
+    found = fragments.turn_fragments(_cleaned(spark, sf_dir, settled=True))
     return index.new_fragments(found, tables.index_records(spark, sf_dir)).select("conv_id", "turn", "sequence", "vector_chunk_id", "role", "source_text")
 
 
 @registered
 def empty_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = turns.settled_turns(_turns(spark, sf_dir, hidden=True))
-    return index.empty_turns(live, fragments.turn_texts(live, full=False), fragments.turn_fragments(live))
+    live = _cleaned(spark, sf_dir, settled=True)
+    texts = fragments.turn_texts(live, full=False)
+    return index.empty_turns(texts, fragments.turn_fragments(live, texts=texts))
 
 
 @registered
@@ -392,9 +406,10 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def recall_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations ingested from nothing, then asked by their latest user messages."""
-    messages, embedder = tables.messages(spark, sf_dir), connectors.HashEmbedder()
+    messages, embedder = _messages(spark, sf_dir, "name", "mes"), connectors.HashEmbedder()
     nothing = spark.createDataFrame([], tables.INDEX_SCHEMA)
-    records = ingest.ingest_conversations(messages, nothing, embedder, "hashed-64")
+    checkpoint_dir(spark)
+    records = ingest.ingest_conversations(messages, nothing, embedder, "hashed-64").checkpoint()  # each text is embedded once
     rows = pipeline.recall_memories(messages, records, embedder, RecallSettings(model="hashed-64", keep_floors=30))
     return rows.select("query_id", "rank", "turn", F.round("score", 6).alias("score"), F.col("lexical.hits").alias("hits"), "merged", F.md5("text").alias("text"))
 

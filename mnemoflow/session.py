@@ -50,7 +50,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where none is named (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode (tests) a temporary one where none is named."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -60,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     folder = "file://" + tempfile.mkdtemp(prefix="mnemoflow-checkpoint-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(folder)
     return folder

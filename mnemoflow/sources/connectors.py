@@ -21,10 +21,12 @@ from pyspark.sql import types as T
 
 Transport = Callable[[str, str, dict, dict | None], tuple[int, object]]
 DEFAULT_TIMEOUT_S = 60
+CALLS_KEPT = 4
 # Words by which services say that a batch is too large, that calls come too often, that a request is bad.
 BATCH_WORDS = "batch|limit|exceed|too many|max(imum)?|数量|上限|超出"
 RATE_WORDS = "rate ?limit|too many requests|限流|频率|tpm|rpm|qps"
 CLIENT_WORDS = "bad request|invalid request"
+# How the names of models tell what they are for.
 EMBED_MODELS, RERANK_MODELS = "embed|bge|gte|(?<![A-Za-z0-9_])e5(?![A-Za-z0-9_])|e5-", "rerank"
 
 
@@ -147,9 +149,10 @@ class HashEmbedder:
 
 
 def embed_adaptive(texts: Sequence[str], service, batch_size: int = 8, sleep: Callable[[float], None] = time.sleep, progress: Callable[[int, int], None] | None = None) -> list[list[float]]:
-    """Vectors of all texts that aren't blank, in batches that shrink when the service finds them too large.
+    """Vectors of all texts that aren't blank, in batches that shrink when the service refuses them as too large.
 
-    Being limited in rate is waited out, up to eight attempts; other errors are tried three times; halving a batch isn't a failure.
+    Only a client error that names a limit halves the batch, and that isn't a failure; what a server says of its own limits is waited out.
+    Being limited in rate is tried up to eight times, other errors three times.
     """
     values = [t for t in ((t or "").strip() for t in texts) if t]
     size = max(1, min(16, round(batch_size or 8)))
@@ -166,7 +169,7 @@ def embed_adaptive(texts: Sequence[str], service, batch_size: int = 8, sleep: Ca
             raise
         except Exception as error:
             limited = is_rate_limit(error)
-            if not limited and is_batch_limit(error) and size > 1:
+            if not limited and is_client_error(error) and is_batch_limit(error) and size > 1:
                 size //= 2
                 continue
             failures += 1
@@ -177,12 +180,16 @@ def embed_adaptive(texts: Sequence[str], service, batch_size: int = 8, sleep: Ca
 
 
 def embed_rows(rows: DataFrame, text: str, service, out: str = "embedding", batch_size: int = 8) -> DataFrame:
-    """The rows with ``out``, the vector of ``text``; null for blank texts. A column of that name is replaced."""
+    """The rows with ``out``, the vector of ``text``; null for blank texts. A column of that name is replaced.
+
+    A task hands on its rows every ``CALLS_KEPT`` calls, so that what is downstream doesn't wait for a whole Arrow batch; write the result where it is read again.
+    """
     names = [c for c in rows.columns if c != out]
     schema = rows.select(*names).schema.add(out, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        step = CALLS_KEPT * max(1, min(16, round(batch_size or 8)))
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
             texts = batch.column(names.index(text)).to_pylist()
             filled = [i for i, t in enumerate(texts) if (t or "").strip()]
             vectors: list = [None] * len(texts)

@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemoflow.functions import keys
-from mnemoflow.operators.fragments import turn_fragments, turn_texts
-from mnemoflow.operators.index import empty_turns, migrate_markers, new_fragments, to_records, without_refilled
+from mnemoflow.operators.fragments import cleaned_turns, turn_fragments, turn_texts
+from mnemoflow.operators.index import empty_turns, large_indexes, migrate_markers, new_fragments, to_records, without_refilled
 from mnemoflow.operators.turns import conversation_turns, settled_turns
 from mnemoflow.sources.connectors import embed_rows
 from mnemoflow.sources.tables import IndexStore, latest_rows
 
 
 def ingest_conversations(messages: DataFrame, index: DataFrame, service, model: str, full: bool = False, recent_only: bool = False) -> DataFrame:
-    """Index records of the settled turns' fragments that ``index`` doesn't hold yet; running it again adds nothing."""
-    turns = settled_turns(conversation_turns(messages, include_hidden=True), full, recent_only)
+    """Index records of the settled turns' fragments that ``index`` doesn't hold yet; running it again adds nothing.
+
+    ``recent_only`` is the automatic mode: only the last settled turns, and none of conversations whose index is too large to be filled by itself.
+    """
+    live = conversation_turns(messages, include_hidden=True)
+    return _ingested(cleaned_turns(settled_turns(live, full, recent_only)), index, service, model, recent_only)
+
+
+def _ingested(settled: DataFrame, index: DataFrame, service, model: str, automatic: bool) -> DataFrame:
     stored = index.withColumn("ts", F.lit(None).cast("timestamp")).withColumn("frag_id", F.col("id")) if "frag_id" not in index.columns else index
-    fresh = new_fragments(turn_fragments(turns), stored)
+    if automatic:
+        settled = settled.join(large_indexes(index), "conv_id", "left_anti")
+    fresh = new_fragments(turn_fragments(settled), stored)
     return to_records(embed_rows(fresh, "source_text", service), model)
 
 
@@ -28,12 +37,15 @@ def ingest_markers(messages: DataFrame, markers: DataFrame, full: bool = False,
     Old markers of the form empty:<turn> become the turn's fingerprint where it has one; of the settled turns those without cleaned text or
     fragments are added, and those that have text now are taken out. Of several turns of one marker the last decides. Markers of other conversations stay.
     """
-    live = conversation_turns(messages, include_hidden=True)
-    settled = settled_turns(live, full, recent_only)
-    texts = turn_texts(live, full=False)
+    live = cleaned_turns(conversation_turns(messages, include_hidden=True))
+    return _marked(live, settled_turns(live, full, recent_only), markers)
+
+
+def _marked(live: DataFrame, settled: DataFrame, markers: DataFrame) -> DataFrame:
+    texts = turn_texts(live, full=False).checkpoint()
     of_settled = texts.join(settled.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi")
     last = of_settled.select("conv_id", "turn", keys.turn_marker(F.col("raw_turn_fingerprint"), F.col("turn")).alias("marker")).groupBy("conv_id", "marker").agg(F.max("turn").alias("turn"))
-    added = empty_turns(settled, of_settled, turn_fragments(settled)).join(last, ["conv_id", "turn", "marker"], "left_semi")
+    added = empty_turns(of_settled, turn_fragments(settled, texts=of_settled)).join(last, ["conv_id", "turn", "marker"], "left_semi")
     return without_refilled(migrate_markers(markers, texts), of_settled).unionByName(added.select("conv_id", "marker")).distinct()
 
 

@@ -96,6 +96,33 @@ def test_ties_prefer_newer_turns_and_content_comes_once(spark):
     assert [r.frag_id for r in out] == [11, 10]
 
 
+def test_large_conversations_are_compared_in_blocks(spark, monkeypatch):
+    from mnemoflow.functions.vectors import cosine_bytes
+
+    rng = random.Random(5)
+    n = 240
+    vec = lambda: bytes(rng.randrange(256) for _ in range(rng.choice((8, 8, 8, 12))))
+    rows = [(i, 1 if i % 3 else 2, i // 4, i % 4, f"text {i % 150} of " + "x" * 90, None, f"source {i % 7}", "", None, None if i % 11 else False, ["m", "m", "n", None][i % 4], rng.choice((8, 12, 0, None, 5)), vec() if i % 13 else b"") for i in range(n)]
+    schema = "frag_id long, conv_id long, turn int, sequence int, paragraph string, summary string, source_text string, turn_fingerprint string, raw_turn_fingerprint string, enabled boolean, embedding_model string, embedding_dims int, vec binary"
+    records = spark.createDataFrame(rows, schema)
+    queries = spark.createDataFrame([(1000 + i, 1 + i % 3, ["m", "n", None][i % 3], vec(), ["source 3", "text"]) for i in range(30)], "query_id long, conv_id long, model string, query_q binary, terms array<string>")
+    for strict in (True, False):
+        got = []
+        for block in (4096, 16):
+            monkeypatch.setattr(recall, "BLOCK", block)
+            got.append(sorted((r.query_id, r.rank, r.frag_id, round(r.score, 9)) for r in recall.recalled(queries, records, 0.1, 4, strict_model=strict).collect()))
+        # against every pair of a conversation, scored and ranked
+        pairs = queries.join(records.where("enabled is distinct from false and length(vec) > 0"), "conv_id")
+        same = F.col("model").eqNullSafe(F.col("embedding_model")) if strict else F.col("model").isNull() | F.col("embedding_model").isNull() | (F.col("model") == F.col("embedding_model"))
+        pairs = pairs.where(same & (F.coalesce("embedding_dims", F.lit(0)).isin(0) | (F.col("embedding_dims") == F.length("query_q")))).withColumn("raw_score", cosine_bytes(F.col("query_q"), F.col("vec"))).where("raw_score >= 0.1")
+        from mnemoflow.functions.lexical import lexical_match
+
+        pairs = pairs.withColumn("score", F.col("raw_score") + lexical_match(F.col("source_text"), F.col("summary"), F.col("terms"))["boost"])
+        want = sorted((r.query_id, r.rank, r.frag_id, round(r.score, 9)) for r in recall.ranked(pairs, 4).collect())
+        assert got[0] == got[1] == want and len(want) > 40
+    assert recall.recalled(queries.limit(0), records, 0.1, 4).count() == 0 == recall.recalled(queries, records.limit(0), 0.1, 4).count()
+
+
 def test_rerank_threshold_and_fallback(spark):
     rows = ranked_rows(spark, [(q, 10 + i, i + 1, 1, "p", "", "", 0.9 - i / 10, 0.9 - i / 10, i + 1, 1, "", "") for q in (1, 2, 3) for i in range(2)])
     said = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.2), (3, 0, 0.1)], "query_id long, index int, relevance_score double")

@@ -53,6 +53,11 @@ def test_batches_shrink_and_wait():
     with pytest.raises(c.ServiceError):
         c.embed_adaptive(["a"], service(lambda *_: (500, None)), 2, waits.append)
     assert c.embed_adaptive([" "], service(answer)) == []
+    # a server's own limit doesn't make batches smaller
+    asked = []
+    with pytest.raises(c.ServiceError):
+        c.embed_adaptive(["a", "b"], service(lambda m, u, h, body: (asked.append(len(body["input"])), (503, {"message": "capacity limit reached"}))[1]), 2, waits.append)
+    assert asked == [2, 2, 2]
 
 
 def test_errors(spark):

@@ -49,21 +49,30 @@ def _marked(live: DataFrame, settled: DataFrame, markers: DataFrame) -> DataFram
     return without_refilled(migrate_markers(markers, texts), of_settled).unionByName(added.select("conv_id", "marker")).distinct()
 
 
-def stream_ingest(spark: SparkSession, source: DataFrame, messages_path: str, store: IndexStore, service, model: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def stream_ingest(spark: SparkSession, source: DataFrame, messages_path: str, store: IndexStore, service, model: str, checkpoint: str, trigger: dict | None = None, compact_every: int = 64) -> StreamingQuery:
     """Start a query that keeps the messages that arrive and ingests the conversations they touch.
 
-    Each micro-batch appends its messages, reads the touched conversations whole (late and edited messages included), and writes a new
-    version of the index, its markers of empty turns included. The lag of two turns is a watermark in turns, not in time: what hasn't settled is taken up by a later batch.
+    Each micro-batch adds its messages, by the store's buckets, reads the touched conversations whole (late and edited messages included) from the touched
+    buckets, and adds their new records and markers of empty turns to the index; every ``compact_every`` batches the index becomes one version again. The lag of two
+    turns is a watermark in turns, not in time: what hasn't settled is taken up by a later batch.
     A batch that is tried again adds nothing twice: messages are kept once per id, records once per content.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{messages_path}/batch={number}")
-        touched = rows.select("conv_id").distinct()
-        everything = latest_rows(spark.read.parquet(messages_path).drop("batch").join(touched, "conv_id", "left_semi"), "msg_id", "recv_ts")
-        records, empty = store.read()
-        added = ingest_conversations(everything, records.join(touched, "conv_id", "left_semi"), service, model)
-        store.write(records.unionByName(added), ingest_markers(everything, empty))
+        rows.withColumn("bucket", store.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{messages_path}/batch={number}")
+        arrived = spark.read.schema(rows.schema).parquet(f"{messages_path}/batch={number}") if rows.isEmpty() else spark.read.parquet(f"{messages_path}/batch={number}")
+        touched = arrived.where("conv_id is not null").select("conv_id").distinct()
+        buckets = [r.bucket for r in touched.select(store.bucket().alias("bucket")).distinct().collect()]  # at most as many as the store has
+        if not buckets:
+            return
+        stored = spark.read.parquet(messages_path).where(F.col("bucket").isin(buckets)).drop("batch", "bucket")
+        everything = latest_rows(stored.join(touched, "conv_id", "left_semi"), "msg_id", "recv_ts")
+        records, empty = (f.join(touched, "conv_id", "left_semi") for f in store.read(buckets=buckets))
+        live = cleaned_turns(conversation_turns(everything, include_hidden=True))
+        settled = settled_turns(live)
+        store.append(_ingested(settled, records, service, model, False), _marked(live, settled, empty), touched)
+        if number % compact_every == compact_every - 1:
+            store.compact()
 
     writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()

@@ -152,6 +152,24 @@ def test_stream_ingests_what_settles_once(spark, tmp_path):
     assert ingest.ingest_conversations(late, store.read()[0].limit(0), c.HashEmbedder(8), "h", recent_only=True).count() == 3
 
 
+def test_what_is_written_follows_what_is_added(spark, tmp_path):
+    store = tables.IndexStore(spark, f"file://{tmp_path}/store", buckets=8)
+    record = lambda conv, text: (conv, 1, 1, text) + (None,) * 13
+    frame = lambda *rows: spark.createDataFrame(rows, tables.INDEX_SCHEMA)
+    marks = lambda *rows: spark.createDataFrame(rows, "conv_id long, marker string")
+    touched = lambda *ids: spark.createDataFrame([(i,) for i in ids], "conv_id long")
+    first = store.write(frame(*[record(i, "p") for i in range(40)]), marks((1, "a"), (2, "b")))
+    second = store.append(frame(record(1, "q")), marks((1, "c")), touched(1))
+    third = store.append(frame(), marks(), touched(2))
+    assert len(list((tmp_path / f"store/d{second}/records").glob("bucket=*"))) == 1 and not list((tmp_path / f"store/d{third}/records").glob("bucket=*"))
+    assert store.read()[0].count() == 41 and {tuple(r) for r in store.read()[1].collect()} == {(1, "c")}
+    assert store.read(first)[0].count() == 40 and {tuple(r) for r in store.read(second)[1].collect()} == {(1, "c"), (2, "b")}
+    mine = spark.range(1).select(F.lit(1).cast("long").alias("conv_id")).select(store.bucket()).first()[0]
+    assert {r.paragraph for r in store.read(buckets=[mine])[0].where("conv_id = 1").collect()} == {"p", "q"} and store.read(buckets=[mine])[0].count() < 41
+    store.compact(keep=0)
+    assert len(store.versions()) == 1 and store.read()[0].count() == 41 and {tuple(r) for r in store.read()[1].collect()} == {(1, "c")}
+
+
 def test_stream_marks_empty_turns(spark, tmp_path):
     schema = "msg_id long, conv_id long, msg_index int, is_user boolean, role string, name string, mes string, is_system boolean, injected boolean, origin string, send_ts timestamp, recv_ts timestamp"
     code = "```\n" + "print(1)\n" * 20 + "```"
@@ -172,7 +190,7 @@ def test_stream_marks_empty_turns(spark, tmp_path):
     arrive(said, "a", 1)
     # the turn of code has a fingerprint, the blank one none; the fourth has text; another conversation isn't touched
     assert run() == {(1, "rfp1"), (1, "empty:3"), (2, "empty:2")}
-    live = turns.conversation_turns(spark.read.parquet(f"{tmp_path}/messages").drop("batch"))
+    live = turns.conversation_turns(spark.read.parquet(f"{tmp_path}/messages").drop("batch", "bucket"))
     old = compression.old_turns(live, live, fragments.turn_texts(live), *store.read(), 4)
     assert {r.turn for r in old.where("covered").collect()} == {1, 2, 3, 4}
     arrive([*said[:2], "第三句，" + "新的一件事情啊。" * 15, *said[3:]], "b", 2)

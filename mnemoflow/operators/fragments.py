@@ -119,9 +119,12 @@ def cleaned_turns(turns: DataFrame, text: str = "mes", tags: str | None = None)
     """
     if {"raw", "clean"} <= set(turns.columns):
         return turns
-    checkpoint_dir(turns.sparkSession)
+    spark = turns.sparkSession
+    checkpoint_dir(spark)
     name = F.col("name") if "name" in turns.columns else F.lit(None).cast("string")
-    rows = turns.select("conv_id", "turn", "msg_index", is_user().alias("is_user"), F.lit(None).cast("string").alias("role"), name.alias("name"), js_trim(F.coalesce(F.col(text), F.lit(""))).alias("raw"), strip_code(F.col(text), tags).alias("clean"))
+    # cleaning costs far more than moving a text: the messages are spread evenly, however they lay before
+    spread = turns.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "conv_id", "msg_index")
+    rows = spread.select("conv_id", "turn", "msg_index", is_user().alias("is_user"), F.lit(None).cast("string").alias("role"), name.alias("name"), js_trim(F.coalesce(F.col(text), F.lit(""))).alias("raw"), strip_code(F.col(text), tags).alias("clean"))
     return rows.checkpoint()
 
 
@@ -176,6 +179,8 @@ def turn_fragments(turns: DataFrame, text: str = "mes", tags: str | None = None,
     """
     cleaned = cleaned_turns(turns, text, tags)
     rows = cleaned.select("conv_id", "turn", "msg_index", is_user().alias("_mine"), "name", blocks(F.col("clean")).alias("_b")).where(F.size("_b") > 0)
+    checkpoint_dir(turns.sparkSession)
+    rows = rows.checkpoint()  # read for the user's texts, the replies, and their counts
     part = lambda who, b: F.format_string(f"%d:{who}:%d-%d", F.col("msg_index"), b["start"], b["end"])
     opened = rows.where("_mine").select(
         "conv_id", "turn",

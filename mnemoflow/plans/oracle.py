@@ -259,6 +259,11 @@ def _fragments(turns: str) -> str:
         turn_fingerprint, raw as raw_turn_fingerprint from fe join sd using (conv_id, turn) join rt using (conv_id, turn))"""
 
 
+# the documents as a hundred conversations of user messages, every one a turn; full_ says that its cleaned text isn't empty
+_DOCUMENTS = f"""m as (select doc_id as msg_id, doc_id % 100 as conv_id, (doc_id // 100)::int as msg_index, true as is_user, 'user' as role, text as mes from documents where doc_id is not null),
+    t as (select *, row_number() over (partition by conv_id order by msg_index) as turn from m), {_clean(_MES)}, {_raw('t', 'rw')},
+    mk as (select conv_id, rw.turn, raw, marker, cl.t <> '' as full_ from rw join t using (conv_id, turn) join cl on cl.id = msg_id)"""
+
 _SETTLED = "st as (select * from (select *, max(turn) over (partition by conv_id) as nt from h) where turn <= nt - 2)"
 _SETTLED_FRAGMENTS = f"{_M}, {_FR}, {_turns('h', True)}, {_SETTLED}, {_BLOCKS}, {_fragments('st')}"
 
@@ -350,4 +355,8 @@ ORACLE: dict[str, str] = {
         union all select conv_id, pos, null, true, md5(prompt) from pl""",
     "rerank_service": f"""with {_RANKED}, l as (select r.query_id, rank, list_distinct(string_split(q.txt, '')) as a, list_distinct(string_split(coalesce(nullif(r.summary, ''), r.paragraph, ''), '')) as b from ranked r join q using (query_id) where rank <= 20 and {_trim('q.txt')} <> '')
         select query_id, (rank - 1)::int as index, len(list_intersect(a, b))::double / greatest(1, len(list_distinct(list_concat(a, b)))) as relevance_score from l""",
+    "document_markers": f"with {_DOCUMENTS} select conv_id, turn, marker from mk where not full_",
+    "refilled_markers": f"with {_DOCUMENTS}, old as (select conv_id, coalesce(nullif(raw, ''), 'empty:' || turn::varchar) as marker from mk where turn % 3 = 0) select distinct conv_id, marker from old where not exists (select 1 from mk where mk.conv_id = old.conv_id and full_ and old.marker in (mk.marker, 'empty:' || mk.turn::varchar))",
+    "covered_turns": f"""with {_DOCUMENTS}, n as (select conv_id, max(msg_index) + 1 as n from m group by conv_id)
+        select conv_id, turn, 1::bigint as n_messages, exists (select 1 from mk e where not e.full_ and e.conv_id = mk.conv_id and e.marker = mk.marker) as covered from mk join t using (conv_id, turn) join n using (conv_id) where n > {KEEP // 10} and msg_index < n - {KEEP // 10}""",
 }

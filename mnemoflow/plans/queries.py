@@ -371,6 +371,41 @@ def empty_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.empty_turns(texts, fragments.turn_fragments(live, texts=texts))
 
 
+def _document_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(messages, turns) of the documents as a hundred conversations of user messages: every document is a turn, and many hold nothing but code."""
+    rows = read_table(spark, sf_dir, "documents").where("doc_id is not null")
+    rows = rows.select(F.col("doc_id").alias("msg_id"), (F.col("doc_id") % 100).alias("conv_id"), F.floor(F.col("doc_id") / 100).cast("int").alias("msg_index"), F.lit(True).alias("is_user"), F.lit("user").alias("role"), F.col("text").alias("mes"), F.lit(False).alias("is_system"), F.lit(False).alias("injected"))
+    return rows, fragments.cleaned_turns(turns.conversation_turns(rows))
+
+
+def _document_markers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(messages, turn texts, markers of the turns without cleaned text)."""
+    rows, live = _document_turns(spark, sf_dir)
+    texts = fragments.turn_texts(live, full=False)
+    return rows, texts, index.empty_turns(texts, fragments.turn_fragments(live, texts=texts))
+
+
+@registered
+def document_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _document_markers(spark, sf_dir)[2]
+
+
+@registered
+def refilled_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old markers of every third turn, brought up to date: those of turns that have text now are gone."""
+    _, texts, _ = _document_markers(spark, sf_dir)
+    old = texts.where("turn % 3 = 0").select("conv_id", F.concat(F.lit("empty:"), F.col("turn").cast("string")).alias("marker"))
+    return index.without_refilled(index.migrate_markers(old, texts), texts)
+
+
+@registered
+def covered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old turns that an index without records covers by the markers of empty turns alone."""
+    rows, texts, markers = _document_markers(spark, sf_dir)
+    none = spark.createDataFrame([], "conv_id long, raw_turn_fingerprint string")
+    return compression.old_turns(rows, turns.conversation_turns(rows), texts, none, markers, KEEP // 10)
+
+
 @registered
 def migrate_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.migrate_fingerprints(tables.index_records(spark, sf_dir), _texts(spark, sf_dir, hidden=True)).select("frag_id", "conv_id", "raw_turn_fingerprint")

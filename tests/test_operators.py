@@ -45,22 +45,6 @@ def test_split_and_merge():
         assert fragments.split_long(text, 13) == plain.parts(text, 13)
 
 
-def test_fragments_equal_plain_python(spark, small):
-    messages = tables.messages(spark, small)
-    got = {(r.conv_id, r.turn, r.sequence): (r.paragraph, r.vector_chunk_id) for r in fragments.turn_fragments(turns.conversation_turns(messages, True)).collect()}
-    chats: dict = {}
-    for r in messages.collect():
-        chats.setdefault(r.conv_id, []).append(r.asDict())
-    want = {}
-    for conv, rows in chats.items():
-        rows.sort(key=lambda r: r["msg_index"])
-        for n, t in enumerate(plain.turns(rows, True), 1):
-            for s, (paragraph, chunk) in enumerate(plain.turn_fragments(n, t), 1):
-                want[conv, n, s] = (paragraph, chunk)
-    astral = {k for k, (p, _) in want.items() if any(ord(c) > 0xFFFF for c in p)}
-    assert got.keys() == want.keys() and all(got[k] == want[k] for k in want if k not in astral)
-
-
 def test_fragment_labels(spark):
     rows = [(True, None, "U", "用户提出了一个足够长的问题。" * 12, None, None), (False, "assistant", "A", "角色回答第一段。" * 30, None, None), (False, "assistant", "A", "角色回答第二段。" * 30, None, None)]
     made = fragments.turn_fragments(turns.conversation_turns(chat(spark, rows)), user_name="U").orderBy("sequence").collect()

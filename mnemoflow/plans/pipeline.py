@@ -11,12 +11,13 @@ from mnemoflow.settings import RecallSettings
 from mnemoflow.sources import connectors, tables
 
 
-def recall_memories(messages: DataFrame, records: DataFrame, embedder, settings: RecallSettings, reranker=None, latest: DataFrame | None = None) -> DataFrame:
+def recall_memories(messages: DataFrame, records: DataFrame, embedder, settings: RecallSettings, reranker=None, latest: DataFrame | None = None, kind: str | None = None) -> DataFrame:
     """What the index recalls for every conversation's latest user message: query_id (the conversation), rank, score, text and the record's columns.
 
     ``latest`` stands in for the latest user messages, as in a manual search. Turns that the last ``keep_floors`` messages still hold are excluded.
+    Of ``kind``, the type of generation, some recall nothing (see :func:`recall.allowed_type`).
     """
-    asked = recall.build_queries(turns.latest_user(messages) if latest is None else latest, tags=settings.strip_tags)
+    asked = recall.build_queries(turns.latest_user(messages) if latest is None else latest, tags=settings.strip_tags).where(recall.allowed_type(F.lit(kind).cast("string")))
     asked = connectors.embed_rows(asked, "embed_text", embedder, out="query_vec", batch_size=settings.batch_size).where("query_vec is not null")
     asked = asked.select(F.col("conv_id").alias("query_id"), "conv_id", F.lit(settings.model).alias("model"), "query_vec", "query_text", "terms")
     checkpoint_dir(messages.sparkSession)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemoflow.functions.text import suggested_tags
+
 Transport = Callable[[str, str, dict, dict | None], tuple[int, object]]
 DEFAULT_TIMEOUT_S = 60
 CALLS_KEPT = 4
@@ -261,6 +263,27 @@ def rerank_rows(ranked: DataFrame, service, text: str | None = None, query: str
     return ranked.select("query_id", "rank", query, F.coalesce(*parts).alias("_text")).groupBy("query_id").applyInArrow(run, "query_id long, index int, relevance_score double")
 
 
+def suggest_tags(samples: DataFrame, ask: Callable[[str], str | None], known: Sequence[str] = ()) -> DataFrame:
+    """conv_id, tags: the tag names that a model's reply to every conversation's sample names and the list doesn't hold yet.
+
+    ``ask`` is called once per sample inside the tasks; null and blank samples, and calls that fail, give no tags.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replies = []
+            for sample in batch.column("sample").to_pylist():
+                try:
+                    replies.append(ask(sample) if (sample or "").strip() else None)
+                except Aborted:
+                    raise
+                except Exception:
+                    replies.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(replies, pa.string())], ["conv_id", "reply"])
+
+    return samples.select("conv_id", "sample").mapInArrow(run, "conv_id long, reply string").select("conv_id", suggested_tags(F.col("reply"), known).alias("tags"))
+
+
 def model_catalog(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Distinct model ids of model-list answers in JSON, sorted, with what they are good for: model, embeds, reranks."""
     schema = "data array<struct<id:string,name:string>>, models array<struct<id:string,name:string>>"

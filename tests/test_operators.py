@@ -222,6 +222,6 @@ def test_recall_from_end_to_end(spark):
     prompt = out.where("injected").first()
     assert "number 4" in prompt.mes and out.where(~F.coalesce("injected", F.lit(False))).count() < 81
     other = pipeline.recall_memories(messages, records, HashEmbedder(256), RecallSettings(model="other"))
-    assert other.count() == 0
+    assert other.count() == 0 == pipeline.recall_memories(messages, records, HashEmbedder(256), settings, kind="quiet").count()
     asked = recall.manual_search(turns.latest_user(messages), "quilt on the orchard wall number 3 and the keeper of the tower")
     assert pipeline.recall_memories(messages, records, HashEmbedder(256), settings, latest=asked).count() > 0

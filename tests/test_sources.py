@@ -120,6 +120,16 @@ def test_model_catalog(spark):
     assert c.models_for(catalog.where("model = 'chat'"), "embeds").count() == 1
 
 
+def test_tags_are_suggested_by_a_model(spark):
+    def ask(sample):
+        if sample == "bad":
+            raise RuntimeError("down")
+        return "<status>, plan，none " + sample
+
+    samples = spark.createDataFrame([(1, "mood"), (2, None), (3, "bad"), (4, " ")], "conv_id long, sample string")
+    assert {r.conv_id: r.tags for r in c.suggest_tags(samples, ask, ["plan"]).collect()} == {1: ["status", "mood"], 2: [], 3: [], 4: []}
+
+
 def test_rows_are_embedded(spark):
     rows = spark.createDataFrame([(1, "abc", "clash"), (2, None, "clash"), (3, " ", "clash")], "id long, t string, embedding string")
     out = {r.id: r.embedding for r in c.embed_rows(rows, "t", c.HashEmbedder(8)).collect()}

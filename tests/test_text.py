@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from mnemoflow.functions import keys, lexical, text, vectors
-from mnemoflow.sources import tables
 from tests import plain
 
 

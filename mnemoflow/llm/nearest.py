@@ -1,10 +1,13 @@
-"""Problem 5: the most similar vectors of every vector, by multi-probe p-stable hashing.
+"""Problem 5: the most similar vectors of every vector, by multi-probe p-stable hashing on two levels.
 
-A vector of length one is projected on random Gaussian directions, and each projection is cut into cells of a
-fixed width; the cells of ``width_m`` directions make a bucket, and there are ``n_tables`` such tables. Every vector
-is stored in its own bucket of each table. As a query it also visits the buckets that a near vector most likely
-fell into: the cells next to its own, in the order of the success probability that the distances to the cell borders give.
-Candidates of all tables are merged, thinned by a random-hyperplane sketch, and ranked by their exact cosine.
+A vector of length one is projected on random Gaussian directions, and each projection is cut into cells of a fixed width; the cells of
+some directions make a bucket, and there are several such tables. A vector is stored in its own bucket of each table. As a query it also
+visits the buckets that a near vector most likely fell into: those across the nearest borders, in the order of the success probability that the
+distances to the borders give, over all tables at once.
+
+The first level is coarse: vectors are sent to the few buckets that they visit, so what is shuffled is a vector's bytes times a number that
+grows by two whenever its kind becomes twice as large. The second level is within a task: a coarse bucket's stored vectors are hashed again, finely, and its visitors,
+read one batch after the other, are compared with them by matrix products. Nothing but the best of the compared leaves the task, with their exact cosines.
 Exact copies are one class throughout, so that no group of copies is expanded into pairs.
 
 Hashing finds what is alike; most of a vector's ten nearest are not, and for those :func:`top_similar` compares all vectors of a kind, block by block.
@@ -12,7 +15,7 @@ Hashing finds what is alike; most of a vector's ten nearest are not, and for tho
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,25 +24,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
 from mnemoflow.llm.codepoints import mix
 
 
 @dataclass(frozen=True)
 class ProbeParams:
-    """Parameters of the index. More vectors ask for a larger ``width_m``, a higher recall for more tables or probes."""
+    """Parameters of the index; the widths of both levels follow the number of vectors. A higher recall asks for more tables or visits."""
 
     k: int = 10
-    n_tables: int = 6
-    width_m: int = 12
+    resembling: float = 0.49  # without another bound, pairs of a lower cosine are no candidates
     cell: float = 3.5  # in units of the projections' deviation; a third of a projection's range
     offset: float = 0.15  # cell borders are shifted at random by up to this much about the centre
-    probes: int = 10  # buckets visited besides the own one
-    sketch_most: int = 43  # differing bits of 128; at cosine 0.8 26.2 +- 4.6 are expected, between unrelated vectors 64 +- 5.7
-    dense: int = 4096  # vectors from which a bucket is compared in blocks
-    block: int = 16384
+    coarse_tables: int = 2
+    coarse_rows: int = 1 << 18  # vectors that a coarse bucket holds on average, at most about 1.5 times as many
+    spread: int = 1 << 11  # small kinds have as many as eight coarse buckets of at least this size, so that they are spread
+    coarse_visits: int = 6  # over all tables, own buckets included; two for each direction where that is more
+    fine_tables: int = 3
+    fine_rows: int = 256
+    fine_visits: int = 24
+    dense: int = 1 << 19  # stored vectors from which a coarse bucket's visitors are cut into blocks
+    block: int = 1 << 18
     seed: int = 20240501
 
 
@@ -62,57 +67,40 @@ def usable_vectors(fragments: DataFrame) -> DataFrame:
     return rows.select("frag_id", F.struct("embedding_model", F.length("vec").alias("n")).alias("kind"), "vec")
 
 
-@lru_cache(4)
-def _probe_order(m: int, probes: int) -> tuple[tuple[int, ...], ...]:
-    """Sets of moves in the order of their expected cost, a move being a place in the sorted border distances."""
-    expected = np.empty(2 * m)
-    for j in range(1, 2 * m + 1):
-        i = 2 * m + 1 - j
-        expected[j - 1] = j * (j + 1) / (4 * (m + 1) * (m + 2)) if j <= m else 1 - i / (m + 1) + i * (i + 1) / (4 * (m + 1) * (m + 2))
-    found: list[tuple[int, ...]] = []
-    heap = [(expected[0], (0,))]
-    while heap and len(found) < probes:
-        cost, moves = heapq.heappop(heap)
-        last = moves[-1]
-        if last + 1 < 2 * m:
-            heapq.heappush(heap, (cost - expected[last] + expected[last + 1], (*moves[:-1], last + 1)))
-            heapq.heappush(heap, (cost + expected[last + 1], (*moves, last + 1)))
-        if len({min(x, 2 * m - 1 - x) for x in moves}) == len(moves):  # not both borders of one cell
-            found.append(moves)
-    return tuple(found)
-
-
-@lru_cache(16)
-def _directions(dims: int, p: ProbeParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([p.seed, dims])
-    a = rng.standard_normal((dims, p.n_tables * p.width_m)).astype(np.float32)
-    b = rng.uniform(-p.offset, p.offset, p.n_tables * p.width_m).astype(np.float32)
-    s = rng.standard_normal((dims, 128)).astype(np.float32)
-    return a, b, s
-
-
-def _buckets(x: np.ndarray, kind: np.uint64, p: ProbeParams) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (n, tables, 1 + probes), the own bucket first, and the sketches (n, 2)."""
-    a, b, s = _directions(x.shape[1], p)
-    m = p.width_m
-    order = _probe_order(m, p.probes)
-    keys = np.empty((len(x), p.n_tables, 1 + len(order)), np.uint64)
+@lru_cache(64)
+def _directions(dims: int, width: int, tables: int, level: int, p: ProbeParams) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([p.seed, dims, width, level])
+    return rng.standard_normal((dims, tables * width)).astype(np.float32), rng.uniform(-p.offset, p.offset, tables * width).astype(np.float32)
+
+
+def _buckets(x: np.ndarray, salt: np.uint64, width: int, tables: int, visits: int, level: int, p: ProbeParams) -> tuple[np.ndarray, np.ndarray]:
+    """Own buckets (n, tables) and visited ones (n, visits) of vectors of length one, the own among them. No two tables share a bucket."""
+    n = len(x)
     with np.errstate(over="ignore"):
-        for t in range(p.n_tables):
-            place = (x @ a[:, t * m : (t + 1) * m] + b[t * m : (t + 1) * m]) / np.float32(p.cell)
-            cell = np.floor(place)
-            weight = mix(np.arange(1, m + 1, dtype=np.uint64) + np.uint64(t * 1000 + 17)) | np.uint64(1)
-            own = (cell.astype(np.int64).astype(np.uint64) * weight).sum(1, dtype=np.uint64)
-            down = (place - cell).astype(np.float32)
-            sorted_moves = np.argsort(np.concatenate((down, 1 - down), 1), axis=1)
-            change = np.concatenate((np.uint64(0) - weight, weight))
-            step = change[sorted_moves]
-            start = mix(np.array([kind + np.uint64(t)], np.uint64))[0]
-            keys[:, t, 0] = mix(own + start)
-            for i, moves in enumerate(order):
-                keys[:, t, 1 + i] = mix(own + step[:, list(moves)].sum(1, dtype=np.uint64) + start)
-    bits = np.packbits((x @ s) > 0, axis=1, bitorder="little")
-    return keys, np.ascontiguousarray(bits).view(np.uint64).reshape(len(x), 2)
+        start = mix(salt + np.arange(tables, dtype=np.uint64))
+        if not width:
+            own = np.repeat(start[None, :1], n, 0)
+            return own, own
+        a, b = _directions(x.shape[1], width, tables, level, p)
+        place = ((x @ a + b) / np.float32(p.cell)).reshape(n, tables, width)
+        at = np.floor(place)
+        down = place - at
+        weight = mix(np.arange(17, 17 + tables * width, dtype=np.uint64)).reshape(tables, width) | np.uint64(1)
+        own = start + (at.astype(np.int64).astype(np.uint64) * weight).sum(2, dtype=np.uint64)
+        cost = np.minimum(down, 1 - down) ** 2
+        most = min(6, width)  # borders that are crossed at once or alone
+        near = np.argsort(cost, axis=2)[:, :, :most]
+        step = np.take_along_axis(np.where(down < 0.5, np.uint64(0) - weight, weight), near, 2)
+        sets = (np.arange(1 << most)[:, None] >> np.arange(most)) & 1
+        total = (np.take_along_axis(cost, near, 2) @ sets.T.astype(np.float32)).reshape(n, -1)
+        visits = min(visits, total.shape[1])
+        total[:, :: 1 << most] = -1  # the own buckets
+        pick = np.argpartition(total, visits - 1, axis=1)[:, :visits]
+        table, moves = pick >> most, pick & ((1 << most) - 1)
+        visited = np.take_along_axis(own, table, 1)
+        for i in range(most):
+            visited = visited + step[np.arange(n)[:, None], table, i] * sets[moves, i].astype(np.uint64)
+        return mix(own), mix(visited)
 
 
 def _matrix(vec: pa.Array, rows: np.ndarray) -> np.ndarray:
@@ -121,33 +109,31 @@ def _matrix(vec: pa.Array, rows: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hash_batches(batches: Iterator[pa.RecordBatch], p: ProbeParams) -> Iterator[pa.RecordBatch]:
+def _coarse(batch: pa.RecordBatch, p: ProbeParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a batch with their own and visited coarse buckets, a kind and a slice at a time."""
+    kinds, sizes, widths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind_key", "n", "width"))
+    for kind in np.unique(kinds):
+        for dims in np.unique(sizes[kinds == kind]):
+            rows = np.flatnonzero((kinds == kind) & (sizes == dims))
+            width = int(widths[rows[0]])
+            for part in np.array_split(rows, -(-len(rows) // 2048)):
+                yield part, *_buckets(_matrix(batch.column("vec"), part), np.int64(kind).astype(np.uint64), width, p.coarse_tables, max(p.coarse_visits, 2 * width), 0, p)
+
+
+def _homes(batches: Iterator[pa.RecordBatch], p: ProbeParams) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds = batch.column("kind_key").to_numpy(zero_copy_only=False)
-        sizes = batch.column("n").to_numpy(zero_copy_only=False)
-        for kind in np.unique(kinds):
-            for dims in np.unique(sizes[kinds == kind]):
-                rows = np.flatnonzero((kinds == kind) & (sizes == dims))
-                for part in np.array_split(rows, max(1, len(rows) // 2048)):
-                    keys, sketch = _buckets(_matrix(batch.column("vec"), part), np.int64(kind).astype(np.uint64), p)
-                    n, per = len(part), keys.shape[1] * keys.shape[2]
-                    flat = pa.array(keys.reshape(n, per).astype(np.int64).ravel())
-                    offs = pa.array(np.arange(0, n * per + 1, per, dtype=np.int32))
-                    lists = pa.ListArray.from_arrays(offs, flat)
-                    yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(part)), lists, *(pa.array(np.ascontiguousarray(h).view(np.int64)) for h in sketch.T)], ["cid", "keys", "s", "t"])
-
-
-@arrow_udf(T.DoubleType())
-def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Cosine of the int8 values of two binary columns whose rows are equally long."""
-    out = np.zeros(len(a))
-    sizes = np.asarray(a.cast(pa.binary()).value_lengths()) if hasattr(a, "value_lengths") else np.array([len(v.as_py()) for v in a])
-    for dims in np.unique(sizes):
-        rows = np.flatnonzero(sizes == dims)
-        pick = pa.array(rows)
-        x, y = (np.frombuffer(b"".join(c.take(pick).to_pylist()), np.int8).reshape(len(rows), dims).astype(np.int64) for c in (a, b))
-        out[rows] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1).astype(float))
-    return pa.array(out)
+        for _, own, _ in _coarse(batch, p):
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64).ravel())], ["bucket"])
+
+
+def _visits(batches: Iterator[pa.RecordBatch], p: ProbeParams) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, own, visited in _coarse(batch, p):
+            row, at = np.nonzero(np.ones(visited.shape, bool))
+            home = (visited[:, :, None] == own[:, None, :]).any(2)[row, at]
+            pick = pa.array(part[row])
+            columns = [pa.array(visited[row, at].view(np.int64)), pa.array(home), batch.column("cid").take(pick), batch.column("vec").take(pick)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "home", "cid", "vec"])
 
 
 def _best(score: np.ndarray, k: int) -> np.ndarray:
@@ -161,7 +147,7 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
 
 
 def _dense_group(table: pa.Table, k: int, most: int) -> pa.Table:
-    """Of one block the pairs that resemble in their sketches and are among the visitor's or the stored vector's best k, by exact cosine: a < b."""
+    """Not part of the queries any more, kept for its test. Of one block the pairs that resemble in their sketches and are among the visitor's or the stored vector's best k, by exact cosine: a < b."""
     side, ids = table.column("side").to_numpy(), table.column("cid").to_numpy()
     vec = table.column("vec").combine_chunks()
     sketch = np.stack([table.column(c).to_numpy() for c in ("s", "t")], 1).view(np.uint64)
@@ -187,36 +173,179 @@ def _dense_group(table: pa.Table, k: int, most: int) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def candidate_pairs(classes: DataFrame, p: ProbeParams = ProbeParams()) -> DataFrame:
-    """Distinct pairs a < b of classes (cid, kind_key, n, vec) that share a visited bucket and resemble in their sketches.
+class _Lists:
+    """The best k of each row: other ids by exact cosine, equal ones by id, each once."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.held, self.parts = k, 0, []
+
+    def add(self, row: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> None:
+        self.parts.append((row, other, cosine))
+        self.held += len(row)
+        if self.held > 1 << 20:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        row, other, cosine = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((other, -cosine, row))
+        row, other, cosine = row[order], other[order], cosine[order]
+        once = np.ones(len(row), bool)
+        once[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
+        row, other, cosine = row[once], other[once], cosine[once]
+        top = np.arange(len(row)) - np.searchsorted(row, row, "left") < self.k
+        self.parts = [(row[top], other[top], cosine[top])]
+        self.held = 0
+        return self.parts[0]
+
+
+def _hits(score: np.ndarray, floor: np.float32, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of at least the floor; where they are many, of those only such as may be among the k best of their row or column, equal ones all."""
+    keep = score >= floor
+    if np.count_nonzero(keep) > 4 * k * sum(score.shape):
+        row, column = (np.partition(score, -min(k, score.shape[i]), axis=i).take(-min(k, score.shape[i]), axis=i) for i in (1, 0))
+        keep &= (score >= row[:, None] - np.float32(2e-5)) | (score >= column[None, :] - np.float32(2e-5))
+    return np.divmod(np.flatnonzero(keep), score.shape[1])  # faster than nonzero of a matrix
+
+
+class _Bucket:
+    """A coarse bucket: its stored vectors, finely hashed, and the lists of pairs found so far."""
+
+    def __init__(self, ids: np.ndarray, ints: np.ndarray, p: ProbeParams, least: float) -> None:
+        self.p, self.ids, self.ints, self.least = p, ids, ints, least
+        self.x, self.square = _unit(ints), np.einsum("ij,ij->i", ints, ints, dtype=np.int64)
+        few = len(ids) <= p.fine_rows * p.fine_visits  # as many would be compared anyway
+        self.width = 0 if few else max(1, round(math.log2(len(ids) / p.fine_rows)))
+        own = np.concatenate([self.fine(self.x[a : a + 2048])[0] for a in range(0, len(ids), 2048)])
+        order = np.argsort(own, axis=None, kind="stable")
+        self.rows = order // own.shape[1]
+        self.keys, start = np.unique(own.ravel()[order], return_index=True)
+        self.starts = np.append(start, len(order))
+        self.lists = _Lists(p.k)
+
+    def fine(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _buckets(x, np.uint64(0), self.width, self.p.fine_tables, self.p.fine_visits, 1, self.p)
+
+    def pairs(self, ints: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Asked rows, stored rows, cosines; a pair may come more than once."""
+        x, square = _unit(ints), np.einsum("ij,ij->i", ints, ints, dtype=np.int64)
+        visited = np.concatenate([self.fine(x[a : a + 2048])[1] for a in range(0, len(x), 2048)])
+        at = np.minimum(np.searchsorted(self.keys, visited), len(self.keys) - 1)
+        asked, _ = there = np.nonzero(self.keys[at] == visited)
+        at = at[there]
+        order = np.argsort(at, kind="stable")
+        at, asked = at[order], asked[order]
+        found, starts = [], np.flatnonzero(np.diff(at, prepend=-1))
+        floor = np.float32(self.least - 2e-5)
+        for a, b in zip(starts, np.append(starts[1:], len(at))):
+            stored = self.rows[self.starts[at[a]] : self.starts[at[a] + 1]]
+            for q in np.array_split(asked[a:b], -(-(b - a) // 1024)):
+                for s in np.array_split(stored, -(-len(stored) // 8192)):
+                    r, c = _hits(x[q] @ self.x[s].T, floor, self.p.k + 1)  # itself is among them
+                    found.append(q[r] * len(self.ids) + s[c])
+                    if sum(map(len, found[-64:])) > 1 << 20:
+                        yield from self.exact(found, ints, square, ids)
+                        found = []
+        if found:
+            yield from self.exact(found, ints, square, ids)
+
+    def exact(self, found: list[np.ndarray], ints: np.ndarray, square: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        codes = np.unique(np.concatenate(found))
+        for a in range(0, len(codes), 1 << 15):
+            q, s = np.divmod(codes[a : a + (1 << 15)], len(self.ids))
+            other = ids[q] != self.ids[s]
+            q, s = q[other], s[other]
+            cosine = np.einsum("ij,ij->i", ints[q], self.ints[s], dtype=np.int64) / np.sqrt(square[q] * self.square[s].astype(float))
+            near = cosine >= self.least
+            yield q[near], s[near], cosine[near]
+
+    def ask_stored(self, rows: np.ndarray) -> None:
+        for part in np.array_split(rows, -(-len(rows) // 16384)) if len(rows) else []:
+            for q, s, cosine in self.pairs(self.ints[part], self.ids[part]):
+                self.lists.add(part[q], self.ids[s], cosine)
+                self.lists.add(s, self.ids[part[q]], cosine)
+
+    def ask(self, ids: np.ndarray, ints: np.ndarray) -> pa.RecordBatch:
+        lists = _Lists(self.p.k)
+        for q, s, cosine in self.pairs(ints, ids):
+            lists.add(q, self.ids[s], cosine)
+            self.lists.add(s, ids[q], cosine)
+        row, other, cosine = lists.best()
+        return _near_batch(ids[row], other, cosine)
+
+    def of_stored(self) -> pa.RecordBatch:
+        row, other, cosine = self.lists.best()
+        return _near_batch(self.ids[row], other, cosine)
+
+
+def _near_batch(cid: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(other, pa.int64()), pa.array(cosine, pa.float64())], ["cid", "other", "cosine"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], p: ProbeParams, least: float) -> Iterator[pa.RecordBatch]:
+    """The best k of a bucket's stored vectors for each visitor, and the reverse. Rows come by bucket and block, first the stored (side 0, those that ask 1), then the others (2)."""
+    current: tuple[int, int] | None = None
+    bucket: _Bucket | None = None
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # side, id, vector
+
+    def work(end: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal bucket, held
+        if not held and bucket is None:
+            return
+        if held:
+            side, ids, ints = (np.concatenate(x) for x in zip(*held))
+            held = []
+            if bucket is None and (side < 2).any():
+                stored = side < 2
+                bucket = _Bucket(ids[stored], ints[stored], p, least)
+                bucket.ask_stored(np.flatnonzero(side[stored] == 1))
+                side, ids, ints = side[~stored], ids[~stored], ints[~stored]
+            if bucket is not None and len(ids):
+                yield bucket.ask(ids, ints)
+        if end and bucket is not None:
+            yield bucket.of_stored()
+            bucket = None
 
-    Buckets of more than ``dense`` vectors aren't joined: their members and visitors are compared in blocks of vectors. Of a block, only those of the pairs are returned
-    that may be among the k best of one of their vectors, so that a bucket that holds a large part of all vectors stays spread, and the nearest k of
-    any vector are the same either way.
+    for batch in batches:
+        key, block, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "block", "side", "cid"))
+        vec = batch.column("vec")
+        edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0) | ((np.diff(side) > 0) & (side[1:] == 2))) + 1
+        for a, b in zip(np.append(0, edges), np.append(edges, len(key))):
+            if a == b:
+                continue
+            if current != (key[a], block[a]):
+                yield from work(True)
+                current = (key[a], block[a])
+            elif held and side[a] == 2 and (bucket is None or sum(len(x) for x, *_ in held) >= 16384):
+                yield from work(False)
+            held.append((side[a:b], ids[a:b], np.frombuffer(b"".join(vec.slice(a, b - a).to_pylist()), np.int8).reshape(b - a, -1)))
+    yield from work(True)
+
+
+def near_classes(classes: DataFrame, p: ProbeParams = ProbeParams(), least: float | None = None) -> DataFrame:
+    """Of classes (cid, kind_key, n, vec) the k nearest of those that share a visited bucket: cid, other, cosine.
+
+    Coarse buckets of more than ``dense`` vectors get their visitors in blocks, each in a task of its own with all the stored, so the lists are the same either way.
     """
-    hashed = classes.select("cid", "kind_key", "n", "vec").mapInArrow(lambda it: _hash_batches(it, p), "cid long, keys array<long>, s long, t long")
-    visits = hashed.select("cid", "s", "t", F.posexplode("keys").alias("at", "bucket"))
-    home = visits.where(F.col("at") % (1 + p.probes) == 0)
-    stored = home.select("bucket", F.col("cid").alias("b"), F.col("s").alias("s_b"), F.col("t").alias("t_b"))
-    asked = visits.select("bucket", F.col("cid").alias("a"), "s", "t")
-    sizes = home.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > p.dense)
-    crowded = not sizes.isEmpty()
-    light = (asked.join(sizes, "bucket", "left_anti") if crowded else asked).join(stored.hint("shuffle_hash"), "bucket")
-    differ = F.bit_count(F.col("s").bitwiseXOR(F.col("s_b"))) + F.bit_count(F.col("t").bitwiseXOR(F.col("t_b")))
-    light = light.where((F.col("a") != F.col("b")) & (differ <= p.sketch_most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if not crowded:
-        return light.distinct()
-
-    blocks = sizes.select("bucket", F.ceil(F.col("size") / p.block).alias("nb"))
-    vectors = classes.select("cid", "vec")
-    every = F.explode(F.expr("sequence(0L, nb - 1L)"))
-    stored = home.join(blocks, "bucket").select("bucket", "cid", "s", "t", "nb").withColumn("xb", F.pmod(F.xxhash64("cid"), F.col("nb")))
-    stored = stored.withColumn("qb", every).select("bucket", "xb", "qb", "cid", "s", "t", F.lit(0).alias("side"))
-    guests = visits.join(blocks, "bucket").select("bucket", "cid", "s", "t", "nb").withColumn("qb", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("nb")))
-    guests = guests.withColumn("xb", every).select("bucket", "xb", "qb", "cid", "s", "t", F.lit(1).alias("side"))
-    k, most = p.k, p.sketch_most
-    heavy = stored.unionByName(guests).join(vectors, "cid").groupBy("bucket", "xb", "qb").applyInArrow(lambda t: _dense_group(t, k, most), "a long, b long")
-    return light.unionByName(heavy).distinct()
+    least = p.resembling if least is None else least
+    # vec is looked at so that the shuffles of the classes are of the same columns, and made once
+    kinds = classes.groupBy("kind_key", "n").agg(F.count("*").alias("size"), F.max(F.length("vec")).alias("_n")).where("_n > 0")
+    few = F.least(F.lit(3.0), F.floor(F.log2(F.col("size") / p.spread)))
+    width = F.greatest(F.lit(0.0), few, F.round(F.log2(F.col("size") / p.coarse_rows))).cast("int")
+    sized = classes.join(F.broadcast(kinds.select("kind_key", "n", width.alias("width"))), ["kind_key", "n"]).select("cid", "kind_key", "n", "vec", "width")
+    homes = sized.mapInArrow(lambda it: _homes(it, p), "bucket long")
+    crowded = homes.groupBy("bucket").count().where(F.col("count") > p.dense).select("bucket", F.ceil(F.col("count") / p.block).cast("int").alias("blocks"))
+    rows = sized.mapInArrow(lambda it: _visits(it, p), "bucket long, home boolean, cid long, vec binary").join(F.broadcast(crowded), "bucket", "left")
+    own = F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))).cast("int")
+    blocks = F.when(F.col("home"), F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array(own))
+    rows = rows.select("bucket", F.explode(blocks).alias("block"), own.alias("_own"), "home", "cid", "vec")
+    rows = rows.withColumn("side", F.when(~F.col("home"), 2).when(F.col("block") == F.col("_own"), 1).otherwise(0)).drop("_own", "home")
+    met = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side")
+    found = met.mapInArrow(lambda it: _compare(it, p, least), "cid long, other long, cosine double")
+    best = Window.partitionBy("cid").orderBy(F.col("cosine").desc(), "other")
+    once = found.repartition("cid").dropDuplicates(["cid", "other", "cosine"])
+    return once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= p.k).drop("_r")
 
 
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,20 +427,10 @@ def exact_near(classes: DataFrame, k: int = 10, block_bytes: int = 8 << 20, leas
 def similar_classes(vectors: DataFrame, p: ProbeParams = ProbeParams(), least: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, near): frag_id, cid of every vector, and per class its nearest other classes (cid, other, cosine), at most k.
 
-    With ``least``, only those of at least that cosine.
+    With ``least``, only those of at least that cosine, else of ``resembling``.
     """
     members, classes = vector_classes(vectors)
-    pairs = candidate_pairs(classes, p)
-    left = classes.select(F.col("cid").alias("a"), F.col("vec").alias("vec_a"))
-    right = classes.select(F.col("cid").alias("b"), F.col("vec").alias("vec_b"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", _cosine("vec_a", "vec_b").alias("cosine"))
-    if least is not None:
-        scored = scored.where(F.col("cosine") >= least)
-    both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("other")), F.struct(F.col("b").alias("cid"), F.col("a").alias("other")))).alias("_p"), "cosine")
-    both = both.select("_p.*", "cosine")
-    best = Window.partitionBy("cid").orderBy(F.col("cosine").desc(), "other")
-    near = both.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= p.k).drop("_r")
-    return members, near
+    return members, near_classes(classes, p, least)
 
 
 def most_similar(vectors: DataFrame, p: ProbeParams = ProbeParams(), least: float | None = None) -> DataFrame:

@@ -90,6 +90,44 @@ def test_a_crowded_bucket_serves_both_sides():
     assert nearest._dense_group(far, 3, 43).num_rows == 0
 
 
+def test_what_is_shuffled_stays_in_proportion(spark):
+    # a topic: its vectors resemble one another in pairs without end, few are alike
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((1, 64)) + 1.6 * rng.standard_normal((3000, 64)), 2, 0) + 0.3 * rng.standard_normal((6000, 64))
+    x = np.clip(np.round(30 * x), -127, 127).astype(np.int8)
+    ids, p = np.arange(len(x)), nearest.ProbeParams(fine_rows=64, fine_visits=16)
+    # a coarse bucket returns at most the best k of each row, whatever was compared
+    bucket = nearest._Bucket(ids, x, p, 0.0)
+    bucket.ask_stored(ids)
+    row, other, cosine = bucket.lists.best()
+    assert bucket.width > 4 and len(row) <= p.k * len(x) and (row != other).all()
+    # and its visitors find their like by the fine buckets
+    bucket = nearest._Bucket(ids[::2], x[::2], p, 0.8)
+    found = bucket.ask(ids[1::2], x[1::2])
+    got = set(zip(found["cid"].to_pylist(), found["other"].to_pylist()))
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(int(2 * i + 1), int(2 * j)) for i, j in zip(*np.nonzero(unit[1::2] @ unit[::2].T >= 0.8))}
+    assert len(want) >= 3000 and got <= want and len(got) >= 0.9 * len(want)
+    # visits of the first level grow by two when the number of vectors doubles
+    for width in (3, 6):
+        own, visited = nearest._buckets(nearest._unit(x), np.uint64(3), width, p.coarse_tables, max(p.coarse_visits, 2 * width), 0, p)
+        assert visited.shape[1] == 2 * width and all(set(o) <= set(v) and len(set(v)) == len(v) for o, v in zip(own.tolist(), visited.tolist()))
+
+
+def test_rows_of_buckets_come_in_any_batches():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-100, 100, (40, 16)).astype(np.int8)
+    x[20:] = x[:20]
+    x[20:, 0] += 1
+    rows = [(b, 0, s, i, x[i].tobytes()) for b, s, i in [(1, 1, i) for i in range(20)] + [(1, 2, i) for i in range(20, 40)] + [(2, 2, i) for i in range(5)] + [(3, 0, 1), (3, 1, 21), (3, 2, 1)]]
+    names = ["bucket", "block", "side", "cid", "vec"]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+    near = lambda batches: {(c, o) for b in nearest._compare(iter(batches), nearest.ProbeParams(), 0.9) for c, o in zip(b["cid"].to_pylist(), b["other"].to_pylist())}
+    want = {(i, i + 20) for i in range(20)} | {(i + 20, i) for i in range(20)}
+    assert want <= near([whole])
+    assert near([whole]) == near([whole.slice(i, 3) for i in range(0, len(rows), 3)]) == near([whole.slice(i, 1) for i in range(len(rows))])
+
+
 def test_copies_ties_and_unusable_records(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(-100, 100, 64), rng.integers(-100, 100, 64)

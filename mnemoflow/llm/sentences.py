@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from mnemoflow.llm.codepoints import mix, segment_hash, slices, to_codepoints
+from mnemoflow.llm.codepoints import mix, slices, to_codepoints
 from mnemoflow.llm.fold import tables
 
 
@@ -48,11 +48,15 @@ class SentenceParams:
 
 
 # character classes
-BLANK, LINE, WORD, UPPER, WIDE, THAI, DIGIT, FINAL, CLOSE, OPEN, EITHER, DASH, OTHER, LOW9 = range(14)
+BLANK, LINE, WORD, UPPER, WIDE, THAI, DIGIT, FINAL, CLOSE, OPEN, EITHER, DASH, OTHER, LOW9, UNSEEN = range(15)
+# kinds of quotation marks, in the upper half of the byte that holds the class; * opens and closes, but isn't a quotation mark
+Q_OPEN, Q_CLOSE, Q_LOW, Q_HIGH, Q_DOUBLE, Q_STAR = range(1, 7)
 DOT, ELLIPSIS, EXCLAIM, QUESTION, IDEOGRAPHIC, DANDA = range(1, 7)
 # shapes of what follows a place
 S_LOWER, S_UPPER, S_DIGIT, S_OPEN, S_DASH_LOWER, S_DASH, S_WIDE, S_REPEAT, S_OTHER, S_CASELESS = range(10)
 N_SHAPE = 10
+#: Of segment_hash.
+HASH_SEED, HASH_PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Log odds that the first pass starts from, by shape.
 FIRST_SHAPE = np.array([-3.0, 0.7, -0.5, 0.7, -9.0, 0.7, 0.0, -9.0, 0.0, 0.0])
 #: Shapes that go on with what stands before, whatever the word: a remark after a dash, a word that is said again.
@@ -63,7 +67,7 @@ N_GAP = 5
 
 @lru_cache(1)
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class, form in lower case, kind of final mark, visible) of every code point."""
+    """(class with the kind of quotation mark, form in lower case, kind of final mark, hash as a letter) of every code point."""
     t = tables()
     n = len(t.single)
     base = np.where(t.length == 1, t.single, np.arange(n)).astype(np.uint32)
@@ -93,24 +97,33 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     cls[[0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029]] = LINE
     visible = t.length > 0
     visible[0x0A] = visible[0x0D] = True
-    return cls, lower, final, visible
+    for chars, kind in (("«「『", Q_OPEN), ("»」』”", Q_CLOSE), ("„", Q_LOW), ("“", Q_HIGH), ('"', Q_DOUBLE), ("*", Q_STAR)):
+        cls[np.isin(lower, [ord(c) for c in chars])] += kind << 4
+    cls[~visible] = UNSEEN
+    return cls, lower, final, mix(lower.astype(np.uint64) + HASH_SEED)
 
 
 @dataclass
 class Bare:
-    """Places between words without a mark: index before, line, slots of the word before, the word after and the pair, words up to there."""
+    """Places between words without a mark, in no order: index before, line, hashes and slots of the word before and the word after, words up to there."""
 
     at: np.ndarray
     line: np.ndarray
+    last_hash: np.ndarray
+    first_hash: np.ndarray
     last: np.ndarray
     first: np.ndarray
-    pair: np.ndarray
     words: np.ndarray
     ended: np.ndarray  # slots of the words before marked places, -1 for none
     begun: np.ndarray  # slots of the words after them
     line_ended: np.ndarray  # the same of lines that end on a mark
     line_begun: np.ndarray
 
+    def pair(self, which: np.ndarray, p: SentenceParams) -> np.ndarray:
+        """Slots of the pairs of words at some of the places."""
+        with np.errstate(over="ignore"):
+            return _slot(mix(self.last_hash[which] * np.uint64(31) + self.first_hash[which]), p.pair_slots)
+
 
 @dataclass
 class Places:
@@ -135,140 +148,200 @@ class Places:
     bare: Bare | None
 
 
-def _running(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Running sum that begins anew at every start."""
-    total = np.cumsum(values)
-    before = np.where(start, total - values, 0)
-    return total - np.maximum.accumulate(before)
+def _slot(value: np.ndarray, slots: int) -> np.ndarray:
+    """Place of a hash in a table."""
+    return (value & np.uint64(slots - 1) if slots & (slots - 1) == 0 else value % np.uint64(slots)).astype(np.int64)
+
+
+def _group_start(group: np.ndarray) -> np.ndarray:
+    """For each element of a sorted array the index of the first one equal to it."""
+    begins = np.ones(len(group), bool)
+    begins[1:] = group[1:] != group[:-1]
+    return np.maximum.accumulate(np.where(begins, np.arange(len(group)), 0))
+
+
+def _run_start(at: np.ndarray) -> np.ndarray:
+    """For each of ascending indices the first of the run of successive ones that it is in."""
+    return at[_group_start(at - np.arange(len(at)))]
+
+
+def _inside_quotes(event: np.ndarray, step: np.ndarray, line: np.ndarray, crowded: np.ndarray, line_end: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n code points is within quotation marks, from those that open (step 1) or close (-1). Marks that close what isn't open
+    don't count, but for one that begins a line and has the next one beside it (crowded)."""
+    begin = _group_start(line)
+    total = np.cumsum(step)
+    depth = total - (total - step)[begin]
+    lowest = np.minimum.accumulate(np.where(crowded, 0, depth) - line * 1_000_000) + line * 1_000_000
+    within = depth - np.minimum(lowest, 0) > 0
+    until = line_end[line]
+    until[:-1] = np.where(line[1:] == line[:-1], event[1:], until[:-1])
+    change = np.zeros(n + 1, np.int8)
+    change[event[within]] += 1
+    change[until[within]] -= 1
+    return np.cumsum(change, dtype=np.int8).view(bool)
 
 
 def places(flat: np.ndarray, starts: np.ndarray, p: SentenceParams, bare: bool = True) -> Places:
-    """The places of all texts; with ``bare`` those between words without a mark, too."""
-    all_cls, all_lower, all_final, all_visible = _classes()
-    keep = np.flatnonzero(all_visible[flat])
-    cp = flat[keep]
-    n = len(cp)
-    row = np.searchsorted(starts, keep, "right") - 1
-    cls, low, final = all_cls[cp], all_lower[cp], all_final[cp]
+    """The places of all texts; with ``bare`` those between words without a mark, too.
+
+    Positions are indices into the visible, non-blank code points of all texts, so that the neighbours of i in its line are i - 1 and i + 1.
+    What is rare (marks, quotations, line ends) is looked at where it stands.
+    """
+    all_cls, all_lower, all_final, all_hash = _classes()
     empty = np.zeros(0, np.int64)
-    nothing = Places(*([empty] * 14), np.zeros((0, 2), np.int64), np.zeros(0, bool), Bare(*([empty] * 10)) if bare else None)
-    if not n:
-        return nothing
-    row_start = np.ones(n, bool)
-    row_start[1:] = row[1:] != row[:-1]
-    is_line = cls == LINE
-    line_start = row_start.copy()
-    line_start[1:] |= is_line[:-1]
-    line = np.cumsum(line_start) - 1
-    index = np.arange(n)
-
-    # German quotations open low and close with what opens others
-    low_open = low == ord("„")
-    has_low = np.zeros(line[-1] + 1, bool)
-    has_low[line[low_open]] = True
-    german = has_low[line]
-    cls = np.where(cls == LOW9, np.where(german, CLOSE, OPEN), cls)
-    # marks that open and close alike
-    for mark in (ord('"'), ord("*")):
-        mine = low == mark
-        if mine.any():
-            count = _running(mine.astype(np.int64), line_start)
-            cls = np.where(mine, np.where(count % 2 == 1, OPEN, CLOSE), cls)
-    quote_open = np.isin(low, [ord(c) for c in "«「『„"]) | ((low == ord("“")) & ~german) | ((low == ord('"')) & (cls == OPEN))
-    quote_close = np.isin(low, [ord(c) for c in "»」』”"]) | ((low == ord("“")) & german) | ((low == ord('"')) & (cls == CLOSE))
-    depth = _running(quote_open.astype(np.int64) - quote_close, line_start)
-    lowest = np.minimum.accumulate(np.where(line_start, 0, depth) - line * 1_000_000) + line * 1_000_000  # closing marks without opening ones
-    inside = depth - np.minimum(lowest, 0) > 0
-
-    solid = (cls != BLANK) & ~is_line
-    spot = np.flatnonzero(solid)
-    if not len(spot):
+    nothing = Places(*([empty] * 14), np.zeros((0, 2), np.int64), np.zeros(0, bool), Bare(empty, empty, *([empty.astype(np.uint64)] * 2), *([empty] * 7)) if bare else None)
+    packed = all_cls[flat]
+    keep = None
+    if (packed == UNSEEN).any():
+        keep = np.flatnonzero(packed != UNSEEN)
+        flat, packed, starts = flat[keep], packed[keep], np.searchsorted(keep, starts)
+    n = len(flat)
+    spot = np.flatnonzero(packed > LINE)
+    m = len(spot)
+    if not m:
         return nothing
-    # neighbours among the non-blank code points
-    order = np.cumsum(solid) - 1
-    before = np.full(n, -1)
-    before[spot[1:]] = spot[:-1]
-    before[spot] = np.where((before[spot] >= 0) & (line[np.maximum(before[spot], 0)] == line[spot]), before[spot], -1)
-    after = np.full(n, -1)
-    after[spot[:-1]] = spot[1:]
-    after[spot] = np.where((after[spot] >= 0) & (line[np.maximum(after[spot], 0)] == line[spot]), after[spot], -1)
+    # lines: where they begin, and in which text
+    rows = np.flatnonzero(starts[1:] > starts[:-1])
+    row_begin = starts[rows]
+    breaks = np.flatnonzero(packed == LINE) + 1
+    line_begin = np.union1d(row_begin, breaks[breaks < n])
+    lines = len(line_begin)
+    line_row = rows[np.searchsorted(row_begin, line_begin, "right") - 1]
+    line_bound = np.searchsorted(spot, np.append(line_begin, n))
+    line = np.repeat(np.arange(lines), np.diff(line_bound))
+    some = np.flatnonzero(line_bound[1:] > line_bound[:-1])  # lines that aren't blank
+    firsts, lasts = line_bound[some], line_bound[some + 1] - 1
+    head = np.zeros(m + 1, bool)  # first of its line
+    head[firsts] = head[m] = True
+    apart = np.ones(m + 1, bool)  # not next to the one before
+    apart[1:-1] = spot[1:] - spot[:-1] > 1
+    fresh = head | apart
+
+    cp, packed = flat[spot], packed[spot]
+    cls = packed & 15
+
+    def before(at: np.ndarray) -> np.ndarray:
+        return np.where((at >= 0) & ~head[at], at - 1, -1)
+
+    def low(at: np.ndarray) -> np.ndarray:
+        return all_lower[cp[at]]
+
+    def final(at: np.ndarray) -> np.ndarray:
+        return all_final[cp[at]]
+
+    # marks that open and close alike; German quotations open low and close with what opens others
+    inside = np.zeros(m + 1, bool)
+    quote = np.flatnonzero(packed > 15)
+    if len(quote):
+        kind, quote_line = packed[quote] >> 4, line[quote]
+        has_low = np.zeros(lines, bool)
+        has_low[quote_line[kind == Q_LOW]] = True
+        opens = np.where(kind == Q_HIGH, ~has_low[quote_line], (kind == Q_OPEN) | (kind == Q_LOW))
+        for alike in (Q_DOUBLE, Q_STAR):
+            mine = np.flatnonzero(kind == alike)
+            opens[mine] = (np.arange(len(mine)) - _group_start(quote_line[mine])) % 2 == 0
+        turned = (kind == Q_HIGH) | (kind == Q_DOUBLE) | (kind == Q_STAR)
+        cls[quote[turned]] = np.where(opens[turned], OPEN, CLOSE)
+        spoken = kind != Q_STAR
+        quote, quote_line, opens = quote[spoken], quote_line[spoken], opens[spoken]
+        if len(quote):
+            crowded = np.zeros(len(quote), bool)
+            crowded[:-1] = (spot[quote[:-1]] == line_begin[quote_line[:-1]]) & (spot[quote[1:]] == spot[quote[:-1]] + 1) & (quote_line[1:] == quote_line[:-1])
+            inside = _inside_quotes(quote, np.where(opens, 1, -1), quote_line, crowded, line_bound[1:], m)
 
     # the final mark that a final or closing mark belongs to
-    mark = np.where(cls == FINAL, index, -1)
-    closing = spot[cls[spot] == CLOSE]
+    finals = np.flatnonzero(cls == FINAL)
+    mark = np.full(m + 1, -1)
+    mark[finals] = finals
+    closing = np.flatnonzero(cls == CLOSE)
     for _ in range(4):
-        prev = before[closing]
-        mark[closing] = np.where(prev >= 0, mark[np.maximum(prev, 0)], -1)
-    ended = spot[mark[spot] >= 0]
-    nxt = after[ended]
-    more = (nxt >= 0) & (mark[np.maximum(nxt, 0)] >= 0)
-    ended, nxt = ended[~more], nxt[~more]
-    # words: runs of letters; where they begin and a hash of each
-    letter = (cls == WORD) | (cls == UPPER)
-    edge = np.ones(n + 1, bool)
-    edge[1:-1] = (letter[1:] != letter[:-1]) | line_start[1:]
-    cut = np.flatnonzero(edge)
-    begin, end = cut[:-1], cut[1:]
-    mine = letter[begin]
-    begin, end = begin[mine], end[mine]
-    hashes = segment_hash(low, begin, end)
-    word_of = np.full(n, -1)
-    word_of[letter] = np.repeat(np.arange(len(begin)), end - begin)
-    is_start = np.zeros(n, np.int64)
-    is_start[begin] = 2
-    is_start[(cls == WIDE) | (cls == THAI)] = 1  # two letters of such a script count as a word
-    is_start[(cls == DIGIT) & (np.concatenate(([OTHER], cls[:-1])) != DIGIT)] = 2
-    words_to = np.cumsum(is_start)
+        mark[closing] = np.where(head[closing], -1, mark[closing - 1])
+    ended = np.sort(np.concatenate((finals, closing[mark[closing] >= 0])), kind="stable")
+    nxt = np.where(head[ended + 1], -1, ended + 1)
+    alone = mark[nxt] < 0
+    ended, nxt = ended[alone], nxt[alone]
+    # what stands before a run of marks, and before a run of digits and marks
+    before_marks = _run_start(finals) - 1
+
+    def before_run(at: np.ndarray, run: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        out = ahead[np.searchsorted(run, at)] if len(at) else at
+        return np.where((out >= 0) & (line[out] == line[at]), out, -1)
+
+    # words: runs of letters; where they begin and a hash of each (segment_hash, by tables)
+    letter = np.zeros(m + 1, bool)
+    letter[:-1] = (cls == WORD) | (cls == UPPER)
+    turn = fresh.copy()
+    turn[1:] |= letter[1:] != letter[:-1]
+    starts_word = letter & turn
+    begin = np.flatnonzero(starts_word)
+    end = np.flatnonzero(letter[:-1] & turn[1:]) + 1
+    size = end - begin
+    hashes = np.zeros(0, np.uint64)
+    if len(begin):
+        out = np.cumsum(size) - size
+        with np.errstate(over="ignore"):
+            place = mix(np.arange(int(size.max()), dtype=np.uint64) * HASH_PLACE + np.uint64(1)) | np.uint64(1)
+            value = all_hash[cp[letter[:-1]]]
+            value *= place[np.arange(len(value)) - np.repeat(out, size)]
+            hashes = mix(np.add.reduceat(value, out) + size.astype(np.uint64))
+    # two letters of a script without blanks count as a word
+    wide = cls == WIDE
+    thai = cls == THAI
+    digit = cls == DIGIT
+    half = (wide | thai).view(np.int8) + 2 * starts_word[:-1].view(np.int8)
+    digits = np.flatnonzero(digit)
+    new = fresh[digits] | (cls[digits - 1] != DIGIT)
+    half[digits[new]] = 2
+    words_to = np.cumsum(half, dtype=np.int64)
+
+    def word_of(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(begin, at, "right") - 1
+
+    def beside(at: np.ndarray, step: int, kind: int) -> np.ndarray:
+        """Whether the next code point in the direction of the step touches this one and is of a kind."""
+        other = np.clip(at + step, 0, m - 1)
+        return ~fresh[at + (step > 0)] & (cls[other] == kind)
 
     def token(at: np.ndarray, step: int) -> np.ndarray:
         """Hash of the word at a place; of two letters of a script without blanks, the second in the direction of the step."""
-        ok = at >= 0
         here = np.maximum(at, 0)
-        out = mix(low[here].astype(np.uint64) + np.uint64(11))
-        w = word_of[here]
-        out = np.where(w >= 0, hashes[np.maximum(w, 0)] if len(hashes) else out, out)
-        other = np.clip(here + step, 0, n - 1)
-        pair = (cls[here] == WIDE) & (cls[other] == WIDE) & (line[other] == line[here])
+        form = low(here).astype(np.uint64)
+        out = mix(form + np.uint64(11))
+        mine = letter[here]
+        out[mine] = hashes[word_of(here[mine])]
+        mine = wide[here] & beside(here, step, WIDE)
         with np.errstate(over="ignore"):
-            out = np.where(pair, mix(low[here].astype(np.uint64) * np.uint64(1_000_003) + low[other]), out)
-        out = np.where(cls[here] == DIGIT, np.uint64(7), out)
-        return np.where(ok, out, np.uint64(1))
+            out[mine] = mix(form[mine] * np.uint64(1_000_003) + low(here[mine] + step))
+        out[digit[here]] = 7
+        out[at < 0] = 1
+        return out
 
     def ngram(at: np.ndarray) -> np.ndarray:
         """Slot of the word, mark and closing mark that end at a place."""
         fin = mark[at]
-        have = fin >= 0
-        fin = np.maximum(fin, 0)
-        dots = (final[fin] == DOT) & (final[np.maximum(before[fin], 0)] == DOT) & (before[fin] >= 0)
-        kind = np.where(dots, ELLIPSIS, final[fin]).astype(np.uint64)
-        # the run of marks begins after the last other code point
-        other = np.where(solid & (cls != FINAL), index, -1)
-        last_other = np.maximum.accumulate(other)
-        a = last_other[fin]
-        a = np.where((a >= 0) & (line[np.maximum(a, 0)] == line[fin]), a, -1)
-        closer = np.where(at > fin, low[at].astype(np.uint64), np.uint64(0))
-        here = np.maximum(a, 0)
+        prev = before(fin)
+        kind = np.where((final(fin) == DOT) & (final(prev) == DOT) & (prev >= 0), ELLIPSIS, final(fin)).astype(np.uint64)
+        a = before_run(fin, finals, before_marks)
+        closer = np.where(at > fin, low(at).astype(np.uint64), np.uint64(0))
         tok = token(a, -1)
         # a number says little: the word before it joins in
-        digit = (a >= 0) & (cls[here] == DIGIT)
-        non_digit = np.maximum.accumulate(np.where(solid & (cls != DIGIT) & (cls != FINAL), index, -1))
-        b = non_digit[here]
-        b = np.where((b >= 0) & (line[np.maximum(b, 0)] == line[here]), b, -1)
+        number = np.flatnonzero((a >= 0) & digit[a])
         with np.errstate(over="ignore"):
-            tok = np.where(digit, token(b, -1) * np.uint64(31) + np.uint64(5), tok)
-            script = np.where(cls[here] == WIDE, 2, np.where(low[here] < 0x250, 0, 1)).astype(np.uint64)
+            if len(number):
+                run = np.flatnonzero(digit | (cls == FINAL))
+                tok[number] = token(before_run(a[number], run, _run_start(run) - 1), -1) * np.uint64(31) + np.uint64(5)
+            script = np.where(a < 0, 0, np.where(wide[a], 2, np.where(low(a) < 0x250, 0, 1))).astype(np.uint64)
             inner = np.where(closer > 0, script + np.uint64(100), tok)
             key = mix(inner * np.uint64(0x9E3779B97F4A7C15) + kind * np.uint64(131) + closer)
-        return np.where(have, (key % np.uint64(p.slots)).astype(np.int64), -1)
+        return _slot(key, p.slots)
 
     def shape_of(at: np.ndarray, previous: np.ndarray | None = None) -> np.ndarray:
-        here = np.maximum(at, 0)
-        c = cls[here]
-        step = np.maximum(after[here], 0)
-        step = np.where(after[here] >= 0, step, here)
-        caseless = (c == WORD) & (low[here] >= 0x590) & (low[here] < 0x1000)
+        c, form = cls[at], low(at)
+        step = np.where(head[at + 1], at, at + 1)
+        after, after_form = cls[step], low(step)
+        caseless = (c == WORD) & (form >= 0x590) & (form < 0x1000)
         out = np.select(
-            [caseless, c == WORD, c == UPPER, c == DIGIT, c == OPEN, (c == DASH) & (cls[step] == WORD) & ~((low[step] >= 0x590) & (low[step] < 0x1000)), c == DASH, (c == WIDE) | (c == THAI)],
+            [caseless, c == WORD, c == UPPER, c == DIGIT, c == OPEN, (c == DASH) & (after == WORD) & ~((after_form >= 0x590) & (after_form < 0x1000)), c == DASH, (c == WIDE) | (c == THAI)],
             [S_CASELESS, S_LOWER, S_UPPER, S_DIGIT, S_OPEN, S_DASH_LOWER, S_DASH, S_WIDE],
             S_OTHER,
         )
@@ -277,105 +350,107 @@ def places(flat: np.ndarray, starts: np.ndarray, p: SentenceParams, bare: bool =
         return out
 
     def word_slot(at: np.ndarray) -> np.ndarray:
-        return (mix(token(at, 1) + np.uint64(99)) % np.uint64(p.slots)).astype(np.int64)
-
-    # last non-blank code point of each line
-    line_last = np.zeros(line[-1] + 1, np.int64) - 1
-    line_last[line[spot]] = spot
-    line_first = np.zeros(line[-1] + 1, np.int64) - 1
-    line_first[line[spot[::-1]]] = spot[::-1]
-    lasts = line_last[line_last >= 0]
-    firsts = line_first[line_first >= 0]
-
-    gap_open = (nxt >= 0) & (nxt - ended > 1)
-    wide_next = (nxt >= 0) & ((cls[np.maximum(nxt, 0)] == WIDE) | (cls[np.maximum(nxt, 0)] == OPEN) & (cls[np.maximum(before[ended], 0)] == WIDE))
-    fin = mark[ended]
-    next_cls = cls[np.maximum(nxt, 0)]
-    full_width = (cp[fin] > 0xFF00) & np.isin(next_cls, [WIDE, OPEN, UPPER, WORD]) | (cp[fin] > 0xFF00) & (final[fin] != DOT) & (next_cls == DIGIT)
-    ideographic = (final[fin] == IDEOGRAPHIC) & (next_cls != OTHER) | full_width | (final[fin] == ELLIPSIS) & wide_next
-    ok = (nxt >= 0) & ~inside[ended] & (gap_open | wide_next | ideographic)
-    at, follow = ended[ok], nxt[ok]
-    fin = mark[at]
-    other = np.maximum.accumulate(np.where(solid & (cls != FINAL), index, -1))[fin]
-    other = np.where((other >= 0) & (line[np.maximum(other, 0)] == line[fin]), other, -1)
+        return _slot(mix(token(at, 1) + np.uint64(99)), p.slots)
+
+    inner = nxt >= 0
+    ended_in, nxt = ended[inner], nxt[inner]
+    fin, next_cls, prev = mark[ended_in], cls[nxt], before(ended_in)
+    wide_next = (next_cls == WIDE) | (next_cls == OPEN) & (prev >= 0) & wide[prev]
+    kind = final(fin)
+    full_width = (cp[fin] > 0xFF00) & (np.isin(next_cls, [WIDE, OPEN, UPPER, WORD]) | (kind != DOT) & (next_cls == DIGIT))
+    ideographic = (kind == IDEOGRAPHIC) & (next_cls != OTHER) | full_width | (kind == ELLIPSIS) & wide_next
+    ok = ~inside[ended_in] & (apart[nxt] | wide_next | ideographic)
+    at, follow, fin = ended_in[ok], nxt[ok], fin[ok]
 
     # blanks between letters of a script that parts sentences by them
     thai_fixed = empty
-    if (cls == THAI).any():
-        nxt_all = after[spot]
-        spaced = (nxt_all >= 0) & (nxt_all - spot > 1)
-        left, right = spot[spaced], nxt_all[spaced]
+    if thai.any():
+        right = np.flatnonzero(apart[:-1] & ~head[:-1] & (thai | (cls == OPEN)))
+        left = right - 1
         close_thai = (cls[left] == CLOSE) | (cls[left] == FINAL)
-        thai_left = (cls[left] == THAI) | (close_thai & (cls[np.maximum(before[left], 0)] == THAI)) | (close_thai & (cls[np.maximum(before[np.maximum(before[left], 0)], 0)] == THAI))
-        thai_right = (cls[right] == THAI) | (cls[right] == OPEN)
-        repeat = (low[left] == 0xE46) | (low[right] == 0xE46)
-        good = thai_left & thai_right & ~repeat & ~inside[left] & (cls[left] != DIGIT) & (cls[right] != DIGIT)
-        thai_fixed = left[good]
+        one = before(left)
+        two = before(one)
+        thai_left = thai[left] | (close_thai & ((one >= 0) & thai[one] | (two >= 0) & thai[two]))
+        repeat = (low(left) == 0xE46) | (low(right) == 0xE46)
+        thai_fixed = left[thai_left & ~repeat & ~inside[left]]
         free = ~np.isin(at, thai_fixed)
-        at, follow, other, fin = at[free], follow[free], other[free], fin[free]
+        at, follow, fin = at[free], follow[free], fin[free]
+    other = before_run(fin, finals, before_marks)
+
+    def index(at: np.ndarray) -> np.ndarray:
+        return spot[at] if keep is None else keep[spot[at]]
 
-    lines = int(line[-1]) + 1
     line_words = np.zeros((lines, 2), np.int64)
-    line_words[line[firsts], 0] = words_to[firsts] - is_start[firsts]
-    line_words[line[lasts], 1] = words_to[lasts]
+    line_words[some, 0] = words_to[firsts] - half[firsts]
+    line_words[some, 1] = words_to[lasts]
     with_places = np.zeros(lines, bool)
     with_places[line[at]] = True
     ends_marked = mark[lasts] >= 0
-    single = line[lasts[ends_marked & ~with_places[line[lasts]]]]
+    single = some[ends_marked & ~with_places[some]]
     single_gap = np.clip((line_words[single, 1] - line_words[single, 0]) // 2, 0, N_GAP - 1)
-    fixed = np.sort(np.concatenate((lasts, thai_fixed)))
-    line_row = row[np.flatnonzero(line_start)]
+    fixed = np.sort(np.concatenate((lasts, thai_fixed)), kind="stable")
     marked_row = np.zeros(len(starts), bool)
-    marked_row[row[cls == FINAL]] = True
-    marked_row[row[thai_fixed]] = True
+    marked_row[line_row[line[finals]]] = True
+    marked_row[line_row[line[thai_fixed]]] = True
     out = Places(
-        keep[at], line[at], ngram(at), word_slot(follow), shape_of(follow, other), (at == fin) & (final[fin] > ELLIPSIS), words_to[at],
-        ngram(lasts[ends_marked & ~inside[lasts]]), word_slot(firsts), shape_of(firsts), single_gap, keep[fixed], row[fixed], line_row, line_words, marked_row[line_row], None,
+        index(at), line[at], ngram(at), word_slot(follow), shape_of(follow, other), (at == fin) & (final(fin) > ELLIPSIS), words_to[at],
+        ngram(lasts[ends_marked & ~inside[lasts]]), word_slot(firsts), shape_of(firsts), single_gap, index(fixed), line_row[line[fixed]], line_row, line_words, marked_row[line_row], None,
     )
     if not bare:
         return out
 
-    caseless = (cls == WIDE) | (cls == THAI)
-    speaks = letter | caseless
-
     def gram(at: np.ndarray, step: int) -> np.ndarray:
         """Hash of the word at a place, of two letters of a wide script, of four Thai ones, in the direction of the step; 0 for what is none."""
-        here = np.maximum(at, 0)
-        w = word_of[here]
-        value = hashes[np.maximum(w, 0)] if len(hashes) else np.zeros(len(here), np.uint64)
-        for kind, size in ((WIDE, 2), (THAI, 4)):
-            mine = np.flatnonzero(cls[here] == kind)
-            total = np.zeros(len(mine), np.uint64)
-            go = np.ones(len(mine), bool)
-            for k in range(size):
-                there = np.clip(here[mine] + step * k, 0, n - 1)
-                go &= (cls[there] == kind) & (line[there] == line[here[mine]])
-                with np.errstate(over="ignore"):
-                    total = np.where(go, (total + low[there].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), total)
-            value[mine] = mix(total)
-        return np.where((at >= 0) & speaks[here], value | np.uint64(1), np.uint64(0))
+        value = np.zeros(len(at), np.uint64)
+        mine = np.flatnonzero((at >= 0) & letter[at])
+        value[mine] = hashes[word_of(at[mine])] | np.uint64(1)
+        for mine, kind, size in ((np.flatnonzero((at >= 0) & wide[at]), WIDE, 2), (np.flatnonzero((at >= 0) & thai[at]), THAI, 4)):
+            if len(mine):
+                value[mine] = letters(at[mine], step, kind, size)
+        return value
+
+    def letters(at: np.ndarray, step: int, kind: int, size: int) -> np.ndarray:
+        """Hash of so many letters that touch one another, or as many as there are."""
+        with np.errstate(over="ignore"):
+            total = (low(at).astype(np.uint64) + np.uint64(1)) * HASH_SEED
+            go = np.ones(len(at), bool)
+            for k in range(1, size):
+                go &= beside(np.clip(at + step * (k - 1), 0, m - 1), step, kind)
+                there = np.clip(at + step * k, 0, m - 1)
+                total = np.where(go, (total + low(there) + np.uint64(1)) * HASH_SEED, total)
+            return mix(total) | np.uint64(1)
 
     def slot(value: np.ndarray, salt: int) -> np.ndarray:
-        return np.where(value > 0, (mix(value + np.uint64(salt)) % np.uint64(p.slots)).astype(np.int64), -1)
+        return np.where(value > 0, _slot(mix(value + np.uint64(salt)), p.slots), -1)
 
     # neighbouring words with nothing but blanks between, and neighbouring letters of scripts without
-    near = after[spot]
-    ok = (near >= 0) & ~inside[spot]
-    left, right = spot[ok], near[ok]
-    words_apart = letter[left] & letter[right] & (right - left > 1)
-    letters_apart = ((cls[left] == WIDE) & (cls[right] == WIDE)) | ((cls[left] == THAI) & (cls[right] == THAI) & (right - left == 1) & (ud_base(low[right])))
-    ok = words_apart | letters_apart
-    left, right = left[ok], right[ok]
-    last, first = gram(left, -1), gram(right, 1)
-    with np.errstate(over="ignore"):
-        pair = (mix(last * np.uint64(31) + first) % np.uint64(p.pair_slots)).astype(np.int64)
-    closed = np.maximum.accumulate(np.where(solid & speaks, index, -1))  # the last letter up to a place
+    hashes_1 = hashes | np.uint64(1)
+    k = np.flatnonzero((end[:-1] == begin[1:]) & ~head[begin[1:]] & ~inside[begin[1:] - 1])
+    parts = [(end[k] - 1, hashes_1[k], hashes_1[k + 1])]
+    left = np.flatnonzero(wide[:-1] & wide[1:] & ~head[1:-1] & ~inside[: m - 1])
+    if len(left):
+        parts.append((left, letters(left, -1, WIDE, 2), letters(left + 1, 1, WIDE, 2)))
+    if thai.any():
+        left = np.flatnonzero(thai[:-1] & thai[1:] & ~fresh[1:-1] & ~inside[: m - 1])
+        left = left[ud_base(low(left + 1))]
+        parts.append((left, letters(left, -1, THAI, 4), letters(left + 1, 1, THAI, 4)))
+    left, last, first = (np.concatenate(x) for x in zip(*parts))
     # sentences beyond doubt: lines that end on a mark, and what Thai blanks part
-    sure = ends_marked | (cls[np.maximum(closed[lasts], 0)] == THAI)
-    ends, heads = np.concatenate((lasts[sure], thai_fixed)), np.concatenate((line_first[line[lasts[sure]]], after[thai_fixed]))
-    final_word = closed[ends]
-    final_word = np.where((final_word >= 0) & (line[np.maximum(final_word, 0)] == line[ends]), final_word, -1)
-    out.bare = Bare(keep[left], line[left], slot(last, 1), slot(first, 2), pair, words_to[left], slot(gram(other, -1), 1), slot(gram(follow, 1), 2), slot(gram(final_word, -1), 1), slot(gram(heads, 1), 2))
+    speaks = np.flatnonzero(letter[:-1] | wide | thai)
+
+    def closed(at: np.ndarray) -> np.ndarray:
+        """The last letter up to a place, in its line."""
+        which = np.searchsorted(speaks, at, "right") - 1
+        found = speaks[which] if len(speaks) else which
+        return np.where((which >= 0) & (line[found] == line[at]), found, -1)
+
+    final_word = closed(lasts)
+    sure = ends_marked | (final_word >= 0) & thai[final_word]
+    final_word, heads = np.concatenate((final_word[sure], closed(thai_fixed))), np.concatenate((firsts[sure], thai_fixed + 1))
+    out.bare = Bare(
+        index(left), line[left], last, first, _slot(mix(last + np.uint64(1)), p.slots), _slot(mix(first + np.uint64(2)), p.slots), words_to[left],
+        slot(gram(other, -1), 1), slot(gram(follow, 1), 2), slot(gram(final_word, -1), 1), slot(gram(heads, 1), 2),
+    )
     return out
 
 
@@ -395,6 +470,15 @@ class Model:
     first: np.ndarray | None = None  # log of a word's share of what sentences begin with, by slot
     inner: np.ndarray | None = None  # (n, 2): log of a word's share of all words, by slot of the word after; occurrences before another, by slot of the word before
     pair: np.ndarray | None = None  # occurrences of word pairs inside sentences, by slot
+    bounds: tuple[np.ndarray, np.ndarray] | None = None
+
+    def most(self, p: SentenceParams) -> tuple[np.ndarray, np.ndarray]:
+        """What the words before and after give at most to a boundary without a mark, by slot, with a margin for single precision."""
+        if self.bounds is None:
+            last = self.last + np.log(self.inner[:, 1] + p.pair_prior) + 0.01
+            first = self.first - np.log(p.pair_prior * np.exp(self.inner[:, 0]))
+            self.bounds = last.astype(np.float32), first.astype(np.float32)
+        return self.bounds
 
 
 def marked_odds(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
@@ -404,14 +488,22 @@ def marked_odds(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
     return m.ends[x.key] + np.where(x.plain, p.plain_mark, 0.0) + follow
 
 
-def bare_odds(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
-    """Log odds of a boundary at each place without a mark: the word before as an end, and the word after as a beginning against as what follows."""
+def bare_odds(x: Places, m: Model, p: SentenceParams) -> tuple[np.ndarray, np.ndarray]:
+    """Which places without a mark have log odds above the least, and these odds: the word before as an end, and the word after as a beginning
+    against as what follows. A pair that isn't seen gives the most; where that is too little, the pair isn't looked up."""
     b = x.bare
-    share, seen = m.inner[b.first, 0], m.inner[b.last, 1]
-    inside = np.log(m.pair[b.pair] + p.pair_prior * np.exp(share)) - np.log(seen + p.pair_prior)
-    words = x.line_words[b.line, 1] - x.line_words[b.line, 0]
-    habit = np.where(x.line_marked[b.line], p.unmarked, np.where(words >= 2 * p.bare_words, p.bare, p.unmarked))
-    return m.last[b.last] + m.first[b.first] - inside + habit
+    words = x.line_words[:, 1] - x.line_words[:, 0]
+    habit = np.where(x.line_marked | (words < 2 * p.bare_words), p.unmarked, p.bare)
+    last, first = m.most(p)
+    most = last[b.last]
+    most += first[b.first]
+    which = np.flatnonzero(most > p.least_odds - habit.astype(np.float32)[b.line])
+    before, after = b.last[which], b.first[which]
+    share, seen = m.inner[after, 0], m.inner[before, 1]
+    inside = np.log(m.pair[b.pair(which, p)] + p.pair_prior * np.exp(share)) - np.log(seen + p.pair_prior)
+    odds = m.last[before] + m.first[after] - inside + habit[b.line[which]]
+    some = odds > p.least_odds
+    return which[some], odds[some]
 
 
 def gaps(line: np.ndarray, words: np.ndarray, x: Places) -> tuple[np.ndarray, np.ndarray]:
@@ -431,12 +523,11 @@ def posteriors(x: Places, m: Model, p: SentenceParams) -> np.ndarray:
 
 def boundaries(x: Places, m: Model, p: SentenceParams) -> tuple[np.ndarray, np.ndarray]:
     """(index of the last code point before, text) of all boundaries: those beyond doubt, and the places whose posterior is above a half."""
-    odds = bare_odds(x, m, p)
-    some = odds > p.least_odds
+    some, odds = bare_odds(x, m, p)
     at = np.concatenate((x.at, x.bare.at[some]))
     order = np.argsort(at, kind="stable")
     line, words = np.concatenate((x.line, x.bare.line[some]))[order], np.concatenate((x.words, x.bare.words[some]))[order]
-    yes = _passes(line, np.concatenate((marked_odds(x, m, p), odds[some]))[order], words, x, m) > 0.5
+    yes = _passes(line, np.concatenate((marked_odds(x, m, p), odds))[order], words, x, m) > 0.5
     at = np.concatenate((x.fixed, at[order][yes]))
     row = np.concatenate((x.fixed_row, x.line_row[line[yes]]))
     order = np.argsort(at, kind="stable")
@@ -486,6 +577,11 @@ def _sizes(p: SentenceParams) -> tuple[int, ...]:
 def _count(batches: Iterator[pa.RecordBatch], model: Model | None, p: SentenceParams) -> Iterator[pa.RecordBatch]:
     """Counts of one task: table, slot, a, b. Without a model a is for line ends and heads, b for places; with one, expected boundaries and others."""
     sums = [np.zeros((s, 2), np.float32 if s == p.pair_slots else float) for s in (_sizes(p) if model is not None else _sizes(p)[:4])]
+
+    def add(table: int, slot: np.ndarray, column: int, weight: np.ndarray | float = 1.0) -> None:
+        flat = sums[table].reshape(-1)
+        np.add.at(flat, 2 * slot + column, np.asarray(weight, flat.dtype))
+
     for batch in batches:
         column = batch.column("text")
         for i, j in slices(column, p.slice_bytes):
@@ -493,22 +589,22 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model | None, p: SentencePa
             yes = posteriors(x, model, p) if model is not None else np.zeros(len(x.at))
             no = 1 - yes
             if model is None:
-                np.add.at(sums[K_ENDS], (x.end_key[x.end_key >= 0], 0), 1)
-                np.add.at(sums[K_ENDS], (x.key, 1), 1)
-                np.add.at(sums[K_GAP], (x.single_gap, 0), 1)
-                np.add.at(sums[K_GAP], (gaps(x.line, x.words, x)[0], 1), 1)
+                add(K_ENDS, x.end_key[x.end_key >= 0], 0)
+                add(K_ENDS, x.key, 1)
+                add(K_GAP, x.single_gap, 0)
+                add(K_GAP, gaps(x.line, x.words, x)[0], 1)
             else:
                 b = x.bare
-                known = x.line_marked[b.line]  # where a writer sets no marks, it is unknown what is inside sentences
+                known = np.flatnonzero(x.line_marked[b.line])  # where a writer sets no marks, it is unknown what is inside sentences
                 for table, slot, once, inner in ((K_LAST, b.ended, b.line_ended, b.last), (K_FIRST, b.begun, b.line_begun, b.first)):
-                    np.add.at(sums[table], (slot[slot >= 0], 0), yes[slot >= 0])
-                    np.add.at(sums[table], (once[once >= 0], 0), 1)
-                    np.add.at(sums[table], (inner[known], 1), 1)
-                np.add.at(sums[K_PAIR], (b.pair[known], 1), 1)
+                    add(table, slot[slot >= 0], 0, yes[slot >= 0])
+                    add(table, once[once >= 0], 0)
+                    add(table, inner[known], 1)
+                add(K_PAIR, b.pair(known, p), 1)
             for table, head, here in ((K_NEXT, x.head_word, x.word), (K_SHAPE, x.head_shape, x.shape)):
-                np.add.at(sums[table], (head, 0), 1)
-                np.add.at(sums[table], (here, 0), yes)
-                np.add.at(sums[table], (here, 1), no)
+                add(table, head, 0)
+                add(table, here, 0, yes)
+                add(table, here, 1, no)
     for table, values in enumerate(sums):
         used = np.flatnonzero(values.any(1))
         if len(used):
